@@ -7,18 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.llm.decontaminate import find_leaks
+from heliograph.llm.mixing import MIX_SQL, mix_sources
+from heliograph.llm.near_dedup import near_duplicates
+from heliograph.llm.secrets import BASE_RULES, find_secrets, spans_text
 from heliograph.llm.substring_dedup import dedup_substrings
 from heliograph.session import read_table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_substrings(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_substrings(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [r.kind for r in BASE_RULES]
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    out = find_secrets(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *map(count, kinds), F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_source_mix": op6_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_source_mix": "WITH " + MIX_SQL.replace("{docs}", "documents").strip() + "\nSELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
+    }
