@@ -13,7 +13,7 @@ def spark():
 
     local = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     s = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
