@@ -1 +1,31 @@
-"""To come."""
+"""Stream operators over the events table (inventory M12-M14), as batches; tests run them as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from heliograph.plans.registry import query
+from heliograph.session import read_table
+from heliograph.streaming import gates as G
+
+
+@query("M13_debounce", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events WHERE ts IS NOT NULL),
+r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, max(ts) + INTERVAL 6 HOUR AS fires, count(*) AS n FROM r GROUP BY user_id, run""")
+def m13(spark, d):
+    return G.debounce(read_table(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query("M14_throttle", """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE ts IS NOT NULL),
+k(user_id, rn, ts, anchor, keep) AS (SELECT user_id, rn, ts, ts, true FROM e WHERE rn = 1 UNION ALL
+ SELECT e.user_id, e.rn, e.ts, CASE WHEN e.ts - k.anchor >= INTERVAL 1 DAY THEN e.ts ELSE k.anchor END, e.ts - k.anchor >= INTERVAL 1 DAY FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+SELECT user_id, ts FROM k WHERE keep""")
+def m14(spark, d):
+    return G.throttle(read_table(spark, d, "events"), "user_id", "ts", 86400)
+
+
+@query("M12_mute_gate", """WITH m AS (SELECT user_id, event_id, ts, coalesce(last_value(CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS muted FROM events)
+SELECT user_id, event_id, NOT muted AS open, (NOT muted) AND coalesce(lag(muted) OVER (PARTITION BY user_id ORDER BY ts), false) AS flush FROM m""")
+def m12(spark, d):
+    kind = F.col("event_type")
+    e = read_table(spark, d, "events").withColumn("m", F.when(kind == "error", True).when(kind == "signup", False))
+    return G.mute_gate(e, "user_id", "ts", "m").select("user_id", "event_id", "open", "flush")
