@@ -8,7 +8,7 @@ item of N words leaks into a document if some stretch of its words is within
    window of the item's size that lines up with a whole block is looked at, and no other can match
    by more than its shift. Block hashes are looked up for every word position of every text.
 2. *CGK and bit sampling.* The item and the window are embedded by the same random walk: at each of
-   3N steps the current word is written and the walk stays or moves on by a random bit of (step, word), which turns
+   2N steps the current word is written and the walk stays or moves on by a random bit of (step, word), which turns
    few edits into few differing places. In each of ``repeats`` walks ``places`` written words are
    sampled; agreement in all places of any walk makes a candidate. The window is cut both from its
    start and, read backwards, from its end, so an edit spoils only one direction.
@@ -40,27 +40,32 @@ from heliograph.session import ship_package
 U = np.uint64
 
 
-def embed(seqs: list[np.ndarray], repeats: int, seed: int = 17) -> np.ndarray:
-    """CGK: the words that each walk writes, repeats x len(seqs) x 3N, for sequences of one length N."""
-    x = np.stack(seqs)
-    m, n = x.shape
-    x = np.concatenate([x, np.zeros((m, 1), dtype=U)], axis=1)  # beyond the end a walk writes zeros
-    out = np.empty((repeats, m, 3 * n), dtype=U)
-    rows = np.arange(m)
-    for r in range(repeats):
-        at = np.zeros(m, dtype=np.int64)
-        for j in range(3 * n):
-            word = x[rows, at]
-            out[r, :, j] = word
-            at = np.minimum(at + (_words.mix(word + U(j * repeats + r), seed) & U(1)).astype(np.int64), n)
-    return out
-
-
 def sample(n: int, repeats: int, places: int, seed: int = 23) -> np.ndarray:
     """The sampled steps of each walk over n words, repeats x places."""
     return np.random.RandomState((seed + 7919 * n) % (1 << 31)).randint(0, max(1, 2 * n), (repeats, places))
 
 
+def embed(seqs: list[np.ndarray], at: np.ndarray, seed: int = 17) -> np.ndarray:
+    """CGK: what each walk writes at its sampled steps, walks x sequences x places, for sequences of one length."""
+    x = np.stack(seqs)
+    m, n = x.shape
+    x = np.concatenate([x, np.zeros((m, 1), dtype=U)], axis=1).reshape(-1)  # beyond the end a walk writes zeros
+    walks, last = len(at), int(at.max())
+    out = np.empty((walks, m, at.shape[1]), dtype=U)
+    first = (np.arange(m) * (n + 1))[None, :]
+    end, pos = first + n, np.repeat(first, walks, axis=0)
+    odd = np.random.RandomState(seed).randint(0, 2**62, (last + 1, walks, 1), dtype=np.int64).astype(U) * U(4) + U(0x9E3779B97F4A7C15)
+    for j in range(last + 1):
+        word = x[pos]
+        for r, p in zip(*np.nonzero(at == j), strict=True):
+            out[r, :, p] = word[r]
+        word *= odd[j]
+        word >>= U(63)  # the bit of (walk, step, word): stay or move on
+        pos += word.view(np.int64)
+        np.minimum(pos, end, out=pos)
+    return out
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits between item and any stretch of text, and that stretch's start and end."""
     m = len(text)
@@ -111,10 +116,10 @@ class Part:
         """The sampled words of each sequence forwards and backwards: len(seqs) x 2 * repeats hashes."""
         at, out = sample(n, self.repeats, self.places), []
         for way in (seqs, [x[::-1] for x in seqs]):
-            written = embed(way, self.repeats)
+            written = embed(way, at)
             h = np.zeros((self.repeats, len(seqs)), dtype=U)
             for p in range(self.places):
-                h = _words.mix(h * _words._BASE + written[np.arange(self.repeats)[:, None], np.arange(len(seqs)), at[:, p][:, None]])
+                h = _words.mix(h * _words._BASE + written[:, :, p])
             out.append(h.T)
         return np.concatenate(out, axis=1)
 
