@@ -205,3 +205,104 @@ def a49(spark, d):
     word = F.regexp_extract("t", r"^[0-9.,]+ (named|ignored|rejected)(?: |$)", 1)
     s = read_table(spark, d, "supplier").select("s_suppkey", t.alias("t"))
     return s.select("s_suppkey", F.nullif(word, F.lit("")).alias("decision"), F.when(word == "named", F.regexp_extract("t", r"^[0-9.,]+ named (.+)$", 1)).alias("name"))
+
+
+@query("B13_box_area", """WITH b AS (SELECT l_orderkey, l_linenumber, least(l_quantity, l_tax * 500) / 50 AS x1, greatest(l_quantity, l_tax * 500) / 50 AS x2, l_discount AS y1, l_discount + l_tax AS y2 FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN x2 > x1 AND y2 > y1 THEN round((x1 + x2) / 2, 9) END AS cx, CASE WHEN x2 > x1 AND y2 > y1 THEN round((y1 + y2) / 2, 9) END AS cy FROM b""")
+def b13(spark, d):
+    """Corner boxes to centres; null when a side has no length."""
+    x1, x2 = F.least("l_quantity", c("l_tax") * 500) / 50, F.greatest("l_quantity", c("l_tax") * 500) / 50
+    y1, y2 = c("l_discount"), c("l_discount") + c("l_tax")
+    ok = (x2 > x1) & (y2 > y1)
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(ok, F.round((x1 + x2) / 2, 9)).alias("cx"), F.when(ok, F.round((y1 + y2) / 2, 9)).alias("cy"))
+
+
+@query("B7_people_without_box", f"WITH {PHOTOS} SELECT id, CASE WHEN person LIKE '%1' THEN '' ELSE person END AS people FROM photos")
+def b7(spark, d):
+    boxed = F.when(F.endswith("person", F.lit("1")), F.array(F.lower("person"))).otherwise(F.array().cast("array<string>"))
+    names = F.transform(F.filter("tags", lambda t: F.startswith(t, F.lit("People/"))), lambda t: F.substring_index(t, "/", -1))
+    p = photos(spark, d).select("id", names.alias("names"), boxed.alias("boxed"))
+    return p.select("id", F.array_join(F.filter("names", lambda n: ~F.array_contains("boxed", F.lower(n))), "|").alias("people"))
+
+
+@query("C17_visible_memories", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_custkey IN (SELECT c_custkey FROM customer) AND o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def c17(spark, d):
+    li = read_table(spark, d, "lineitem").select(c("l_orderkey").alias("o_orderkey"), "l_returnflag")
+    o = read_table(spark, d, "orders").join(li.where("l_returnflag = 'R'"), "o_orderkey", "left_anti").join(li, "o_orderkey", "left_semi")
+    return o.join(read_table(spark, d, "customer").select(c("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select("o_orderkey")
+
+
+@query("C19_named_without_box", "WITH n AS (SELECT l_suppkey AS k, l_partkey % 40 AS name, min(l_orderkey) AS first FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 40 AS name FROM lineitem WHERE l_returnflag = 'N') SELECT n.k, n.name, n.first FROM n LEFT JOIN b USING (k, name) WHERE b.k IS NULL")
+def c19(spark, d):
+    li = read_table(spark, d, "lineitem").select(c("l_suppkey").alias("k"), (c("l_partkey") % 40).alias("name"), "l_orderkey", "l_returnflag")
+    g = li.groupBy("k", "name").agg(F.min(F.when(c("l_returnflag") == "A", c("l_orderkey"))).alias("first"), F.bool_or(c("l_returnflag") == "N").alias("boxed"))
+    return g.where("first is not null and not boxed").select("k", "name", "first")
+
+
+@query("D10_bind_claims", """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) / 50 AS x, min(l_discount) * 10 AS y FROM lineitem GROUP BY ALL),
+p AS (SELECT a.k, a.i AS claim, b.i AS box, greatest(0, 1 - abs(a.x - b.x)) * greatest(0, 1 - abs(a.y - b.y)) AS inter FROM b a JOIN b ON a.k = b.k AND a.i < b.i),
+s AS (SELECT *, inter / (2 - inter) AS iou FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY k, claim ORDER BY iou DESC, box) AS c1, row_number() OVER (PARTITION BY k, box ORDER BY iou DESC, claim) AS c2 FROM s WHERE iou > 0.5)
+SELECT k, claim, box, round(iou, 9) AS iou FROM r WHERE c1 = 1 AND c2 = 1""")
+def d10(spark, d):
+    """Claims and boxes of one picture that are each other's best at more than half overlap. Pictures are small groups by their key."""
+    b = read_table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("k"), c("l_linenumber").alias("i")).agg((F.min("l_quantity") / 50).alias("x"), (F.min("l_discount") * 10).alias("y"))
+    o = b.select("k", c("i").alias("box"), c("x").alias("bx"), c("y").alias("by"))
+    p = b.withColumnRenamed("i", "claim").join(o, "k").where("claim < box")
+    inter = F.greatest(F.lit(0.0), 1 - F.abs(c("x") - c("bx"))) * F.greatest(F.lit(0.0), 1 - F.abs(c("y") - c("by")))
+    s = p.withColumn("inter", inter).withColumn("iou", c("inter") / (2 - c("inter"))).where("iou > 0.5")
+    best = lambda key, other: F.row_number().over(Window.partitionBy("k", key).orderBy(F.desc("iou"), other))
+    return s.withColumns({"c1": best("claim", "box"), "c2": best("box", "claim")}).where("c1 = 1 and c2 = 1").select("k", "claim", "box", F.round("iou", 9).alias("iou"))
+
+
+@query("F7_segment_choice", f"WITH {PHOTOS} SELECT user_id // 20 AS grp, CASE WHEN count(DISTINCT country) >= 2 THEN 'countries' ELSE 'places' END AS split FROM photos GROUP BY 1")
+def f7(spark, d):
+    return photos(spark, d).groupBy(F.expr("user_id div 20").alias("grp")).agg(F.when(F.countDistinct("country") >= 2, "countries").otherwise("places").alias("split"))
+
+
+@query("M22_move_members", "SELECT l_partkey AS k, CASE WHEN l_suppkey % 10 = 3 THEN l_suppkey - 3 ELSE l_suppkey END AS cluster, count(*) AS n FROM lineitem GROUP BY ALL")
+def m22(spark, d):
+    moved = F.when(c("l_suppkey") % 10 == 3, c("l_suppkey") - 3).otherwise(c("l_suppkey"))
+    return read_table(spark, d, "lineitem").groupBy(c("l_partkey").alias("k"), moved.alias("cluster")).agg(F.count("*").alias("n"))
+
+
+@query("M23_vector_lookup", "SELECT DISTINCT l_partkey, label FROM lineitem JOIN embeddings ON l_partkey = vec_id")
+def m23(spark, d):
+    k = read_table(spark, d, "lineitem").select("l_partkey").distinct()
+    return k.join(read_table(spark, d, "embeddings").select(c("vec_id").alias("l_partkey"), "label"), "l_partkey")
+
+
+@query("O3_reference_tagger", "SELECT vec_id, dim::INT AS dim FROM (SELECT vec_id, u.dim - 1 AS dim, row_number() OVER (PARTITION BY vec_id ORDER BY u.x DESC, u.dim) AS rn FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, dim) WHERE u.x >= 0.15::FLOAT) WHERE rn <= 6")
+def o3(spark, d):
+    """Dimensions as labels: those at or above the threshold, at most six, best first; sorted within each row."""
+    scored = F.transform("embedding", lambda x, i: F.struct((-x).alias("s"), i.alias("dim"), x.alias("x")))
+    top = F.slice(F.array_sort(F.filter(scored, lambda v: v["x"] >= F.lit(0.15).cast("float"))), 1, 6)
+    return read_table(spark, d, "embeddings").select("vec_id", F.explode(top).alias("t")).select("vec_id", c("t.dim").alias("dim"))
+
+
+@query("A13_sidecar_rows", "WITH o AS (SELECT o_orderkey AS id, o_custkey AS mtime, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS size FROM orders) SELECT id, CASE WHEN size IS NOT NULL AND mtime % 3 <> 0 THEN 'reused' ELSE 'new' END AS origin FROM o")
+def a13(spark, d):
+    """A cached row is reused if its time equals the listing's and it has any size."""
+    o = read_table(spark, d, "orders")
+    cached = o.select(c("o_orderkey").alias("id"), c("o_custkey").alias("cm"), F.when(c("o_orderpriority") != "5-LOW", c("o_totalprice")).alias("cs"))
+    listed = o.select(c("o_orderkey").alias("id"), F.when(c("o_custkey") % 3 == 0, c("o_custkey") + 1).otherwise(c("o_custkey")).alias("mtime"))
+    j = listed.join(cached, "id", "left")
+    return j.select("id", F.when(c("mtime").eqNullSafe(c("cm")) & c("cs").isNotNull(), "reused").otherwise("new").alias("origin"))
+
+
+@query("A33_patch_rows", "SELECT c_custkey AS id, coalesce(p.price, c_acctbal) AS value FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1) p ON p.o_custkey = c_custkey")
+def a33(spark, d):
+    """The last patch of each row replaces its value."""
+    p = read_table(spark, d, "orders").groupBy(c("o_custkey").alias("id")).agg(F.max_by("o_totalprice", "o_orderkey").alias("price"))
+    return read_table(spark, d, "customer").select(c("c_custkey").alias("id"), "c_acctbal").join(p, "id", "left").select("id", F.coalesce("price", "c_acctbal").alias("value"))
+
+
+@query("A51_folder_catalog", f"WITH {PHOTOS} SELECT folder, max(date_taken) AS newest, array_to_string(list_filter(string_split(folder, '/'), lambda x: x <> ''), ' › ') AS crumbs FROM photos GROUP BY folder ORDER BY newest DESC, folder LIMIT 200")
+def a51(spark, d):
+    g = photos(spark, d).groupBy("folder").agg(F.max("date_taken").alias("newest")).orderBy(F.desc("newest"), "folder").limit(200)
+    return g.select("folder", "newest", F.array_join(F.filter(F.split("folder", "/"), lambda x: x != ""), " › ").alias("crumbs"))
+
+
+@query("A52_label_rows", "SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, bool_and(len(embedding) = 64) AS whole FROM embeddings GROUP BY label")
+def a52(spark, d):
+    """Checks of label vectors: duplicate ids and wrong lengths show as differences."""
+    return read_table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"), F.bool_and(F.size("embedding") == 64).alias("whole"))
