@@ -47,11 +47,11 @@ def made(seed=5):
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "window"), [(1 << 20, 8), (900, 12), (5000, 50)])
+def test_against_brute_force(spark, block_bytes, window):
     rows = made()
-    got = dedup_substrings(spark.createDataFrame(rows, SCHEMA), window=8, block_bytes=block_bytes).collect()
-    assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got], key=str) == brute(rows, 8)
+    got = dedup_substrings(spark.createDataFrame(rows, SCHEMA), window=window, block_bytes=block_bytes).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got], key=str) == brute(rows, window)
 
 
 def test_empty_and_long(spark):
