@@ -18,9 +18,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where the context sets none: whole texts are far larger than the rows that Spark's default is made for.
+BATCH_ROWS = "1000"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so Python tasks can import it anywhere."""
+    """Send this package to the executors once per context, so Python tasks can import it anywhere, and bound Arrow batches."""
     sc = spark.sparkContext
+    if sc.getConf().get("spark.sql.execution.arrow.maxRecordsPerBatch") is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if sc in _shipped:
         return
     root = Path(__file__).resolve().parent
