@@ -148,7 +148,7 @@ def rows_of(batch, column: str) -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
-def slices(sizes, limit: int = 4 << 20):
+def slices(sizes, limit: int = 1 << 20):
     """Ranges of rows of about ``limit`` bytes together; a longer row stands alone."""
     lo, total = 0, 0
     for i, n in enumerate(sizes):
