@@ -3,16 +3,19 @@
 Each text's set of distinct shingles (5 lower-cased words; a shorter text is one shingle) goes through
 one initial permutation of a universe of 2**32 and a second one that is shifted circularly, by one place
 for each coordinate, so two permutations give all ``bands * rows`` coordinates. Texts of equal sets are
-one *representative* before banding. In each band's bucket the members are paired with the bucket's
-leader (its least id) or its neighbours in the bucket, never all with each other; a pair counts only after
+one *representative* before banding. In each band's bucket the members are first paired with the bucket's
+leader (its least id) or its neighbours in the bucket; a pair counts only after
 its full sets have been compared. Rounds follow, over members of different components so far:
 
 1. each document with the least of its leaders;
 2. each document with all of its leaders;
 3. and later: each with its neighbours, where a bucket that still holds several components is put in the order of the
-   coordinates that follow its band, from another place each round, until a round finds no new link.
+   coordinates that follow its band, from another place each round, until a round finds no new link or ``CHEAP_ROUNDS`` are over;
+4. last, exactly: in buckets that still hold several components, each member outside the bucket's most common component
+   with all the others, block against block by signatures. Of the pairs that the signatures let through a document's ``k``
+   likeliest are compared in full; links shrink what is left, and ``k`` grows until no pair was left out.
 
-So a group of n copies costs n pairs a round, however large. With 24 bands of 5 rows a pair of
+So a group of n copies costs n pairs a round, however large, once it is linked. With 24 bands of 5 rows a pair of
 Jaccard 0.85 meets in at least one bucket with probability 1 - 8e-7, one of 0.9 with 1 - 3e-10. A
 pair goes to the exact comparison unless its coordinates agree five standard deviations too
 rarely (under about 0.69 of them for 0.85).
@@ -28,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import _words
@@ -36,6 +39,8 @@ from heliograph.session import ensure_checkpoint_dir, ship_package
 
 U, U32 = np.uint64, np.uint32
 CHUNK = 1 << 15
+BLOCK = 1024  #: members of a bucket on each side of a block of the exact pass
+CHEAP_ROUNDS = 5  #: rounds by leaders and neighbours at most, before the exact pass
 FEW_IDS = 1_000_000  #: so many ids (8 MB) may be broadcast to pick the texts to compare; more are joined by a shuffle
 
 
@@ -185,17 +190,99 @@ def _adjacent_batches(percent: int):
     return run
 
 
+def _with_component(left: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """rep, n, band, key, comp: the members of buckets with their components so far."""
+    rest = left.select("rep", "n", "band", "key")
+    if comp is None:
+        return rest.withColumn("comp", F.col("rep"))
+    return rest.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "band", "key", F.coalesce("component", "rep").alias("comp"))
+
+
+def _block_batches(percent: int, least: float, k: int):
+    """row, a, b, agree, cut: of each outsider its k likeliest partners in its block, if of another component and alike in size and signature.
+
+    Reads the outsiders of a block first (every false), then the members that they are held against.
+    """
+
+    def run(batches):
+        place, own, fresh = None, [], True
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, i, j, every, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "every", "rep", "n", "comp"))
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
+            edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (every[1:] != every[:-1])) + 1
+            out = []
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)], strict=True):
+                now = key[lo], i[lo], j[lo]
+                if now != place:
+                    place, own, fresh = now, [], True
+                part = rep[lo:hi], n[lo:hi], c[lo:hi], sig[lo:hi]
+                if not every[lo]:
+                    own.append(part)
+                    continue
+                if not own:
+                    continue
+                if fresh:
+                    own, fresh = [tuple(np.concatenate(x) for x in zip(*own, strict=True))], False
+                r, m, d, s = own[0]
+                step = max(1, (16 << 20) // (s.shape[1] * (hi - lo)))
+                for at in range(0, len(r), step):
+                    to = slice(at, at + step)
+                    ok = (d[to, None] != part[2]) & (100 * np.minimum(m[to, None], part[1]) >= percent * np.maximum(m[to, None], part[1]))
+                    x, y = np.nonzero(ok)
+                    agree = np.zeros(ok.shape, dtype=np.int32)
+                    for q in range(0, len(x), 1 << 17):
+                        xq, yq = x[q : q + (1 << 17)], y[q : q + (1 << 17)]
+                        agree[xq, yq] = (s[at + xq] == part[3][yq]).sum(axis=1)
+                    agree[agree < least * s.shape[1]] = 0
+                    for u in np.flatnonzero(agree.any(axis=1)).tolist():
+                        v = np.flatnonzero(agree[u])
+                        cut = len(v) > k
+                        if cut:
+                            v = v[np.argsort(-agree[u, v], kind="stable")[:k]]
+                        out.append((np.full(len(v), r[at + u]), part[0][v], agree[u, v], np.full(len(v), cut)))
+            if out:
+                row, other, agree, cut = (np.concatenate(x) for x in zip(*out, strict=True))
+                cols = [row, np.minimum(row, other), np.maximum(row, other), agree.astype(np.int32), cut]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["row", "a", "b", "agree", "cut"])
+
+    return run
+
+
+def _untied(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: int, least: float, k: int) -> DataFrame:
+    """row, a, b, cut: the k likeliest partners of each document in another component of one of its buckets; cut where it has more.
+
+    Of two members of different components one at least is outside the bucket's most common component, so only outsiders
+    are held against all members. Both sides are dealt into blocks, so that a large bucket spreads over tasks. A
+    bucket of two needs no look: its leader's round has had the pair.
+    """
+    rest = _with_component(left, comp)
+    kinds = rest.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
+    kinds = kinds.agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1 and size > 2")
+    blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
+    kinds = kinds.select("key", F.col("top.comp").alias("most"), blocks(F.col("size")).alias("nj"), blocks(F.col("size") - F.col("top.m")).alias("ni"))
+    rest = rest.join(kinds, "key").join(sig, "rep")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["key", "i", "j", "every", "rep", "n", "comp", "sig"]
+    own = rest.where("comp <> most").withColumn("i", deal("ni")).withColumn("j", upto("nj")).withColumn("every", F.lit(False)).select(cols)
+    every = rest.withColumn("j", deal("nj")).withColumn("i", upto("ni")).withColumn("every", F.lit(True)).select(cols)
+    dealt = own.unionByName(every).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "every")
+    found = dealt.mapInArrow(_block_batches(percent, least, k), "row long, a long, b long, agree int, cut boolean")
+    found = found.groupBy("row", "a", "b").agg(F.max("agree").alias("agree"), F.max("cut").alias("cut"))
+    w = Window.partitionBy("row").orderBy(F.desc("agree"), "a", "b")
+    found = found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k + 1)
+    return found.select("row", "a", "b", (F.col("cut") | (F.col("place") > k)).alias("cut"))
+
+
 def _neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: int, size: int, rows: int, shift: int) -> tuple[DataFrame, DataFrame]:
     """(members of buckets that hold several components, pairs of neighbours there).
 
     A bucket is ordered by the coordinates that follow its band, so neighbours agree longest. The order is
     global and dealt by range: a large bucket spreads over tasks.
     """
-    rest = left.select("rep", "n", "band", "key")
-    if comp is None:
-        rest = rest.withColumn("comp", F.col("rep"))
-    else:
-        rest = rest.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", "n", "band", "key", F.coalesce("component", "rep").alias("comp"))
+    rest = _with_component(left, comp)
     mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = rest.join(mixed, "key").checkpoint()
     at = F.pmod((F.col("band") + 1) * rows + F.lit(shift), F.lit(size))
@@ -223,10 +310,15 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
     left = members.join(full, "key").checkpoint()
 
     links = tested = comp = None
-    turn = 0
+    turn, k = 0, 0
     while True:
         turn += 1
-        if turn <= 2:
+        cut = False
+        if k:
+            some = _untied(left, sig, comp, percent, least, k).checkpoint()
+            cut = bool(some.agg(F.max("cut")).first()[0])
+            pairs = some.select("a", "b").distinct()
+        elif turn <= 2:
             lead = left.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
             pairs = left.join(lead, "key").where("rep > lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
             pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
@@ -252,9 +344,11 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
         if new:
             links = found if links is None else links.unionByName(found)
             comp = components(links)
-        if turn > 2 and not new:
-            break
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if k and not cut:
+            break  # every pair of different components has been compared
+        if turn > 2 and not new or not k and turn >= CHEAP_ROUNDS:
+            k = 8 * max(k, 1)
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     out = out.join(classes.select("d1", "d2", "rep", F.lit(True).alias("linked")), ["d1", "d2"], "left")

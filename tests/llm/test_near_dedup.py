@@ -69,6 +69,23 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got), key=str) == brute(rows)[0]
 
 
+def star(n, seed=5):
+    """A hub of the largest id and n copies alike to it alone: Jaccard 0.86 to the hub, less than 0.8 to each other."""
+    r, hub = random.Random(seed), ["h%d" % i for i in range(100)]
+    rows = [(9000, " ".join(hub), 0, None)]
+    for i in range(n):
+        w = list(hub)
+        for at in (r.randrange(10, 90), *r.choice([(0, 1), (98, 99), (0, 99)])):
+            w[at] = "c%d_%d" % (i, at)
+        rows.append((i, " ".join(w), 0, None))
+    return rows
+
+
+def test_star_around_a_hub_that_does_not_lead(spark):
+    got = near_duplicates(spark.createDataFrame(star(1000), SCHEMA)).collect()
+    assert len(got) == 1001 and {r.component_id for r in got} == {0}
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(x) for x in near_duplicates(spark.createDataFrame([(1, None, 0, "")], SCHEMA)).collect()] == [(1, 0, 1, True)]
