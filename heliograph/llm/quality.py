@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Trusted documents are those whose labels all say quality 1. Half of them (by a hash of the id) are for training, of these a
+Trusted documents are those whose labels all say quality 1 and none says toxic (null as 0). Half of them (by a hash of the id) are for training, of these a
 hash-chosen sample of about ``max_words`` words, the one bound here; the other half, whole, sets the
 thresholds. N-grams are counted per slice of text, then summed by hash-partitioned joins and groupings,
 which also give continuation counts, counts of counts, discounts (Chen and Goodman's three per
@@ -47,8 +47,9 @@ def _share(column: str, salt: str):
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, held_out of the trusted documents of labels(doc_id, quality)."""
-    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
+    """doc_id, held_out of the trusted documents of labels(doc_id, quality, toxic)."""
+    said = lambda c: F.coalesce(c, F.lit(0))
+    good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(said("quality")).alias("q"), F.max(said("toxic")).alias("t")).where("q = 1 and t = 0")
     return good.select("doc_id", (_share("doc_id", "fold") < 0.5).alias("held_out"))
 
 

@@ -100,6 +100,13 @@ def test_rejects_junk_and_keeps_clean(spark):
     assert kept.columns == d.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(i) for i, r in got.items() if r.keep)
 
 
+def test_toxic_is_not_trusted(spark):
+    from heliograph.llm.quality import trusted_ids
+
+    labels = [(1, 1, 0, None), (2, 1, 1, None), (3, 1, None, None), (4, 1, 0, None), (4, 1, 1, None), (5, 0, 0, None), (6, None, None, None)]
+    assert sorted(r.doc_id for r in trusted_ids(spark.createDataFrame(labels, LABELS)).collect()) == [1, 3]
+
+
 def test_without_trust_and_empty(spark):
     docs, labels = made(n=20)
     d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
