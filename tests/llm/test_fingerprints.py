@@ -40,6 +40,16 @@ def test_edits_and_likeness(spark, range_bytes):
             assert value == pytest.approx(len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b))
 
 
+def test_query_sees_half_edited_short_texts(spark, tmp_path):
+    from heliograph.llm.queries import op7_fingerprints
+
+    r = random.Random(8)
+    rows = [(i, " ".join("w%d" % r.randrange(10**6) for _ in range(r.randrange(14, 44))), None) for i in range(200)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op7_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == 200 and min(x.near_edited for x in got) > 0
+
+
 def test_equal_texts_and_scale(spark):
     got = {r.doc_id: r.fingerprint for r in fingerprints(spark.createDataFrame(made(), SCHEMA)).collect()}
     assert got[0] == got[2004] == got[-5] and got[2001] == got[2002] == "" and len(got[2003]) == 16
