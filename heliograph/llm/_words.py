@@ -2,13 +2,14 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. UTF-8 never uses those bytes inside
 a longer character, so working on bytes gives the same words as working on characters. Hashes are
-64-bit: a word's hash is a polynomial over a random table of its bytes, a shingle's or window's hash
-is a polynomial over the mixed hashes of its words. Memory is bounded by slices of 1 MB, cut at
-separators, plus a few numbers per word.
+64-bit: a word's bytes are folded in eight at a time, with a non-linear mix after each step (words over 256 bytes by
+BLAKE2b), and other seeds give independent hashes; a shingle's or window's hash is a polynomial over the hashes of its words,
+mixed. Memory is bounded by slices of 1 MB, cut at separators, plus a few numbers per word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import numpy as np
@@ -17,9 +18,8 @@ U = np.uint64
 SLICE = 1 << 20
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.RandomState(20240131).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 _BASE = U(0x9E3779B97F4A7C15)
-_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LONG = 256  #: bytes from which a word is hashed alone
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _powers: dict = {}
 
@@ -42,8 +42,28 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each word buf[start:end]; seeds are independent of each other. buf ends with 8 bytes that no word has."""
+    size = end - start
+    eight = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))  # the 8 bytes from each place on
+    h = mix(size.astype(U), 101 + seed)
+    live, at, left = slice(None), start, size
+    while len(at):
+        part = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        h[live] = mix(h[live] ^ part * _BASE, 201 + seed)
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=str(seed).encode()).digest(), "big")
+    return h
+
+
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+
+
 class Words(NamedTuple):
-    buf: np.ndarray  #: the bytes of all texts, a newline before, between and after them
+    buf: np.ndarray  #: the bytes of all texts, a newline before, between and after them, then 8 more
     start: np.ndarray  #: of each word in buf
     end: np.ndarray
     doc: np.ndarray  #: position of the word's text in the list
@@ -54,13 +74,13 @@ class Words(NamedTuple):
 
 def scan(texts: list[bytes], lower: bool = False, hashes: bool = True) -> Words:
     """All words of the texts. lower: A-Z count as a-z."""
-    raw = b"\n" + b"\n".join(texts) + b"\n"
+    raw = b"\n" + b"\n".join(texts) + b"\n" * 9
     if lower:
         raw = raw.translate(LOWER)
     buf = np.frombuffer(raw, dtype=np.uint8)
     size = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     at = np.concatenate([[0], np.cumsum(size + 1)])[: len(texts)] + 1
-    starts, ends, hashed, lo, n = [], [], [], 0, len(buf)
+    starts, ends, hashed, lo, n = [], [], [], 0, len(buf) - 8
     while lo < n - 1:
         hi = min(lo + SLICE, n)
         if hi < n:  # the slice ends with a separator
@@ -71,17 +91,12 @@ def scan(texts: list[bytes], lower: bool = False, hashes: bool = True) -> Words:
                 while not _SEP[buf[hi - 1]]:
                     step = np.flatnonzero(_SEP[buf[hi : hi + SLICE]])
                     hi = hi + 1 + int(step[0]) if len(step) else min(hi + SLICE, n)
-        part = buf[lo:hi]
-        edge = np.flatnonzero(np.diff(_SEP[part].view(np.int8))) + 1
+        edge = np.flatnonzero(np.diff(_SEP[buf[lo:hi]].view(np.int8))) + 1 + lo
         s, e = edge[0::2], edge[1::2]
         if hashes and len(s):
-            c = _BYTE[part]
-            c *= _power(_BASE, len(part))
-            np.cumsum(c, out=c)
-            h = (c[e - 1] - c[s - 1]) * _power(_INV, len(part))[s]
-            hashed.append(mix(h ^ (e - s).astype(U)))
-        starts.append(s + lo)
-        ends.append(e + lo)
+            hashed.append(hash_words(buf, s, e))
+        starts.append(s)
+        ends.append(e)
         lo = hi - 1
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, dtype=kind)
     start, end = cat(starts, np.int64), cat(ends, np.int64)
@@ -96,7 +111,7 @@ def windows(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     if n < k:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U)
     ok = np.flatnonzero(w.doc[: n - k + 1] == w.doc[k - 1 :])
-    g = mix(w.hash, seed) if seed else w.hash
+    g = hash_words(w.buf, w.start, w.end, seed) if seed else w.hash
     base = U((0xD6E8FEB86659FD93 + 2 * seed * 0x1000193) % (1 << 64) | 1)
     if k <= 8:
         h = np.zeros(n - k + 1, dtype=U)

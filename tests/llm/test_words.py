@@ -44,3 +44,15 @@ def test_shingles_of_short_texts():
     got = {d: h[doc == d].tolist() for d in range(6)}
     assert got[0] == got[2] != got[4] and got[1] == [] and len(got[3]) == 2 and len(got[5]) == 2
     assert all((np.diff(h[doc == d].astype(object)) > 0).all() for d in range(6))
+
+
+def test_structured_words_do_not_collide():
+    def thue_morse(n, a, b):
+        return bytes(b if i.bit_count() & 1 else a for i in range(n))
+
+    words = [thue_morse(n, *ab) for n in (8, 16, 128, 256, 257, 1024, 2048, 4096) for ab in ((97, 98), (98, 97))]
+    words += [b"a" * n for n in (1, 7, 8, 9, 15, 16, 17, 255, 256, 257)]
+    for seed in (0, 1):
+        w = _words.scan([b" ".join(words)])
+        assert len(set(_words.hash_words(w.buf, w.start, w.end, seed).tolist())) == len(words)
+    assert not set(w.hash.tolist()) & set(_words.hash_words(w.buf, w.start, w.end, 1).tolist())
