@@ -3,20 +3,19 @@
 Each text's set of distinct shingles (5 lower-cased words; a shorter text is one shingle) goes through
 one initial permutation of a universe of 2**32 and a second one that is shifted circularly, by one place
 for each coordinate, so two permutations give all ``bands * rows`` coordinates. Texts of equal sets are
-one *representative* before banding. In each band's bucket the members are first paired with the bucket's
-leader (its least id) or its neighbours in the bucket; a pair counts only after
-its full sets have been compared. Rounds follow, over members of different components so far:
-
-1. each document with the least of its leaders;
-2. each document with all of its leaders;
-3. and later: each with its neighbours, where a bucket that still holds several components is put in the order of the
-   coordinates that follow its band, from another place each round, until a round finds no new link or ``CHEAP_ROUNDS`` are over;
-4. last, exactly: in buckets that still hold several components, each member outside the bucket's most common component
+one *representative* before banding. Members of a band's bucket are candidates; a pair counts only after its full sets
+have been compared. Three kinds of rounds follow:
+
+1. each document with the least of its buckets' leaders (a leader is a bucket's least id);
+2. in buckets that still hold several components: each document with all of its leaders and with its neighbours, where
+   a bucket is put in the order of the coordinates that follow its band;
+3. last, exactly: in buckets that still hold several components, each member outside the bucket's most common component
    with all the others, block against block by signatures. Of the pairs that the signatures let through a document's ``k``
    likeliest are compared in full; links shrink what is left, and ``k`` grows until no pair was left out.
 
-So a group of n copies costs n pairs a round, however large, once it is linked. With 24 bands of 5 rows a pair of
-Jaccard 0.85 meets in at least one bucket with probability 1 - 8e-7, one of 0.9 with 1 - 3e-10. A
+So every pair that meets in a bucket has been compared, or its two documents are in one component already, or the
+signatures exclude it; and a group of n copies costs n pairs a round, however large, once it is linked. With 24 bands of 5
+rows a pair of Jaccard 0.85 meets in at least one bucket with probability 1 - 8e-7, one of 0.9 with 1 - 3e-10. A
 pair goes to the exact comparison unless its coordinates agree five standard deviations too
 rarely (under about 0.69 of them for 0.85).
 
@@ -40,7 +39,6 @@ from heliograph.session import ensure_checkpoint_dir, ship_package
 U, U32 = np.uint64, np.uint32
 CHUNK = 1 << 15
 BLOCK = 1024  #: members of a bucket on each side of a block of the exact pass
-CHEAP_ROUNDS = 5  #: rounds by leaders and neighbours at most, before the exact pass
 FEW_IDS = 1_000_000  #: so many ids (8 MB) may be broadcast to pick the texts to compare; more are joined by a shuffle
 
 
@@ -145,11 +143,10 @@ def _confirm_batches(percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least reachable node) of the nodes in edges(a, b), by alternating star contraction.
 
-    Each step is a grouped minimum and a join; a checkpoint after it keeps the lineage short. Needs
-    a number of steps that grows with the logarithm of the longest chain.
+    Each step is a grouped minimum and a join, twice; a checkpoint after it keeps the lineage short. It ends when the edges
+    are stars around the least nodes, after a number of steps that grows with the logarithm of the longest chain.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    told = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -157,18 +154,21 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007)).first()
-        if now == told:
-            break
-        told = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        # stars: no node has two others above it, and none that stands above another has one above itself
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
+def joined_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of comp(node, component) after new links(a, b): only the components' least nodes are linked anew."""
+    if comp is None:
+        return components(links)
     of = lambda name: comp.select(F.col("node").alias(name), F.col("component").alias("c" + name))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(between)
+    moved = comp.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(new.join(comp, "node", "left_anti").select("node", "component")).checkpoint()
 
 
 def _adjacent_batches(percent: int):
@@ -276,20 +276,36 @@ def _untied(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: in
     return found.select("row", "a", "b", (F.col("cut") | (F.col("place") > k)).alias("cut"))
 
 
-def _neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: int, size: int, rows: int, shift: int) -> tuple[DataFrame, DataFrame]:
-    """(members of buckets that hold several components, pairs of neighbours there).
+def _leaders_and_neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: int, size: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(members of buckets that hold several components, pairs there of each with its leader and its neighbours).
 
     A bucket is ordered by the coordinates that follow its band, so neighbours agree longest. The order is
     global and dealt by range: a large bucket spreads over tasks.
     """
     rest = _with_component(left, comp)
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "n", "comp")).alias("lead")).where("lo < hi").select("key", "lead")
     rest = rest.join(mixed, "key").checkpoint()
-    at = F.pmod((F.col("band") + 1) * rows + F.lit(shift), F.lit(size))
+    lead = rest.where("comp <> lead.comp").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
+    at = F.pmod((F.col("band") + 1) * rows, F.lit(size))
     turned = F.concat(F.substring("sig", at + 1, F.lit(24)), F.substring("sig", F.lit(1), F.lit(24)))
     ordered = rest.join(sig, "rep").select("key", F.substring(turned, 1, 24).alias("order"), "rep", "n", "comp")
     pairs = ordered.repartitionByRange("key", "order").sortWithinPartitions("key", "order", "rep").mapInArrow(_adjacent_batches(percent), "a long, b long")
-    return rest.select("rep", "n", "band", "key"), pairs.distinct()
+    return rest.select("rep", "n", "band", "key"), pairs.unionByName(lead).distinct()
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float, percent: int, shingle: int) -> DataFrame | None:
+    """Those of pairs(a, b) whose full sets are alike enough; None without any."""
+    of = lambda name: sig.select(F.col("rep").alias(name), F.col("sig").alias("sig_" + name))
+    near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike_batches(least), "a long, b long").checkpoint()
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
+    few = ids.count()
+    if not few:
+        return None
+    wanted = docs.join(F.broadcast(ids) if few <= FEW_IDS else ids, "doc_id", "left_semi")
+    sets = wanted.mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
+    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("grams").alias("set_" + name))
+    found = near.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(percent), "a long, b long").distinct().checkpoint()
+    return None if found.isEmpty() else found
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
@@ -306,48 +322,28 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
     classes = sketch.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).checkpoint()
     sig = classes.select("rep", "sig")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    full = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    left = members.join(full, "key").checkpoint()
-
-    links = tested = comp = None
-    turn, k = 0, 0
+    lead = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).where("size > 1").select("key", "lead")
+    left = members.join(lead, "key").checkpoint()
+    pairs = left.where("rep > lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
+    pairs = pairs.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b").checkpoint()
+    links = _linked(pairs, docs, sig, least, percent, shingle)
+    comp = None if links is None else joined_components(None, links)
+    tested, k = pairs, 0
+    left, pairs = _leaders_and_neighbours(left, sig, comp, percent, bands * rows, rows)
     while True:
-        turn += 1
         cut = False
         if k:
             some = _untied(left, sig, comp, percent, least, k).checkpoint()
             cut = bool(some.agg(F.max("cut")).first()[0])
             pairs = some.select("a", "b").distinct()
-        elif turn <= 2:
-            lead = left.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"))
-            pairs = left.join(lead, "key").where("rep > lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-            pairs = pairs.select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
-            if comp is not None:
-                pairs = _apart(pairs, comp)
-            pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b") if turn == 1 else pairs.distinct()
-        else:
-            left, pairs = _neighbours(left, sig, comp, percent, bands * rows, rows, 7 * (turn - 3))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        near = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b").mapInArrow(_alike_batches(least), "a long, b long").checkpoint()
-        found = None
-        if not near.isEmpty():
-            ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            ids = ids.checkpoint()
-            if ids.count() <= FEW_IDS:
-                ids = F.broadcast(ids)
-            sets = docs.join(ids, "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
-            full_sets = near.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("set_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("set_a")), "a")
-            found = full_sets.mapInArrow(_confirm_batches(percent), "a long, b long").distinct().checkpoint()
-        new = found is not None and not found.isEmpty()
-        if new:
-            links = found if links is None else links.unionByName(found)
-            comp = components(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
+        links = _linked(pairs, docs, sig, least, percent, shingle)
+        if links is not None:
+            comp = joined_components(comp, links)
         if k and not cut:
             break  # every pair of different components has been compared
-        if turn > 2 and not new or not k and turn >= CHEAP_ROUNDS:
+        tested = tested.unionByName(pairs)
+        if not k or links is None:
             k = 8 * max(k, 1)
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")

@@ -86,6 +86,36 @@ def test_star_around_a_hub_that_does_not_lead(spark):
     assert len(got) == 1001 and {r.component_id for r in got} == {0}
 
 
+def trees():
+    """Random trees of copies, each with a few changed words of 200 against its parent, and two over structured words."""
+    rows, i = [], 0
+    for changed in (2, 3, 4):
+        for seed in range(10):
+            r, new = random.Random(100 * changed + seed), iter(range(10**6))
+            word = lambda t=f"{changed}_{seed}_", new=new: t + str(next(new))
+            tree = [[word() for _ in range(200)]]
+            for _ in range(149):
+                w = list(r.choice(tree))
+                for at in r.sample(range(200), changed):
+                    w[at] = word()
+                tree.append(w)
+            rows += [" ".join(w) for w in tree]
+    for n in (1024, 2048):  # texts that differ in one structured word of few
+        a, b = ("".join("ab"[(j.bit_count() + flip) & 1] for j in range(n)) for flip in (0, 1))
+        rows += [f"p{n} q r s {a}", f"p{n} q r s {b}"]
+    random.Random(9).shuffle(rows)
+    return [(i, t, 0, None) for i, t in enumerate(rows)]
+
+
+def test_random_trees_lose_no_link(spark):
+    rows, by = trees(), {}
+    for row in rows:  # trees share no word
+        by.setdefault(re.match(r"\d+_\d+_|p\d+", row[1])[0], []).append(row)
+    want = sorted(x for part in by.values() for x in brute(part)[0])
+    got = sorted(map(tuple, near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == want
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(x) for x in near_duplicates(spark.createDataFrame([(1, None, 0, "")], SCHEMA)).collect()] == [(1, 0, 1, True)]
