@@ -1,28 +1,38 @@
-"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney n-gram model of trusted text, scored by sharded count joins.
 
-Trusted documents are those whose labels all say quality 1 and none says toxic (null as 0). Half of them (by a hash of the id) are for training, of these a
-hash-chosen sample of about ``max_words`` words, the one bound here; the other half, whole, sets the
-thresholds. N-grams are counted per slice of text, then summed by hash-partitioned joins and groupings,
-which also give continuation counts, counts of counts, discounts (Chen and Goodman's three per
-order) and each context's interpolation weight.
+Trusted documents are those whose labels all say quality 1 and none says toxic (null as 0). Half of them (by a hash of the id) are
+for training, whole, so the counts grow with the input; the other half, whole, sets the thresholds.
 
-Scores: the bound on words also bounds the model (some 45 MB at a million words), so its sorted arrays are
-broadcast after a count and every text is scored where it lies. ``score_by_joins`` gets the same scores by
-joining the n-grams of all texts with the sharded counts; it needs one shuffled row per n-gram, several
-times the input, and serves where a model is beyond ``MOST_ENTRIES``.
+The work is dealt to *blocks* of documents (about ``block_bytes`` of text each) and to *shards* of the n-gram hash space, both in
+proportion to the text. A block sends each shard one message a level: the sorted hashes of its distinct n-grams there, with
+counts. So a frequent n-gram is one entry per block however often it stands, and there is no hot key.
+
+1. *Counts.* From the highest order down, a shard adds up the blocks' counts of each n-gram and makes the first block that has it
+   its owner. Owners tell the next lower level what they own: one kind more for the n-gram's last words (the continuation
+   counts of Kneser-Ney), and its adjusted count for its context. So each n-gram's shard ends up with its adjusted count and,
+   of the n-grams that continue it, the sum of counts and how many have count 1, 2 and 3 or more. Counts of counts
+   (a row a level) give Chen and Goodman's three discounts per order.
+2. *Scores.* Blocks of all documents ask the shards for what they know of their n-grams: words and pairs first, then longer ones
+   where both shorter ones in it are known (no other can be). The replies give every word's probability.
+
+No model is collected or broadcast. On the driver there are only six sums per level. Messages are packed (sorted hashes as
+compressed differences); there are at most as many as there are distinct n-grams in the blocks, so they grow with the text.
 
 A document's score is its mean negative log-likelihood per word (natural log), drawn towards its language's mean by
 ``prior_words`` words so that short texts are not judged by a few; perplexity is its exponential. The threshold is the
-``quantile`` of the held-out trusted documents' scores in the same language, over all languages where a
-language has none. A document above it is rejected.
+``quantile`` of the held-out trusted documents' scores in the same language (``percentile_approx`` with accuracy 100000), over all
+languages where a language has none. A document above it is rejected. Words and n-grams are known by 64-bit hashes; a score depends
+on its document alone, not on the block that it is in.
 
 Nulls: a null or wordless text has score null and is kept; null languages are a language of their own; unlabelled documents
-are scored like others. Without trusted text nothing is rejected. Repeated labels of one id must agree on 1. Empty
-tables give empty results. Other columns are ignored by ``score_documents`` and passed on by ``keep_quality``.
+are scored like others, rows without id too. Without trusted text nothing is rejected. Repeated labels of one id must agree on 1.
+Empty tables give empty results. Other columns are ignored by ``score_documents`` and passed on by ``keep_quality``.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +42,37 @@ from heliograph.llm import _words
 from heliograph.session import ensure_checkpoint_dir, ship_package
 
 U = np.uint64
-MOST_ENTRIES = 20_000_000
-ROUNDING = 1e-6  #: sums of logarithms differ in their last bits with the slice that a text is in
+CELL_BITS = 40  #: of an n-gram's hash, within its shard
+FEW_IDS = 1_000_000  #: so many ids (some 20 MB) may be broadcast; more are joined by a shuffle
+WORD = r"[^\x20\x09-\x0D]+"
+_MSG = [("n", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("cells", pa.binary()), ("vals", pa.binary()), ("sums", pa.list_(pa.int64()))]
+_MSG_DDL = "n int, shard long, block long, cells binary, vals binary, sums array<long>"
+FIELDS = 5  #: of a known n-gram: adjusted count; as a context: sum of counts, n-grams of count 1, 2, 3 or more
+
+
+def put(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes: zeros and small numbers take almost no room."""
+    planes = np.ascontiguousarray(numbers, dtype="<u8").reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return struct.pack("<q", len(planes)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def get(data: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<q", data)
+    planes = pa.decompress(memoryview(data)[8:], n, codec="zstd", asbytes=True)
+    return np.frombuffer(planes, dtype=np.uint8).reshape(8, -1).T.copy().view("<u8").reshape(-1)
 
 
-def _grams(w: _words.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(first word, hash) of the n-grams, for n = 1 .. order."""
-    return [_words.windows(w, n) for n in range(1, order + 1)]
+def put_sorted(cells: np.ndarray) -> bytes:
+    return put(np.diff(cells, prepend=U(0)))
+
+
+def get_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(get(data), dtype=U)
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[] for _ in _MSG]
+    return pa.table({n: pa.array(c, type=t) for (n, t), c in zip(_MSG, cols, strict=True)})
 
 
 def _share(column: str, salt: str):
@@ -53,147 +87,229 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.select("doc_id", (_share("doc_id", "fold") < 0.5).alias("held_out"))
 
 
-def ngram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """n, key, ctx (its first n - 1 words), suf (its last n - 1 words), c of every n-gram of texts(text)."""
-
-    def run(batches):
-        for batch in batches:
-            raw = _words.rows_of(batch, "text")
-            for lo, hi in _words.slices([len(x) for x in raw]):
-                grams = _grams(_words.scan(raw[lo:hi], lower=True), order)
-                for n, (at, h) in enumerate(grams, 1):
-                    key, first, c = np.unique(h, return_index=True, return_counts=True)
-                    ctx = suf = np.zeros(len(key), dtype=U)
-                    if n > 1:
-                        below = grams[n - 2]
-                        ctx = below[1][np.searchsorted(below[0], at[first])]
-                        suf = below[1][np.searchsorted(below[0], at[first] + 1)]
-                    cols = [pa.array(np.full(len(key), n, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in (key, ctx, suf)), pa.array(c.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["n", "key", "ctx", "suf", "c"])
-
-    rows = texts.select("text").mapInArrow(run, "n int, key long, ctx long, suf long, c long")
-    return rows.groupBy("n", "key").agg(F.first("ctx").alias("ctx"), F.first("suf").alias("suf"), F.sum("c").alias("c"))
-
-
-def kneser_ney(counts: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
-    """(n, key, alpha) and (n, key, gamma): discounted probabilities, and the weight that a context leaves to the lower order."""
-    after = counts.where("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("suf").alias("key")).agg(F.count("*").alias("kinds"))
-    a = counts.join(after, ["n", "key"], "left").withColumn("a", F.when(F.col("n") == order, F.col("c")).otherwise(F.coalesce("kinds", F.lit(1))))
-    a = a.select("n", "key", "ctx", "a").checkpoint()
-    t = {n: [1, 1, 1, 1] for n in range(1, order + 1)}
-    for r in a.where("a <= 4").groupBy("n", "a").count().collect():  # 4 rows an order
-        t[r["n"]][r["a"] - 1] = r["count"]
-    d = []
-    for n in range(1, order + 1):
-        t1, t2, t3, t4 = t[n]
-        y = t1 / (t1 + 2 * t2)
-        d += [F.when(F.col("n") == n, F.array(*[F.lit(float(min(max(x, 0.05), k))) for k, x in enumerate((1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3), 1)]))]
-    a = a.withColumn("d", F.element_at(F.coalesce(*d), F.least("a", F.lit(3)).cast("int")))
-    of = a.groupBy("n", "ctx").agg(F.sum("a").alias("total"), F.sum("d").alias("held"))
-    alpha = a.join(of, ["n", "ctx"]).select("n", "key", ((F.col("a") - F.col("d")) / F.col("total")).cast("float").alias("alpha"))
-    return alpha, of.select("n", F.col("ctx").alias("key"), (F.col("held") / F.col("total")).cast("float").alias("gamma"))
-
-
-class Table:
-    """Sorted keys with values; a bitmap answers most misses."""
-
-    BITS = 22
-
-    def __init__(self, keys: np.ndarray, values: list[np.ndarray], defaults: list[float]):
-        order = np.argsort(keys)
-        self.keys, self.values, self.defaults = keys[order], [v[order] for v in values], defaults
-
-    def ready(self) -> Table:
-        self.seen = np.zeros(1 << self.BITS, dtype=bool)
-        self.seen[(self.keys >> U(64 - self.BITS)).astype(np.int64)] = True
-        return self
-
-    def get(self, q: np.ndarray) -> list[np.ndarray]:
-        out = [np.full(len(q), d) for d in self.defaults]
-        if len(self.keys):
-            may = np.flatnonzero(self.seen[(q >> U(64 - self.BITS)).astype(np.int64)])
-            at = np.searchsorted(self.keys, q[may])
-            at[at == len(self.keys)] = 0
-            hit = self.keys[at] == q[may]
-            for o, v in zip(out, self.values, strict=True):
-                o[may[hit]] = v[at[hit]]
-        return out
-
-
-class Model:
-    """All orders' tables, for texts in slices."""
-
-    def __init__(self, tables: list[Table], unseen: float):
-        self.tables, self.unseen = tables, unseen
-
-    def ready(self) -> Model:
-        for t in self.tables:
-            t.ready()
-        return self
-
-    def score(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the words' negative log-likelihoods, words) of each text."""
-        w = _words.scan(raw, lower=True)
-        grams = _grams(w, len(self.tables))
-        p, below = np.zeros(0), None
-        for n, ((at, h), table) in enumerate(zip(grams, self.tables, strict=True), 1):
-            alpha, gamma = table.get(h)
-            if n == 1:
-                p = alpha + self.unseen
-            else:  # the n-gram at a word ends n - 1 words later
-                ctx = below[1][np.searchsorted(below[0], at)] if len(at) else alpha
-                end = at + n - 1
-                p[end] = alpha + ctx * p[end]
-            below = (at, gamma)
-        words = np.diff(w.first)
-        total = np.concatenate([[0.0], np.cumsum(-np.log(np.maximum(p, 1e-12)))])
-        return total[w.first[1:]] - total[w.first[:-1]], words
-
-
-def train(documents: DataFrame, labels: DataFrame, order: int = 3, max_words: int = 1_000_000) -> Model | None:
-    """A model of about max_words words of trusted text, on the driver; None without trusted text."""
-    ids = trusted_ids(labels).where("not held_out").select("doc_id")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_few(ids), "doc_id", "left_semi")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    total = texts.agg(F.sum(size)).first()[0] or 0
-    if not total:
-        return None
-    part = texts.where(_share("doc_id", "train") < max_words / total)
-    counts = ngram_counts(part, order).checkpoint()
-    if counts.isEmpty():
-        return None
-    if counts.count() > MOST_ENTRIES:
-        raise ValueError("the sample's model is beyond MOST_ENTRIES: lower max_words, or use score_by_joins")
-    alpha, gamma = kneser_ney(counts, order)
-    # the weight of n-gram k as a context stands beside its own probability
-    both = alpha.join(gamma.select((F.col("n") - 1).alias("n"), "key", "gamma"), ["n", "key"], "full_outer").select("n", "key", F.coalesce("alpha", F.lit(0.0).cast("float")).alias("alpha"), F.coalesce("gamma", F.lit(1.0).cast("float")).alias("gamma"))
-    got = both.toArrow()
-    n, key, al, ga = (got.column(c).to_numpy() for c in ("n", "key", "alpha", "gamma"))
-    tables = [Table(key[n == k].view(U), [al[n == k], ga[n == k]], [0.0, 1.0]) for k in range(1, order + 1)]
-    return Model(tables, float(ga[n == 0][0]) / (1 + len(tables[0].keys)))
-
-
 def _few(ids: DataFrame) -> DataFrame:
     """ids, marked for broadcast if a count finds them few."""
     ids = ids.checkpoint()
-    return F.broadcast(ids) if ids.count() <= 100_000 else ids
-
-
-def _scored(documents: DataFrame, shared) -> DataFrame:
-    """doc_id, lang, nll (a sum), n_words of each row."""
-
-    def run(batches):
-        model = shared.value.ready()
-        for batch in batches:
-            raw, nll, words = _words.rows_of(batch, "text"), [np.zeros(0)], [np.zeros(0, dtype=np.int64)]
-            for lo, hi in _words.slices([len(x) for x in raw]):
-                s, n = model.score(raw[lo:hi])
-                nll.append(s)
-                words.append(n)
-            cols = [batch.column("doc_id"), batch.column("lang"), pa.array(np.concatenate(nll)), pa.array(np.concatenate(words))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "nll", "n_words"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").mapInArrow(run, "doc_id long, lang string, nll double, n_words long")
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
+class Grams:
+    """The n-grams of a block's texts, by level: where each starts, and its shard and cell as one number."""
+
+    def __init__(self, raw: list[bytes], order: int, shards: int):
+        self.words = _words.scan(raw, lower=True)
+        self.at, self.code = [], []
+        for n in range(1, order + 1):
+            at, h = _words.windows(self.words, n)
+            self.at.append(at)
+            self.code.append(((h >> U(CELL_BITS)) % U(shards)) << U(CELL_BITS) | h & U((1 << CELL_BITS) - 1))
+
+    def of(self, n: int, starts: np.ndarray) -> np.ndarray:
+        """Positions, among the n-grams, of those that start at the given words."""
+        return np.searchsorted(self.at[n - 1], starts)
+
+
+def _by_shard(n: int, block: int, codes: np.ndarray, values: np.ndarray | None = None) -> list[tuple]:
+    """Messages of sorted distinct codes to their shards; values has a row a field."""
+    shard = (codes >> U(CELL_BITS)).astype(np.int64)
+    edge = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else [0]
+    low = codes & U((1 << CELL_BITS) - 1)
+    return [(n, int(shard[a]), block, put_sorted(low[a:b]), None if values is None else put(values[:, a:b]), None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _in_order(replies: pa.Table, n: int) -> list[dict]:
+    """A level's replies by shard: the order in which a block's codes were sent."""
+    return sorted((r for r in replies.to_pylist() if r["n"] == n), key=lambda r: r["shard"])
+
+
+def model_rows(texts: DataFrame, order: int, shards: int, blocks: int) -> DataFrame:
+    """n, shard, cells, vals (FIELDS rows), sums (n-grams, their counts' sum, counts of counts 1 to 4) of texts(doc_id, text)."""
+    docs = texts.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+
+    def highest(key, table):
+        g = Grams(_words.rows_of(table, "text"), order, shards)
+        codes, count = np.unique(g.code[-1], return_counts=True)
+        values = np.zeros((FIELDS, len(codes)), dtype=U)
+        values[0] = count
+        return _rows(_by_shard(order, key[0].as_py(), codes, values))
+
+    def lower(n):
+        def run(key, table, replies):
+            if not len(table):
+                return _rows([])
+            g = Grams(_words.rows_of(table, "text"), n + 1, shards)
+            _, first = np.unique(g.code[n], return_index=True)
+            parts = [get(r["vals"]) for r in _in_order(replies, n + 1)]
+            a = np.concatenate([np.zeros(0, dtype=U), *parts]).astype(np.int64)  # what the block owns, 0 elsewhere
+            start, a = g.at[n][first[a > 0]], a[a > 0]
+            codes, inverse = np.unique(g.code[n - 1], return_inverse=True)
+            context, suffix = inverse[g.of(n, start)], inverse[g.of(n, start + 1)]
+            count = lambda of, w=None: np.bincount(of, weights=w, minlength=len(codes)).astype(U)
+            values = np.stack([count(suffix), count(context, a), count(context[a == 1]), count(context[a == 2]), count(context[a > 2])])
+            return _rows(_by_shard(n, key[0].as_py(), codes, values))
+
+        return run
+
+    def merge(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        lists = [get_sorted(r["cells"]) for r in rows]
+        cells, values = np.concatenate(lists), np.concatenate([get(r["vals"]).reshape(FIELDS, -1) for r in rows], axis=1)
+        by = np.argsort(cells, kind="stable")  # equal cells by block: the first one owns
+        new = np.flatnonzero(np.concatenate([[True], np.diff(cells[by]) > 0]))
+        values = np.add.reduceat(values[:, by], new, axis=1)
+        values[0] = a = np.maximum(values[0], U(1))
+        owned, at, out = np.zeros(len(cells), dtype=U), 0, []
+        owned[by[new]] = a
+        n, shard = key[0].as_py(), key[1].as_py()
+        for r, x in zip(rows, lists, strict=True):
+            out.append((n, shard, r["block"], None, put(owned[at : at + len(x)]), None))
+            at += len(x)
+        sums = [len(a), int(a.sum()), *(int((a == k).sum()) for k in (1, 2, 3, 4))]
+        return _rows([*out, (n, shard, None, put_sorted(cells[by[new]]), put(values), sums)])
+
+    sent, levels = docs.groupBy("block").applyInArrow(highest, _MSG_DDL), []
+    for n in range(order, 0, -1):
+        merged = sent.groupBy("n", "shard").applyInArrow(merge, _MSG_DDL)
+        levels.append(merged.where("block is null"))
+        if n > 1:
+            replies = merged.where("block is not null").select("n", "shard", "block", "vals")
+            sent = docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(lower(n - 1), _MSG_DDL)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.select("n", "shard", "cells", "vals", "sums")
+
+
+class Rates:
+    """Discounts of each order, and the floor under single words, from the levels' sums."""
+
+    def __init__(self, sums: dict[int, list[int]], order: int):
+        self.discount = np.zeros((order + 1, 4))
+        for n in range(1, order + 1):
+            t1, t2, t3, t4 = (max(1, x) for x in sums[n][2:])
+            y = t1 / (t1 + 2 * t2)
+            self.discount[n, 1:] = [min(max(x, 0.05), k) for k, x in enumerate((1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3), 1)]
+        kinds, total, t1, t2 = sums[1][:4]
+        self.words = np.array([[0], [total], [t1], [t2], [kinds - t1 - t2]], dtype=float)  # all words, as the empty context
+        self.unseen = 1 / (1 + kinds)
+
+    def rest(self, n: int, context: np.ndarray) -> np.ndarray:
+        """What contexts leave to the lower order, for n-grams after them; 1 for unknown ones."""
+        held = (self.discount[n, 1:, None] * context[2:]).sum(axis=0)
+        return np.where(context[1] > 0, held / np.maximum(context[1], 1), 1.0)
+
+    def own(self, n: int, a: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return np.where(a > 0, (a - self.discount[n][np.minimum(a, 3).astype(np.int64)]) / np.maximum(context[1], 1), 0.0)
+
+
+def _known(g: Grams, replies: pa.Table, upto: int, order: int):
+    """Of each level up to upto: (codes asked, position among them of each n-gram or -1, FIELDS rows of what is known of those asked).
+
+    The last one's replies need not be there yet.
+    """
+    out, seen = [], None
+    for n in range(1, upto + 1):
+        code = g.code[n - 1]
+        may = np.ones(len(code), dtype=bool)
+        if n > 2:
+            start = g.at[n - 1]
+            may = seen[g.of(n - 1, start)] & seen[g.of(n - 1, start + 1)]
+        codes, inverse = np.unique(code[may], return_inverse=True)
+        at = np.full(len(code), -1)
+        at[may] = inverse
+        known = np.zeros((FIELDS, len(codes)))
+        lo = 0
+        for r in _in_order(replies, n) if replies is not None else ():
+            size = r["sums"][0]
+            hit = np.unpackbits(np.frombuffer(r["cells"], dtype=np.uint8), count=size).view(bool)
+            known[:, lo + np.flatnonzero(hit)] = get(r["vals"]).reshape(FIELDS, -1)
+            lo += size
+        seen = np.where(at >= 0, known[0][at] > 0, False) if len(codes) else np.zeros(len(code), dtype=bool)
+        out.append((codes, at, known))
+    return out
+
+
+def _answer(key, asked, model):
+    """What a shard knows of each block's n-grams: a bit for each, and FIELDS rows of those known."""
+    if not len(asked) or not len(model):
+        n, shard = key[0].as_py(), key[1].as_py()
+        empty = [(r["block"], len(get(r["cells"]))) for r in asked.to_pylist()]
+        return _rows([(n, shard, b, np.packbits(np.zeros(m, dtype=bool)).tobytes(), put(np.zeros(0)), [m]) for b, m in empty])
+    (m,) = model.to_pylist()
+    cells, vals = get_sorted(m["cells"]), get(m["vals"]).reshape(FIELDS, -1)
+    out = []
+    for block, data in zip(asked.column("block").to_pylist(), asked.column("cells"), strict=True):
+        q = get_sorted(data.as_py())
+        at = np.minimum(np.searchsorted(cells, q), len(cells) - 1)
+        hit = cells[at] == q
+        out.append((m["n"], m["shard"], block, np.packbits(hit).tobytes(), put(vals[:, at[hit]]), [len(q)]))
+    return _rows(out)
+
+
+def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int, shards: int, blocks: int) -> DataFrame:
+    """doc_id, lang, mark, nll (a sum), n_words of each row of documents(doc_id, text, lang), by joins with model_rows."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", mark(documents).alias("mark"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+
+    def ask(n):
+        def run(key, table, replies=None):
+            if not len(table):
+                return _rows([])
+            g = Grams(_words.rows_of(table, "text"), n, shards)
+            levels = _known(g, replies, n, order)
+            return _rows([r for k in ((1, 2) if n == 2 else (n,)) for r in _by_shard(k, key[0].as_py(), levels[k - 1][0])])
+
+        return run
+
+    def score(key, table, replies):
+        raw = _words.rows_of(table, "text")
+        if not raw:
+            nll, words = np.zeros(0), np.zeros(0, dtype=np.int64)
+        else:
+            g = Grams(raw, order, shards)
+            words, p, context = np.diff(g.words.first), np.zeros(0), None
+            for n, (_, at, known) in enumerate(_known(g, replies, order, order), 1):
+                of = np.concatenate([known, np.zeros((FIELDS, 1))], axis=1)[:, at]  # -1 is the last one: not known
+                if n == 1:
+                    p = rates.own(1, of[0], rates.words) + rates.rest(1, rates.words) * rates.unseen
+                else:  # the n-gram at a word ends n - 1 words later
+                    start = g.at[n - 1]
+                    before, end = context[:, g.of(n - 1, start)], start + n - 1
+                    p[end] = rates.own(n, of[0], before) + rates.rest(n, before) * p[end]
+                context = of
+            nll = np.zeros(len(raw))
+            full = np.flatnonzero(words)
+            if len(full):
+                nll[full] = np.add.reduceat(-np.log(np.maximum(p, 1e-12)), g.words.first[full])
+        return pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "mark": table.column("mark"), "nll": pa.array(nll), "n_words": pa.array(words)})
+
+    of = lambda asked: asked.groupBy("n", "shard").cogroup(model.groupBy("n", "shard")).applyInArrow(_answer, _MSG_DDL)
+    replies = of(docs.groupBy("block").applyInArrow(lambda key, table: ask(2)(key, table), _MSG_DDL))
+    for n in range(3, order + 1):
+        replies = replies.unionByName(of(docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(ask(n), _MSG_DDL)))
+    return docs.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, "doc_id long, lang string, mark long, nll double, n_words long")
+
+
+def mark(documents: DataFrame):
+    """A hash of a row's text, which tells rows of one id apart."""
+    return F.xxhash64(documents["text"], F.length(documents["text"]))
+
+
+def scores(documents: DataFrame, labels: DataFrame, order: int, block_bytes: int) -> DataFrame | None:
+    """scored_by a model of the trusted training documents; None without trusted text."""
+    if order < 2:
+        raise ValueError("the order of the model is 2 at least")
+    ids = _few(trusted_ids(labels).where("not held_out").select("doc_id"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, blocks = 1 + int(size // block_bytes), 1 + int(size // block_bytes)
+    model = model_rows(texts, order, shards, blocks).checkpoint()
+    sums = {r["n"]: [int(x) for x in r[1:]] for r in model.groupBy("n").agg(*[F.sum(F.element_at("sums", k)) for k in range(1, 7)]).collect()}  # a row a level
+    if not sums:
+        return None
+    for n in range(1, order + 1):
+        sums.setdefault(n, [0] * 6)
+    every = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return scored_by(documents, model.select("n", "shard", "cells", "vals"), Rates(sums, order), order, shards, 1 + int(every // block_bytes)).checkpoint()
 
 
 def _mean(mu, prior_words: float):
@@ -222,73 +338,32 @@ def _judged(scored: DataFrame, cuts: DataFrame, prior_words: float) -> DataFrame
     out = scored.join(own, scored["lang"].eqNullSafe(own["of"]), "left")
     score = F.when(F.col("n_words") > 0, _mean(F.coalesce("mu", mu0), prior_words))
     top = F.coalesce("threshold", t0)
-    return out.select(*scored.columns, F.exp(score).alias("perplexity"), F.exp(top).alias("threshold"), F.coalesce(score <= top + ROUNDING, F.lit(True)).alias("keep"))
+    return out.select(*scored.columns, F.exp(score).alias("perplexity"), F.exp(top).alias("threshold"), F.coalesce(score <= top, F.lit(True)).alias("keep"))
+
+
+def _verdicts(documents: DataFrame, labels: DataFrame, order: int, quantile: float, prior_words: float, block_bytes: int) -> DataFrame | None:
+    ship_package(documents.sparkSession)
+    ensure_checkpoint_dir(documents.sparkSession)
+    scored = scores(documents, labels, order, block_bytes)
+    return None if scored is None else _judged(scored, thresholds(scored, labels, quantile, prior_words), prior_words)
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, max_words: int = 1_000_000, quantile: float = 0.995, prior_words: float = 40.0) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of each row of documents(doc_id, text, lang)."""
-    spark = documents.sparkSession
-    ship_package(spark)
-    ensure_checkpoint_dir(spark)
-    model = train(documents, labels, order, max_words)
-    if model is None:
+    out = _verdicts(documents, labels, order, quantile, prior_words, block_bytes)
+    if out is None:
         none = F.lit(None).cast("double")
-        words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", words.alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("keep"))
-    scored = _scored(documents, spark.sparkContext.broadcast(model)).checkpoint()
-    return _judged(scored, thresholds(scored, labels, quantile, prior_words), prior_words).drop("nll")
+        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), words.alias("n_words"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("keep"))
+    return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", "keep")
 
 
-def keep_quality(documents: DataFrame, labels: DataFrame, order: int = 3, max_words: int = 1_000_000, quantile: float = 0.995, prior_words: float = 40.0) -> DataFrame:
+def keep_quality(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of documents that the classifier keeps, with all their columns."""
-    spark = documents.sparkSession
-    ship_package(spark)
-    ensure_checkpoint_dir(spark)
-    model = train(documents, labels, order, max_words)
-    if model is None:
+    out = _verdicts(documents, labels, order, quantile, prior_words, block_bytes)
+    if out is None:
         return documents
-    shared = spark.sparkContext.broadcast(model)
-    held = _few(trusted_ids(labels).where("held_out").select("doc_id"))
-    calibration = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(held, "doc_id", "left_semi")
-    cuts = thresholds(_scored(calibration, shared), labels, quantile, prior_words).limit(100_001).collect()  # a row a language, counted
-    if len(cuts) > 100_000:
-        raise ValueError("more than 100000 languages")
-    own = {r.lang: (r.mu, r.threshold) for r in cuts if not r.every}
-    every = next((r.mu, r.threshold) for r in cuts if r.every)
-
-    def run(batches):
-        m = shared.value.ready()
-        for batch in batches:
-            raw, langs = _words.rows_of(batch, "text"), batch.column("lang").to_pylist()
-            keep = np.ones(len(raw), dtype=bool)
-            for lo, hi in _words.slices([len(x) for x in raw]):
-                nll, n = m.score(raw[lo:hi])
-                for i in np.flatnonzero(n).tolist():
-                    mu, top = own.get(langs[lo + i], every)
-                    keep[lo + i] = top is None or (nll[i] + prior_words * mu) / (n[i] + prior_words) <= top + ROUNDING
-            yield batch.filter(pa.array(keep))
-
-    return documents.mapInArrow(run, documents.schema)
-
-
-def score_by_joins(documents: DataFrame, alpha: DataFrame, gamma: DataFrame, unseen: float, order: int = 3) -> DataFrame:
-    """doc_id, nll, n_words by joins with the sharded tables of kneser_ney; equal to the broadcast model's scores."""
-    ship_package(documents.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            raw, ids = _words.rows_of(batch, "text"), batch.column("doc_id")
-            for lo, hi in _words.slices([len(x) for x in raw]):
-                w = _words.scan(raw[lo:hi], lower=True)
-                for n, (at, h) in enumerate(_grams(w, order), 1):
-                    cols = [ids.take(pa.array(lo + w.doc[at])), pa.array(at + n - 1 - w.first[w.doc[at]]), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(h.view(np.int64))]
-                    below = np.zeros(len(at), dtype=U) if n == 1 else ctx_h[np.searchsorted(ctx_at, at)]
-                    ctx_at, ctx_h = at, h
-                    yield pa.RecordBatch.from_arrays([*cols, pa.array(below.view(np.int64))], names=["doc_id", "word", "n", "key", "ctx"])
-
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, word long, n int, key long, ctx long")
-    rows = rows.join(alpha, ["n", "key"], "left").join(gamma.select("n", F.col("key").alias("ctx"), "gamma"), ["n", "ctx"], "left")
-    row = F.struct("n", F.coalesce("alpha", F.lit(0.0)).cast("double").alias("alpha"), F.coalesce("gamma", F.lit(1.0)).cast("double").alias("gamma"))
-    words = rows.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(row)).alias("orders"))  # one row an order
-    p = F.aggregate("orders", F.lit(0.0), lambda low, x: F.when(x["n"] == 1, x["alpha"] + F.lit(unseen)).otherwise(x["alpha"] + x["gamma"] * low))
-    return words.groupBy("doc_id").agg(F.sum(-F.log(F.greatest(p, F.lit(1e-12)))).alias("nll"), F.count("*").alias("n_words"))
+    gone = out.where("not keep").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("mark").alias("__mark")).distinct()
+    gone = _few(gone)
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("__id")) & documents["lang"].cast("string").eqNullSafe(F.col("__lang")) & (mark(documents) == F.col("__mark"))
+    return documents.join(gone, same, "left_anti")

@@ -2,10 +2,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from heliograph.llm.quality import keep_quality, kneser_ney, ngram_counts, score_by_joins, score_documents, train
+from heliograph.llm.quality import get, get_sorted, keep_quality, put, put_sorted, score_documents, scores, trusted_ids
 from heliograph.session import ensure_checkpoint_dir
 
 DOCS, LABELS = "doc_id long, text string, lang string, quality string", "doc_id long, quality int, toxic int, lang int"
@@ -63,24 +63,25 @@ def model_by_hand(texts, order):
     return lambda w: sum(-math.log(p(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w)))
 
 
-def test_model_equals_dictionaries_and_joins(spark):
+@pytest.mark.parametrize("block_bytes,order", [(8 << 20, 3), (1500, 3), (700, 4), (3000, 2)])
+def test_scores_equal_dictionaries_however_dealt(spark, block_bytes, order):
     ensure_checkpoint_dir(spark)
-    texts = [t for _, t, lang, _ in made()[0][:120] if lang == "de"]
+    texts = [t for _, t, lang, _ in made()[0][:120] if lang == "de"] + ["de1 de2 never seen de3", "unseen", "de1 de1", "De1\tDE2\nde3 " * 400]
     df = spark.createDataFrame([(i, t, "de", None) for i, t in enumerate(texts)], DOCS)
-    labels = spark.createDataFrame([(i, 1, 0, None) for i in range(len(texts))], LABELS)
-    from heliograph.llm.quality import trusted_ids
-
+    labels = spark.createDataFrame([(i, 1, 0, None) for i in range(len(texts) - 4)], LABELS)
     used = {r.doc_id for r in trusted_ids(labels).where("not held_out").collect()}
-    model = train(df, labels).ready()
-    hand = model_by_hand([t for i, t in enumerate(texts) if i in used], 3)
-    tests = [*texts, "de1 de2 never seen de3", "unseen"]
-    nll, n = model.score([t.encode() for t in tests])
-    assert n.tolist() == [len(t.split()) for t in tests]
-    assert nll.tolist() == pytest.approx([hand(t.split()) for t in tests], rel=1e-4)
-    counts = ngram_counts(df.where(F.col("doc_id").isin(list(used))), 3).checkpoint()
-    alpha, gamma = kneser_ney(counts, 3)
-    got = {r.doc_id: (r.nll, r.n_words) for r in score_by_joins(df, alpha, gamma, model.unseen).collect()}
-    assert [got[i][0] for i in range(len(texts))] == pytest.approx(nll[: len(texts)].tolist(), rel=1e-4)
+    hand = model_by_hand([t for i, t in enumerate(texts) if i in used], order)
+    got = {r.doc_id: (r.nll, r.n_words) for r in scores(df, labels, order, block_bytes).collect()}
+    assert [got[i][1] for i in range(len(texts))] == [len(t.split()) for t in texts]
+    assert [got[i][0] for i in range(len(texts))] == pytest.approx([hand(t.lower().split()) for t in texts], rel=1e-9)
+    again = {r.doc_id: (r.nll, r.n_words) for r in scores(df.repartition(3), labels, order, 2 * block_bytes).collect()}
+    assert again == got  # to the last bit
+
+
+def test_packed_numbers():
+    for x in ([], [0], [5, 5, 2**40 - 1], list(range(0, 10**6, 997))):
+        a = np.array(x, dtype=np.uint64)
+        assert (get(put(a)) == a).all() and (get_sorted(put_sorted(a)) == a).all()
 
 
 def test_probabilities_sum_to_one():
@@ -101,12 +102,35 @@ def test_rejects_junk_and_keeps_clean(spark):
 
 
 def test_toxic_is_not_trusted(spark):
-    from heliograph.llm.quality import trusted_ids
-
     labels = [(1, 1, 0, None), (2, 1, 1, None), (3, 1, None, None), (4, 1, 0, None), (4, 1, 1, None), (5, 0, 0, None), (6, None, None, None)]
     assert sorted(r.doc_id for r in trusted_ids(spark.createDataFrame(labels, LABELS)).collect()) == [1, 3]
 
 
+def test_thresholds_and_keep_by_hand(spark):
+    """The verdict of each document from its scores: quantiles per language of held-out trusted documents."""
+    docs, labels = made()
+    docs += [(9100, docs[9][1], "en", None), (9100, docs[0][1], "de", None), (None, docs[9][1], "de", "x"), (9101, "en1 " * 30000, "fr", None)]
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    rows = scores(d, lab, 3, 1 << 20).collect()
+    held = {r.doc_id for r in trusted_ids(lab).where("held_out").collect()}
+    mu, score, all_scores = {}, defaultdict(list), []
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang and r.doc_id in held and r.n_words]
+        if own:
+            mu[lang] = sum(r.nll for r in own) / sum(r.n_words for r in own)
+            score[lang] = sorted((r.nll + 40 * mu[lang]) / (r.n_words + 40) for r in own)
+            all_scores += score[lang]
+    mu0 = sum(mu[k] * len(v) for k, v in score.items()) / len(all_scores)
+    top = lambda s: sorted(s)[math.ceil(0.995 * len(s)) - 1]
+    want = Counter()
+    for r in rows:
+        m, t = (mu[r.lang], top(score[r.lang])) if r.lang in mu else (mu0, top(all_scores))
+        want[r.doc_id, r.lang, r.n_words, not r.n_words or (r.nll + 40 * m) / (r.n_words + 40) <= t + 1e-12] += 1
+    assert Counter((r.doc_id, r.lang, r.n_words, r.keep) for r in score_documents(d, lab).collect()) == want
+    kept = Counter((r.doc_id, r.lang) for r in keep_quality(d, lab).collect())
+    assert kept == Counter({(i, lang): sum(n for (j, la, _, keep), n in want.items() if keep and (j, la) == (i, lang)) for i, lang in {(j, la) for j, la, _, keep in want if keep}})
+
+
 def test_without_trust_and_empty(spark):
     docs, labels = made(n=20)
     d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
