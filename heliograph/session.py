@@ -38,10 +38,19 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; make one of our own only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and driver and executors share a machine."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     named = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="heliograph-checkpoint-"))
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="heliograph-checkpoint-")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder for checkpoints, unless one is set already."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
