@@ -7,7 +7,6 @@ folder and reads them again for the next one. The last stage returns the columns
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +17,22 @@ from heliograph.llm.mixing import emit_copies
 from heliograph.llm.near_dedup import near_duplicates
 from heliograph.llm.quality import keep_quality
 from heliograph.llm.secrets import redact_secrets
-from heliograph.session import read_table
+from heliograph.session import read_table, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; null and wordless texts and rows without id are scored like others, or kept.
+
+    Rows of equal id, language and text share their verdict.
+    """
     return keep_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id."""
+    """One document of each group of near duplicates: the one of least id.
+
+    Null and wordless texts are in no group and stay. Rows without id stay, exact copies too. Rows of equal id stay or go together.
+    """
     gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct().checkpoint()
     if gone.count() <= 1_000_000:
         gone = F.broadcast(gone)
@@ -35,19 +40,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark. Null texts hold none; repeated rows share their verdict."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked and n_chars counted anew where the text has changed."""
+    """All documents, with secrets masked and n_chars counted anew where the text has changed; null texts stay null."""
     out = redact_secrets(docs.withColumn("__was", F.length("text")))
     n = F.when(F.length("text") == F.col("__was"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; null sources are one source, null texts have size 0."""
     return emit_copies(docs)
 
 
@@ -58,9 +63,8 @@ ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder for the stages' rows in the one that the cluster shares; of our own only where none is named."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heliograph-pipeline-")
-    return os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    """A new folder for the stages' rows in the one that the cluster shares."""
+    return os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
