@@ -10,14 +10,15 @@ have been compared. Three kinds of rounds follow:
 2. in buckets that still hold several components: each document with all of its leaders and with its neighbours, where
    a bucket is put in the order of the coordinates that follow its band;
 3. last, exactly: in buckets that still hold several components, each member outside the bucket's most common component
-   with all the others, block against block by signatures. Of the pairs that the signatures let through a document's ``k``
+   with all the others, block against block by long signatures (``LONG`` coordinates of 4 bits, made for these documents alone),
+   each pair in the first bucket that it shares. Of the pairs that the signatures let through a document's ``k``
    likeliest are compared in full; links shrink what is left, and ``k`` grows until no pair was left out.
 
 So every pair that meets in a bucket has been compared, or its two documents are in one component already, or the
 signatures exclude it; and a group of n copies costs n pairs a round, however large, once it is linked. With 24 bands of 5
 rows a pair of Jaccard 0.85 meets in at least one bucket with probability 1 - 8e-7, one of 0.9 with 1 - 3e-10. A
 pair goes to the exact comparison unless its coordinates agree five standard deviations too
-rarely (under about 0.69 of them for 0.85).
+rarely (under about 0.69 of them for 0.85, under 0.80 of the long ones).
 
 Nulls: a null or wordless text has an empty set and no links; a row without id takes no part in linking,
 has component_id null and kept true. Rows of equal id count as one document when links are followed, each
@@ -38,6 +39,7 @@ from heliograph.session import ensure_checkpoint_dir, ship_package
 
 U, U32 = np.uint64, np.uint32
 CHUNK = 1 << 15
+LONG = 1024  #: coordinates of a long signature
 BLOCK = 1024  #: members of a bucket on each side of a block of the exact pass
 FEW_IDS = 1_000_000  #: so many ids (8 MB) may be broadcast to pick the texts to compare; more are joined by a shuffle
 
@@ -65,6 +67,31 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, size: int) -> np.nda
     return sig
 
 
+def _bucket_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Each text's bucket in each band."""
+    keys = np.zeros((len(sig), bands), dtype=U)
+    for r in range(rows):
+        keys = _words.mix(keys * _words._BASE + sig[:, r : bands * rows : rows].astype(U), 3)
+    return _words.mix(keys + np.arange(bands, dtype=U), 5)
+
+
+def _long_batches(bands: int, rows: int, k: int):
+    """rep, sig: a long signature, two coordinates a byte; marks: 32 bits of each of the text's buckets."""
+
+    def run(batches):
+        for batch in batches:
+            ids, raw = batch.column("doc_id"), _words.rows_of(batch, "text")
+            for lo, hi in _words.slices([len(x) for x in raw]):
+                doc, h = _words.shingles(_words.scan(raw[lo:hi], lower=True), k)
+                sig = signatures(doc, h, hi - lo, LONG)
+                marks = _bucket_keys(sig, bands, rows).astype(U32)
+                pairs = ((sig[:, 0::2] & U32(15)) << U32(4) | sig[:, 1::2] & U32(15)).astype(np.uint8)
+                cols = [ids.slice(lo, hi - lo), *(pa.array([x.tobytes() for x in a], type=pa.binary()) for a in (pairs, marks))]
+                yield pa.RecordBatch.from_arrays(cols, names=["rep", "sig", "marks"])
+
+    return run
+
+
 def _sketch_batches(bands: int, rows: int, k: int):
     def run(batches):
         for batch in batches:
@@ -73,10 +100,7 @@ def _sketch_batches(bands: int, rows: int, k: int):
                 doc, h = _words.shingles(_words.scan(raw[lo:hi], lower=True), k)
                 n = np.bincount(doc, minlength=hi - lo)
                 sig = signatures(doc, h, hi - lo, bands * rows)
-                keys = np.zeros((hi - lo, bands), dtype=U)
-                for r in range(rows):
-                    keys = _words.mix(keys * _words._BASE + sig[:, r::rows].astype(U), 3)
-                keys = _words.mix(keys + np.arange(bands, dtype=U), 5)
+                keys = _bucket_keys(sig, bands, rows)
                 sums = [np.zeros(hi - lo, dtype=U) for _ in range(2)]
                 full = n > 0
                 if len(h):
@@ -199,7 +223,8 @@ def _with_component(left: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _block_batches(percent: int, least: float, k: int):
-    """row, a, b, agree, cut: of each outsider its k likeliest partners in its block, if of another component and alike in size and signature.
+    """row, a, b, agree, cut: of each outsider its k likeliest partners in its block, if of another component, alike in size and
+    signature, and in no earlier bucket together.
 
     Reads the outsiders of a block first (every false), then the members that they are held against.
     """
@@ -209,15 +234,15 @@ def _block_batches(percent: int, least: float, k: int):
         for batch in batches:
             if not len(batch):
                 continue
-            key, i, j, every, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "every", "rep", "n", "comp"))
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint8).reshape(len(batch), -1)
+            key, i, j, every, band, rep, n, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("key", "i", "j", "every", "band", "rep", "n", "comp"))
+            sig, marks = (np.frombuffer(b"".join(batch.column(x).to_pylist()), dtype=t).reshape(len(batch), -1) for x, t in (("sig", np.uint8), ("marks", U32)))
             edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (every[1:] != every[:-1])) + 1
             out = []
             for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(batch)], strict=True):
                 now = key[lo], i[lo], j[lo]
                 if now != place:
                     place, own, fresh = now, [], True
-                part = rep[lo:hi], n[lo:hi], c[lo:hi], sig[lo:hi]
+                part = rep[lo:hi], n[lo:hi], c[lo:hi], sig[lo:hi], marks[lo:hi]
                 if not every[lo]:
                     own.append(part)
                     continue
@@ -225,17 +250,19 @@ def _block_batches(percent: int, least: float, k: int):
                     continue
                 if fresh:
                     own, fresh = [tuple(np.concatenate(x) for x in zip(*own, strict=True))], False
-                r, m, d, s = own[0]
-                step = max(1, (16 << 20) // (s.shape[1] * (hi - lo)))
-                for at in range(0, len(r), step):
-                    to = slice(at, at + step)
+                r, m, d, s, f = own[0]
+                for at in range(0, len(r), 256):
+                    to = slice(at, at + 256)
                     ok = (d[to, None] != part[2]) & (100 * np.minimum(m[to, None], part[1]) >= percent * np.maximum(m[to, None], part[1]))
                     x, y = np.nonzero(ok)
                     agree = np.zeros(ok.shape, dtype=np.int32)
-                    for q in range(0, len(x), 1 << 17):
-                        xq, yq = x[q : q + (1 << 17)], y[q : q + (1 << 17)]
-                        agree[xq, yq] = (s[at + xq] == part[3][yq]).sum(axis=1)
-                    agree[agree < least * s.shape[1]] = 0
+                    for q in range(0, len(x), 1 << 14):
+                        xq, yq = x[q : q + (1 << 14)], y[q : q + (1 << 14)]
+                        first = (f[at + xq] == part[4][yq]).argmax(axis=1) == band[lo]
+                        xq, yq = xq[first], yq[first]
+                        differ = s[at + xq] ^ part[3][yq]
+                        agree[xq, yq] = (differ & 15 == 0).sum(axis=1) + (differ < 16).sum(axis=1)
+                    agree[agree < least * 2 * s.shape[1]] = 0
                     for u in np.flatnonzero(agree.any(axis=1)).tolist():
                         v = np.flatnonzero(agree[u])
                         cut = len(v) > k
@@ -250,22 +277,24 @@ def _block_batches(percent: int, least: float, k: int):
     return run
 
 
-def _untied(left: DataFrame, sig: DataFrame, comp: DataFrame | None, percent: int, least: float, k: int) -> DataFrame:
+def _untied(left: DataFrame, long: DataFrame, comp: DataFrame | None, percent: int, k: int) -> DataFrame:
     """row, a, b, cut: the k likeliest partners of each document in another component of one of its buckets; cut where it has more.
 
     Of two members of different components one at least is outside the bucket's most common component, so only outsiders
     are held against all members. Both sides are dealt into blocks, so that a large bucket spreads over tasks. A
     bucket of two needs no look: its leader's round has had the pair.
     """
+    same = percent / 100 + (1 - percent / 100) / 16  # 4 bits agree by chance too
+    least = same - 5 * math.sqrt(same * (1 - same) / LONG)
     rest = _with_component(left, comp)
     kinds = rest.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
     kinds = kinds.agg(F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1 and size > 2")
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
     kinds = kinds.select("key", F.col("top.comp").alias("most"), blocks(F.col("size")).alias("nj"), blocks(F.col("size") - F.col("top.m")).alias("ni"))
-    rest = rest.join(kinds, "key").join(sig, "rep")
+    rest = rest.join(kinds, "key").join(long, "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["key", "i", "j", "every", "rep", "n", "comp", "sig"]
+    cols = ["key", "i", "j", "every", "band", "rep", "n", "comp", "sig", "marks"]
     own = rest.where("comp <> most").withColumn("i", deal("ni")).withColumn("j", upto("nj")).withColumn("every", F.lit(False)).select(cols)
     every = rest.withColumn("j", deal("nj")).withColumn("i", upto("ni")).withColumn("every", F.lit(True)).select(cols)
     dealt = own.unionByName(every).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "every")
@@ -293,6 +322,17 @@ def _leaders_and_neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | N
     return rest.select("rep", "n", "band", "key"), pairs.unionByName(lead).distinct()
 
 
+def _mixed(left: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The members of buckets of three or more that hold several components."""
+    keys = _with_component(left, comp).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
+    return left.join(keys.select("key"), "key").select("rep", "n", "band", "key").checkpoint()
+
+
+def _those(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
+    """The rows of docs with one of the ids, of which there are so few."""
+    return docs.join(F.broadcast(ids) if few <= FEW_IDS else ids, "doc_id", "left_semi")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float, percent: int, shingle: int) -> DataFrame | None:
     """Those of pairs(a, b) whose full sets are alike enough; None without any."""
     of = lambda name: sig.select(F.col("rep").alias(name), F.col("sig").alias("sig_" + name))
@@ -301,8 +341,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float, per
     few = ids.count()
     if not few:
         return None
-    wanted = docs.join(F.broadcast(ids) if few <= FEW_IDS else ids, "doc_id", "left_semi")
-    sets = wanted.mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
+    sets = _those(docs, ids, few).mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
     of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("grams").alias("set_" + name))
     found = near.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(percent), "a long, b long").distinct().checkpoint()
     return None if found.isEmpty() else found
@@ -328,12 +367,16 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
     pairs = pairs.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b").checkpoint()
     links = _linked(pairs, docs, sig, least, percent, shingle)
     comp = None if links is None else joined_components(None, links)
-    tested, k = pairs, 0
+    tested, k, long = pairs, 0, None
     left, pairs = _leaders_and_neighbours(left, sig, comp, percent, bands * rows, rows)
     while True:
         cut = False
         if k:
-            some = _untied(left, sig, comp, percent, least, k).checkpoint()
+            if long is None:
+                left = _mixed(left, comp)
+                ids = left.select(F.col("rep").alias("doc_id")).distinct().checkpoint()
+                long = _those(docs, ids, ids.count()).mapInArrow(_long_batches(bands, rows, shingle), "rep long, sig binary, marks binary").dropDuplicates(["rep", "sig"]).checkpoint()
+            some = _untied(left, long, comp, percent, k).checkpoint()
             cut = bool(some.agg(F.max("cut")).first()[0])
             pairs = some.select("a", "b").distinct()
         pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
@@ -344,7 +387,7 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
             break  # every pair of different components has been compared
         tested = tested.unionByName(pairs)
         if not k or links is None:
-            k = 8 * max(k, 1)
+            k = 8 * k or 64
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     out = out.join(classes.select("d1", "d2", "rep", F.lit(True).alias("linked")), ["d1", "d2"], "left")
