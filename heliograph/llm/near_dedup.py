@@ -41,7 +41,8 @@ U, U32 = np.uint64, np.uint32
 CHUNK = 1 << 15
 LONG = 1024  #: coordinates of a long signature
 BLOCK = 1024  #: members of a bucket on each side of a block of the exact pass
-FEW_IDS = 1_000_000  #: so many ids (8 MB) may be broadcast to pick the texts to compare; more are joined by a shuffle
+FEW = 1_000_000  #: so many ids or pairs (8 or 16 MB) may be broadcast; more are joined by a shuffle
+ROWS = 50_000  #: of a narrow checkpointed frame in a partition
 
 
 def _permute32(x: np.ndarray) -> np.ndarray:
@@ -164,35 +165,45 @@ def _confirm_batches(percent: int):
     return run
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """df checkpointed, in a number of partitions that suits its rows, and its count."""
+    df = df.checkpoint()
+    n = df.count()
+    return df.coalesce(1 + n // ROWS), n
+
+
+def _small(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows, marked for broadcast if they are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least reachable node) of the nodes in edges(a, b), by alternating star contraction.
 
     Each step is a grouped minimum and a join, twice; a checkpoint after it keeps the lineage short. It ends when the edges
     are stars around the least nodes, after a number of steps that grows with the logarithm of the longest chain.
     """
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e, n = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(_small(least, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        small = large.join(_small(least, n), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e, n = _kept(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         # stars: no node has two others above it, and none that stands above another has one above itself
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
         if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below + above > 1").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def joined_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def joined_components(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components of comp(node, component) after new links(a, b): only the components' least nodes are linked anew."""
-    if comp is None:
-        return components(links)
     of = lambda name: comp.select(F.col("node").alias(name), F.col("component").alias("c" + name))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     new = components(between)
     moved = comp.join(new.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
-    return moved.unionByName(new.join(comp, "node", "left_anti").select("node", "component")).checkpoint()
+    return _kept(moved.unionByName(new.join(comp, "node", "left_anti").select("node", "component")))[0]
 
 
 def _adjacent_batches(percent: int):
@@ -313,7 +324,7 @@ def _leaders_and_neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | N
     """
     rest = _with_component(left, comp)
     mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("rep", "n", "comp")).alias("lead")).where("lo < hi").select("key", "lead")
-    rest = rest.join(mixed, "key").checkpoint()
+    rest, _ = _kept(rest.join(mixed, "key"))
     lead = rest.where("comp <> lead.comp").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
     at = F.pmod((F.col("band") + 1) * rows, F.lit(size))
     turned = F.concat(F.substring("sig", at + 1, F.lit(24)), F.substring("sig", F.lit(1), F.lit(24)))
@@ -325,26 +336,22 @@ def _leaders_and_neighbours(left: DataFrame, sig: DataFrame, comp: DataFrame | N
 def _mixed(left: DataFrame, comp: DataFrame | None) -> DataFrame:
     """The members of buckets of three or more that hold several components."""
     keys = _with_component(left, comp).groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    return left.join(keys.select("key"), "key").select("rep", "n", "band", "key").checkpoint()
+    return _kept(left.join(keys.select("key"), "key").select("rep", "n", "band", "key"))[0]
 
 
-def _those(docs: DataFrame, ids: DataFrame, few: int) -> DataFrame:
-    """The rows of docs with one of the ids, of which there are so few."""
-    return docs.join(F.broadcast(ids) if few <= FEW_IDS else ids, "doc_id", "left_semi")
-
-
-def _linked(pairs: DataFrame, docs: DataFrame, sig: DataFrame, least: float, percent: int, shingle: int) -> DataFrame | None:
-    """Those of pairs(a, b) whose full sets are alike enough; None without any."""
+def _linked(pairs: DataFrame, many: int, docs: DataFrame, sig: DataFrame, least: float, percent: int, shingle: int) -> DataFrame | None:
+    """Those of pairs(a, b), of which there are so many, whose full sets are alike enough; None without any."""
+    if not many:
+        return None
     of = lambda name: sig.select(F.col("rep").alias(name), F.col("sig").alias("sig_" + name))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_alike_batches(least), "a long, b long").checkpoint()
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().checkpoint()
-    few = ids.count()
-    if not few:
+    near, many = _kept(of("b").join(_small(of("a").join(_small(pairs, many), "a"), 40 * many), "b").mapInArrow(_alike_batches(least), "a long, b long").distinct())
+    if not many:
         return None
-    sets = _those(docs, ids, few).mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
+    ids, few = _kept(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = docs.join(_small(ids, few), "doc_id", "left_semi").mapInArrow(_set_batches(shingle), "doc_id long, grams binary").dropDuplicates(["doc_id", "grams"]).checkpoint()
     of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("grams").alias("set_" + name))
-    found = near.join(of("b"), "b").join(of("a"), "a").mapInArrow(_confirm_batches(percent), "a long, b long").distinct().checkpoint()
-    return None if found.isEmpty() else found
+    found, many = _kept(of("b").join(_small(near, many), "b").join(of("a"), "a").mapInArrow(_confirm_batches(percent), "a long, b long").distinct())
+    return found if many else None
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
@@ -362,32 +369,31 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
     sig = classes.select("rep", "sig")
     members = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     lead = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("lead")).where("size > 1").select("key", "lead")
-    left = members.join(lead, "key").checkpoint()
+    left, _ = _kept(members.join(lead, "key"))
     pairs = left.where("rep > lead.rep").where(100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n"))
-    pairs = pairs.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b").checkpoint()
-    links = _linked(pairs, docs, sig, least, percent, shingle)
-    comp = None if links is None else joined_components(None, links)
-    tested, k, long = pairs, 0, None
-    left, pairs = _leaders_and_neighbours(left, sig, comp, percent, bands * rows, rows)
-    while True:
-        cut = False
-        if k:
-            if long is None:
-                left = _mixed(left, comp)
-                ids = left.select(F.col("rep").alias("doc_id")).distinct().checkpoint()
-                long = _those(docs, ids, ids.count()).mapInArrow(_long_batches(bands, rows, shingle), "rep long, sig binary, marks binary").dropDuplicates(["rep", "sig"]).checkpoint()
-            some = _untied(left, long, comp, percent, k).checkpoint()
-            cut = bool(some.agg(F.max("cut")).first()[0])
-            pairs = some.select("a", "b").distinct()
-        pairs = pairs.join(tested, ["a", "b"], "left_anti").checkpoint()
-        links = _linked(pairs, docs, sig, least, percent, shingle)
-        if links is not None:
-            comp = joined_components(comp, links)
-        if k and not cut:
-            break  # every pair of different components has been compared
+    tested, many = _kept(pairs.groupBy(F.col("rep").alias("b")).agg(F.min("lead.rep").alias("a")).select("a", "b"))
+    links = _linked(tested, many, docs, sig, least, percent, shingle)
+    # so far each has one link at most, to a leader of less id: that serves as its component in the second round
+    left, pairs = _leaders_and_neighbours(left, sig, None if links is None else links.select(F.col("b").alias("node"), F.col("a").alias("component")), percent, bands * rows, rows)
+    pairs, many = _kept(pairs.join(_small(tested, many), ["a", "b"], "left_anti"))
+    tested = tested.unionByName(pairs)
+    more = _linked(pairs, many, docs, sig, least, percent, shingle)
+    links = links if more is None else more if links is None else links.unionByName(more)
+    comp = None if links is None else components(links)
+    left, k, cut = _mixed(left, comp), 512, True
+    ids, few = _kept(left.select(F.col("rep").alias("doc_id")).distinct())
+    long = docs.join(_small(ids, few), "doc_id", "left_semi").mapInArrow(_long_batches(bands, rows, shingle), "rep long, sig binary, marks binary").dropDuplicates(["rep", "sig"]).checkpoint()
+    while cut and few:
+        some, _ = _kept(_untied(left, long, comp, percent, k))
+        cut = bool(some.agg(F.max("cut")).first()[0])
+        pairs, many = _kept(some.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+        more = _linked(pairs, many, docs, sig, least, percent, shingle)
+        if more is None:
+            k *= 8
+        else:
+            comp = components(more) if comp is None else joined_components(comp, more)
         tested = tested.unionByName(pairs)
-        if not k or links is None:
-            k = 8 * k or 64
+    # every pair of different components that meets in a bucket has been compared
 
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     out = out.join(classes.select("d1", "d2", "rep", F.lit(True).alias("linked")), ["d1", "d2"], "left")
