@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from heliograph.llm import _words
-from heliograph.llm.decontaminate import drop_contaminated, edit_distance, find_leaks
+from heliograph.llm.decontaminate import Part, drop_contaminated, edit_distance, find_leaks
 
 DOCS, ITEMS = "doc_id long, text string, item_id string", "item_id long, text string, lang string"
 
@@ -62,6 +63,37 @@ def test_recall_and_precision(spark):
     assert all(found[k] >= want[k] for k in found) and sum(found[k] == want[k] for k in found) >= 0.95 * len(found)
 
 
+@pytest.mark.parametrize("how", ["drop", "replace", "any"])
+@pytest.mark.parametrize("size", [10, 15, 31, 60, 120, 250])
+def test_recall_of_the_lsh_alone_at_the_limit(size, how):
+    """Of items with one word in five edited, those whose right window is a candidate."""
+    r, hits, n = random.Random(size), 0, 100
+    word = lambda: "v%d" % r.randrange(5000)
+    items = [(i, " ".join(word() for _ in range(size))) for i in range(n)]
+    texts = []
+    for _, t in items:
+        x = t.split()
+        for at in sorted(r.sample(range(size), size // 5), reverse=True):
+            kind = r.randrange(3) if how == "any" else 0 if how == "drop" else 2
+            x[at : at + (kind != 1)] = [word()] if kind else []
+        texts.append(" ".join([word() for _ in range(r.randrange(40))] + x + [word() for _ in range(r.randrange(40))]).encode())
+    part = Part(items, 0.8, 32, 3)
+    found = {(d, i) for d, i, _ in part.candidates(_words.scan(texts, lower=True)).tolist()}
+    hits = sum((i, i) in found for i in range(n))
+    assert hits >= 0.97 * n
+    leaks = part.leaks(texts)
+    assert sum(d == i for d, i, *_ in leaks) >= 0.97 * n
+
+
+def test_slices_and_long_texts_do_not_matter():
+    docs, items = made(3)
+    part = Part([x[:2] for x in items], 0.8, 32, 3)
+    raw = [(t or "").encode() for _, t, _ in docs]
+    whole = part.leaks([*raw, b" ".join(raw)])
+    alone = [(i, *rest) for i, t in enumerate([*raw, b" ".join(raw)]) for _, *rest in part.leaks([t])]
+    assert whole == alone and {i for d, i, *_ in whole if d == len(raw)} >= {i for d, i, *_ in whole if d < len(raw)}
+
+
 def test_parts_and_filter_and_empty(spark):
     docs, items = made(2)
     d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
