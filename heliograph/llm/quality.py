@@ -101,7 +101,7 @@ class Grams:
         self.at, self.code = [], []
         for n in range(1, order + 1):
             at, h = _words.windows(self.words, n)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
             self.code.append(((h >> U(CELL_BITS)) % U(shards)) << U(CELL_BITS) | h & U((1 << CELL_BITS) - 1))
 
     def of(self, n: int, starts: np.ndarray) -> np.ndarray:
@@ -193,19 +193,20 @@ class Rates:
         self.words = np.array([[0], [total], [t1], [t2], [kinds - t1 - t2]], dtype=float)  # all words, as the empty context
         self.unseen = 1 / (1 + kinds)
 
-    def rest(self, n: int, context: np.ndarray) -> np.ndarray:
-        """What contexts leave to the lower order, for n-grams after them; 1 for unknown ones."""
-        held = (self.discount[n, 1:, None] * context[2:]).sum(axis=0)
-        return np.where(context[1] > 0, held / np.maximum(context[1], 1), 1.0)
+    def rest(self, n: int, known: np.ndarray) -> np.ndarray:
+        """What each known n-gram, as a context, leaves to the lower order; 1 for unknown ones. n is the order of what follows."""
+        held = (self.discount[n, 1:, None] * known[2:]).sum(axis=0)
+        return np.where(known[1] > 0, held / np.maximum(known[1], 1), 1.0)
 
-    def own(self, n: int, a: np.ndarray, context: np.ndarray) -> np.ndarray:
-        return np.where(a > 0, (a - self.discount[n][np.minimum(a, 3).astype(np.int64)]) / np.maximum(context[1], 1), 0.0)
+    def own(self, n: int, known: np.ndarray) -> np.ndarray:
+        """Each known n-gram's count less its discount."""
+        return np.maximum(known[0] - self.discount[n][np.minimum(known[0], 3).astype(np.int64)], 0.0)
 
 
-def _known(g: Grams, replies: pa.Table, upto: int, order: int):
-    """Of each level up to upto: (codes asked, position among them of each n-gram or -1, FIELDS rows of what is known of those asked).
+def _known(g: Grams, replies: pa.Table, upto: int):
+    """Of each level up to upto: (codes asked, for each n-gram its place in what is known, FIELDS rows of that).
 
-    The last one's replies need not be there yet.
+    The first place stands for all that is unknown. The last level's replies need not be there yet.
     """
     out, seen = [], None
     for n in range(1, upto + 1):
@@ -215,17 +216,17 @@ def _known(g: Grams, replies: pa.Table, upto: int, order: int):
             start = g.at[n - 1]
             may = seen[g.of(n - 1, start)] & seen[g.of(n - 1, start + 1)]
         codes, inverse = np.unique(code[may], return_inverse=True)
-        at = np.full(len(code), -1)
-        at[may] = inverse
-        known = np.zeros((FIELDS, len(codes)))
-        lo = 0
+        place, parts, lo, have = np.zeros(len(codes), dtype=np.int32), [np.zeros((FIELDS, 1))], 0, 1
         for r in _in_order(replies, n) if replies is not None else ():
             size = r["sums"][0]
-            hit = np.unpackbits(np.frombuffer(r["cells"], dtype=np.uint8), count=size).view(bool)
-            known[:, lo + np.flatnonzero(hit)] = get(r["vals"]).reshape(FIELDS, -1)
-            lo += size
-        seen = np.where(at >= 0, known[0][at] > 0, False) if len(codes) else np.zeros(len(code), dtype=bool)
-        out.append((codes, at, known))
+            hit = lo + np.flatnonzero(np.unpackbits(np.frombuffer(r["cells"], dtype=np.uint8), count=size))
+            place[hit] = np.arange(have, have + len(hit))
+            parts.append(get(r["vals"]).reshape(FIELDS, -1).astype(float))
+            lo, have = lo + size, have + len(hit)
+        where = np.zeros(len(code), dtype=np.int32)
+        where[may] = place[inverse]
+        seen = where > 0
+        out.append((codes, where, np.concatenate(parts, axis=1)))
     return out
 
 
@@ -255,7 +256,7 @@ def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int,
             if not len(table):
                 return _rows([])
             g = Grams(_words.rows_of(table, "text"), n, shards)
-            levels = _known(g, replies, n, order)
+            levels = _known(g, replies, n)
             return _rows([r for k in ((1, 2) if n == 2 else (n,)) for r in _by_shard(k, key[0].as_py(), levels[k - 1][0])])
 
         return run
@@ -266,16 +267,16 @@ def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int,
             nll, words = np.zeros(0), np.zeros(0, dtype=np.int64)
         else:
             g = Grams(raw, order, shards)
-            words, p, context = np.diff(g.words.first), np.zeros(0), None
-            for n, (_, at, known) in enumerate(_known(g, replies, order, order), 1):
-                of = np.concatenate([known, np.zeros((FIELDS, 1))], axis=1)[:, at]  # -1 is the last one: not known
+            words, p, before = np.diff(g.words.first), np.zeros(0), None
+            for n, (_, where, known) in enumerate(_known(g, replies, order), 1):
+                own = rates.own(n, known)[where]
                 if n == 1:
-                    p = rates.own(1, of[0], rates.words) + rates.rest(1, rates.words) * rates.unseen
+                    p = own / max(1.0, rates.words[1, 0]) + rates.rest(1, rates.words) * rates.unseen
                 else:  # the n-gram at a word ends n - 1 words later
                     start = g.at[n - 1]
-                    before, end = context[:, g.of(n - 1, start)], start + n - 1
-                    p[end] = rates.own(n, of[0], before) + rates.rest(n, before) * p[end]
-                context = of
+                    context, end = before[0][g.of(n - 1, start)], start + (n - 1)
+                    p[end] = own / np.maximum(before[1], 1)[context] + before[2][context] * p[end]
+                before = where, known[1], rates.rest(n + 1, known) if n < order else None
             nll = np.zeros(len(raw))
             full = np.flatnonzero(words)
             if len(full):
