@@ -7,8 +7,10 @@ other estimates containment, also between texts of very unequal length. Likeness
 smaller fingerprint in the other one.
 
 ``fingerprint_edits`` also compares each text with an edited one, whose last half comes from the next document by
-descending id. The documents are dealt once, to ranges of ids of equal row counts; each range also gets a copy of the
-next range's first row, and is then read in order with one row of look-ahead.
+descending id. The documents are dealt once, to ranges of ids of equal row counts (cuts in two levels, so that their number may grow
+with the input: finding a row's range looks at some 2 * sqrt(ranges) cuts); each range also gets a copy of the
+next range's first row, and is then read in order with one row of look-ahead. Every hash is kept at ``scale=1``; at higher scales
+containment of small sets is coarse, as a set of n shingles keeps some n / scale of them and at least one.
 
 Nulls: a null text is empty. Texts without words have the empty fingerprint; two of them have likeness 1,
 one of them and another text 0. Rows without id come last in the order; rows of equal id are ordered by text. A single
@@ -18,17 +20,18 @@ document is its own next one. Empty tables give empty results. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import _words
-from heliograph.session import ship_package
+from heliograph.session import ensure_checkpoint_dir, ship_package
 
 U = np.uint64
-MOST_RANGES = 2048
+FEW = 100_000  #: so many ranges' heads may be broadcast; more are joined by a shuffle
 
 
 def sketch(raw: list[bytes], scale: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,20 +89,41 @@ def with_next(documents: DataFrame, range_bytes: int = 16 << 20) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(min(MOST_RANGES, 1 + size // range_bytes))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 100_000)).first()[0] or []
-    cuts = sorted(set(cuts)) if ranges > 1 else []
-    place = F.size(F.filter(F.array(*[F.lit(int(c)).cast("long") for c in cuts]), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(place))
-    heads = docs.groupBy("range").agg(F.max("doc_id").alias("doc_id")).orderBy("range").collect()  # a row a range
-    extra = [(heads[(i + 1) % len(heads)].doc_id, r.range) for i, r in enumerate(heads)]
-    extra = F.broadcast(spark.createDataFrame(extra, "head long, before int"))
-    docs = docs.join(extra, docs["doc_id"].eqNullSafe(extra["head"]), "left")
+    ranges = 1 + int(size // range_bytes)
+    docs, ranges = _ranged(docs, ranges)
+    heads = docs.groupBy("range").agg(F.max("doc_id").alias("head")).checkpoint()  # a row a range
+    few = heads.count()
+    order = Window.orderBy("range")
+    after = F.coalesce(F.lead(F.struct("head")).over(order), F.first(F.struct("head")).over(order))["head"]
+    heads = heads.select(after.alias("head"), F.col("range").alias("before"))
+    heads = F.broadcast(heads) if few <= FEW else heads
+    docs = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left")
     own = F.struct(F.col("range"), F.lit(False).alias("extra"))
     more = F.struct(F.col("before").alias("range"), F.lit(True).alias("extra"))
     docs = docs.select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, more))).alias("p"))
     docs = docs.select("doc_id", "text", F.col("p.range").alias("range"), F.col("p.extra").alias("extra"))
-    return docs.repartition(ranges, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    return docs.repartitionByRange(few, "range").sortWithinPartitions("range", "extra", F.col("doc_id").desc_nulls_last(), "text")
+
+
+def _ranged(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
+    """docs with the range of its id: descending, null ids in one of their own after all others."""
+    wide = max(1, math.isqrt(ranges))
+    fine = -(-ranges // wide)
+
+    def cuts(n):  # n ranges' inner edges
+        return F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 100_000)
+
+    above = lambda c: F.size(F.filter(c, lambda x: x >= F.col("doc_id")))
+    known = docs.select("doc_id").where("doc_id is not null")
+    outer = sorted(set(known.agg(cuts(wide)).first()[0] or [])) if wide > 1 else []  # sqrt(ranges) numbers
+    coarse = above(F.array(*[F.lit(int(c)).cast("long") for c in outer])) if outer else F.lit(0)
+    docs = docs.withColumn("coarse", F.when(F.col("doc_id").isNull(), F.lit(wide)).otherwise(coarse))
+    if fine == 1:
+        return docs.withColumnRenamed("coarse", "range"), ranges
+    inner = known.withColumn("coarse", coarse).groupBy("coarse").agg(F.array_distinct(cuts(fine)).alias("cuts"))
+    docs = docs.join(F.broadcast(inner.checkpoint()), "coarse", "left")  # sqrt(ranges) rows of as many numbers
+    place = F.col("coarse").cast("long") * fine + F.coalesce(F.when(F.col("doc_id").isNotNull(), above(F.col("cuts"))), F.lit(0))
+    return docs.select("doc_id", "text", place.alias("range")), ranges
 
 
 def fingerprint_edits(documents: DataFrame, scale: int = 16, shingle: int = 5, range_bytes: int = 16 << 20) -> DataFrame:
@@ -109,6 +133,7 @@ def fingerprint_edits(documents: DataFrame, scale: int = 16, shingle: int = 5, r
     all) of the next document's.
     """
     ship_package(documents.sparkSession)
+    ensure_checkpoint_dir(documents.sparkSession)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compared(ids, texts, last_next):

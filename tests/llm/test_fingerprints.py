@@ -50,6 +50,25 @@ def test_query_sees_half_edited_short_texts(spark, tmp_path):
     assert len(got) == 200 and min(x.near_edited for x in got) > 0
 
 
+def test_sparse_fingerprints_by_brute_force(spark):
+    """At scale 16: the hashes below the threshold and the least one, and containment of what is kept."""
+    from heliograph.llm import _words
+
+    rows = made() + [(3000, "long " + " ".join("l%d" % i for i in range(60000)), 1)]
+    got = {(r.doc_id, r.n_chars): r for r in fingerprint_edits(spark.createDataFrame(rows, SCHEMA).repartition(3), range_bytes=4000, scale=16).collect()}
+
+    def kept(t):
+        _, h = _words.shingles(_words.scan([t.encode()]))
+        return {x for x in h.tolist() if x < 2**64 // 16} | {min(h.tolist())} if len(h) else set()
+
+    for d, t, x in in_order(rows):
+        r, half = got[d, len(t)], len(t) // 2
+        mine = kept(t)
+        assert r.fingerprint == "".join(f"{h:016x}" for h in sorted(mine))
+        for value, other in ((r.near_edited, kept(t[: len(t) - half] + x[:half])), (r.near_next, kept(x))):
+            assert value == pytest.approx(len(mine & other) / min(len(mine), len(other)) if mine and other else float(not mine and not other))
+
+
 def test_equal_texts_and_scale(spark):
     got = {r.doc_id: r.fingerprint for r in fingerprints(spark.createDataFrame(made(), SCHEMA)).collect()}
     assert got[0] == got[2004] == got[-5] and got[2001] == got[2002] == "" and len(got[2003]) == 16
