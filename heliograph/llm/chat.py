@@ -7,10 +7,11 @@ the repair of least cost; ties go to the earlier state in the order system, user
 
 The program is a product of small min-plus matrices, one per turn, so it splits anywhere. Turns are dealt by ranges of
 (conversation, turn) and sorted; a conversation of any length spreads over partitions. One pass gives the
-matrix of each partition's first and last conversation (two rows of 16 numbers per partition, the only thing on the
-driver); these fix the states at partition borders; a second pass traces every conversation back and renders it.
+matrix of each partition's first and last conversation (two rows of 16 numbers per partition); the rows of each
+conversation that lies in several partitions meet in a group and fix its states at their borders; a second pass traces every
+conversation back and renders it.
 
-Order is by turn, then role, then text; rows without turn come last, rows without conversation form one of their own. A null or
+Order is by turn, then role, then text (its first 64 characters, then its hash); rows without turn come last, rows without conversation form one of their own. A null or
 unknown role costs a relabelling; null texts are empty. Repeated rows are turns of their own. Empty tables give empty
 results. Other columns are ignored.
 """
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +32,7 @@ RELABEL, INSERT, MERGE = 3, 2, 1
 #: Other names of the roles.
 ALIASES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "assistant": ASSISTANT, "gpt": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT}
 PARTITION_BYTES = 16 << 20
+FEW = 100_000  #: so many border states may be broadcast; more are joined by a shuffle
 FAR = np.int64(1 << 40)
 #: Empty turns needed between two states, for a turn that starts as the second one; None where it is illegal.
 BETWEEN = {
@@ -120,57 +121,67 @@ def format_chats(conversations: DataFrame, partitions: int | None = None) -> Dat
     ship_package(spark)
     ensure_checkpoint_dir(spark)
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    keys = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.col("text")]
+    keys = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last(), F.substring("text", 1, 64), F.xxhash64("text")]
     n = partitions or 1 + int((turns.agg(F.sum(F.octet_length("text") + 40)).first()[0] or 0) // PARTITION_BYTES)
-    dealt = turns.repartitionByRange(n, *keys).sortWithinPartitions(*keys).checkpoint()  # its partitions stay as they are
+    dealt = turns.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = dealt.withColumn("part", F.spark_partition_id().cast("long")).withColumn("own", F.coalesce("conv_id", F.lit(0).cast("long"))).withColumn("none", F.col("conv_id").isNull()).checkpoint()
 
     def borders(batches):
-        part, conv, roles = TaskContext.get().partitionId(), [], []
+        part, conv, roles = 0, [], []
         for batch in batches:
             conv += batch.column("conv_id").to_pylist()
             roles += map(role_code, batch.column("role").to_pylist())
+            part = batch.column("part")[0].as_py() if len(batch) else part
         seg = _segments(conv)
-        rows = [(part, k, conv[lo], transfer(roles[lo:hi]).reshape(-1).tolist()) for k, (lo, hi) in enumerate(seg) if k in (0, len(seg) - 1)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["part", "seg", "conv_id", "matrix"])
-
-    ends = dealt.select("conv_id", "role").mapInArrow(borders, "part long, seg long, conv_id long, matrix array<long>").orderBy("part", "seg").collect()
-    states: dict[tuple[int, int], tuple[int, int, bool, bool]] = {}
-    i = 0
-    while i < len(ends):  # a conversation's pieces over consecutive partitions
-        j = i + 1
-        while j < len(ends) and ends[j].conv_id == ends[i].conv_id and ends[j].part != ends[j - 1].part:
-            j += 1
+        rows = [(part, conv[lo], transfer(roles[lo:hi]).reshape(-1).tolist()) for k, (lo, hi) in enumerate(seg) if k in (0, len(seg) - 1)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=["part", "conv_id", "matrix"])
+
+    def across(key, table):
+        """The states before and after each piece of a conversation that lies in several partitions."""
+        rows = sorted(zip(table.column("part").to_pylist(), table.column("matrix").to_pylist(), strict=True))
         best, back = np.array([0, FAR, FAR, FAR]), []
-        for r in ends[i:j]:
-            m = best[:, None] + np.array(r.matrix).reshape(4, 4)
+        for _, matrix in rows:
+            m = best[:, None] + np.array(matrix).reshape(4, 4)
             back.append(m.argmin(axis=0))
             best = np.minimum(m.min(axis=0), FAR)
-        s = int((best + CLOSE).argmin())
-        for k in range(j - 1, i - 1, -1):
-            before = int(back[k - i][s])
-            states[ends[k].part, ends[k].seg] = (before, s, k == i, k == j - 1)
+        s, out = int((best + CLOSE).argmin()), []
+        for k in range(len(rows) - 1, -1, -1):
+            before = int(back[k][s])
+            out.append((rows[k][0], key[0].as_py(), key[1].as_py(), before, s, k == len(rows) - 1))
             s = before
-        i = j
-    shared = spark.sparkContext.broadcast(states)
+        cols = list(zip(*out, strict=True))
+        return pa.table({n: pa.array(c, type=t) for n, c, t in zip(("part", "own", "none", "before", "after", "final"), cols, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_()), strict=True)})
+
+    ends = dealt.select("conv_id", "role", "part").mapInArrow(borders, "part long, conv_id long, matrix array<long>")
+    ends = ends.withColumn("own", F.coalesce("conv_id", F.lit(0).cast("long"))).withColumn("none", F.col("conv_id").isNull()).checkpoint()
+    several = ends.groupBy("own", "none").agg(F.count("*").alias("pieces")).where("pieces > 1").select("own", "none")
+    states = ends.join(several, ["own", "none"]).groupBy("own", "none").applyInArrow(across, "part long, own long, none boolean, before long, after long, final boolean").checkpoint()
+    few = states.count()
+    if few <= FEW:  # a join that leaves the rows where they are
+        dealt = dealt.join(F.broadcast(states), ["part", "own", "none"], "left")
+    else:
+        dealt = dealt.join(states, ["part", "own", "none"], "left").repartition(n, "part").sortWithinPartitions("part", *keys)
     names = ["conv_id", "turn", "role", "new_role", "merged", "inserted_before", "inserted_after", "place", "rendered"]
 
     def render(batches):
-        part, known = TaskContext.get().partitionId(), shared.value
         whole = list(batches)
-        conv = [x for b in whole for x in b.column("conv_id").to_pylist()]
-        roles = [role_code(x) for b in whole for x in b.column("role").to_pylist()]
-        state, prev, last = [], [], [False] * len(conv)
-        for k, (lo, hi) in enumerate(_segments(conv)):
-            if (part, k) in known:
-                before, after, _, final = known[part, k]
-                s = trace(roles[lo:hi], before, after)
+        read = lambda c: [x for b in whole for x in b.column(c).to_pylist()]
+        home, entry, leave, ends_here = (read(c) for c in ("part", "before", "after", "final"))
+        conv = list(zip(home, read("conv_id"), strict=True))
+        roles = [role_code(x) for x in read("role")]
+        state, prev, last, places = [], [], [False] * len(conv), []
+        for lo, hi in _segments(conv):
+            if leave[lo] is not None:
+                first, final, s = entry[lo], ends_here[lo], trace(roles[lo:hi], entry[lo], leave[lo])
             else:
-                before, final, s = START, True, repair(roles[lo:hi])
+                first, final, s = START, True, repair(roles[lo:hi])
             state += s
-            prev += [before, *s[:-1]]
+            prev += [first, *s[:-1]]
             last[hi - 1] = final
+        for i, p in enumerate(home):
+            places.append(places[-1] + 1 if i and home[i - 1] == p else p << 33)
         at = 0
         for b in whole:
             rows = []
@@ -183,10 +194,10 @@ def format_chats(conversations: DataFrame, partitions: int | None = None) -> Dat
                 parts += [f"<|{ROLES[x]}|>\n<|end|>\n" for x in before]
                 parts += [text] if joined else [f"<|{ROLES[s]}|>\n", text]
                 parts += ["<|end|>\n", *(f"<|{ROLES[x]}|>\n<|end|>\n" for x in after)] if last[at] else []
-                rows.append((conv_id, turn, role, ROLES[s], joined, len(before), len(after), (part << 33) + at, "".join(parts)))
+                rows.append((conv_id, turn, role, ROLES[s], joined, len(before), len(after), places[at], "".join(parts)))
                 at += 1
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return dealt.mapInArrow(render, "conv_id long, turn long, role string, new_role string, merged boolean, inserted_before long, inserted_after long, place long, rendered string")
+    return dealt.select("conv_id", "turn", "role", "text", "part", "before", "after", "final").mapInArrow(render, "conv_id long, turn long, role string, new_role string, merged boolean, inserted_before long, inserted_after long, place long, rendered string")

@@ -43,7 +43,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(read_table(spark, sf_dir, "conversations")).drop("place")
+    """A piece per given turn; the pieces of a conversation in the order of ``place`` are its repaired, rendered sequence."""
+    return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,12 +43,16 @@ def test_costs():
     assert trace([2, 3], START, ASSISTANT) == [2, 3] and role_code(" Human ") == 2 and role_code(None) == 0
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
-def test_legal_and_whole(spark, partitions):
+@pytest.mark.parametrize("partitions,few", [(1, 100_000), (7, 100_000), (7, 0)])
+def test_legal_and_whole(spark, monkeypatch, partitions, few):
+    from heliograph.llm import chat
+
+    monkeypatch.setattr(chat, "FEW", few)
     r = random.Random(3)
     roles = ["user", "assistant", "system", "User", "tool", None]
     rows = [(c, t, r.choice(roles[:2] if r.random() < 0.7 else roles), f"t{c}.{t}\n", None) for c in range(30) for t in range(r.randrange(1, 9))]
     rows += [(500, t, r.choice(roles), f"long{t}", None) for t in range(700)]  # one that spans partitions
+    rows += [(600, 0, "user", "very long " * 200000, None)]
     rows += [(None, 0, "user", "no conversation", 1), (77, None, "user", None, 1), (77, None, "user", None, 1), (78, 0, "assistant", "", 1)]
     got = format_chats(spark.createDataFrame(rows, SCHEMA).repartition(5), partitions).collect()
     assert len(got) == len(rows)
