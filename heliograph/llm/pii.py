@@ -6,7 +6,7 @@ cue words before the span. The votes are counted per pattern of votes, a table w
 alone; expectation-maximisation over it estimates each labeler's reliability per kind and the chance that a candidate
 is personal data. A logistic classifier over votes, kind and length is fitted to those chances, on the same bounded
 table, and its weights go back into the query as literals. A candidate is a span if it passes a base kind's check, or if
-the classifier gives it at least ``sure`` and it overlaps no base span.
+the classifier gives it at least ``sure`` and it overlaps no base span, but for shorter ones that lie inside it (a card number in an IBAN).
 
 Texts are read once; candidates are checkpointed. Everything that sees a text is a built-in function, and every
 pattern is possessive or anchored so that long runs cost linear time and no recursion. Offsets are code points, ends
@@ -30,6 +30,20 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("card_like", "email_at", "phone_local", "id_number", "iban", "person")
 KINDS = BASE + MORE
 LOCAL = r"[A-Za-z0-9._%+-]"
+#: Gazetteers (endings of domains, given names, countries that have IBANs) and cue words.
+DOMAINS = (
+    "com org net edu gov mil int info biz name io dev app ai co me tv cc xyz online shop site blog cloud"
+    " de fr es uk eu ch at it nl be lu pt pl cz sk hu ro bg gr dk se no fi ie is ee lv lt si hr rs tr ru ua us ca mx br ar cl pe ve au nz jp cn kr in sg hk tw za ng ke eg il ae example"
+).split()
+NAMES = (
+    "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony sandra mark margaret"
+    " donald ashley steven emily paul kimberly andrew anna joshua michelle kenneth carol kevin amanda brian melissa george deborah peter hans klaus juergen wolfgang stefan andreas petra sabine monika ursula heike"
+    " martin jan lukas felix leon emma mia hannah sofia lena laura julia jean pierre michel philippe alain nicolas julien marie isabelle nathalie sophie camille chloe antoine louis jose antonio manuel francisco juan"
+    " carlos luis javier miguel pedro maria carmen ana isabel dolores pilar teresa lucia paula marta giovanni marco francesca giulia"
+).split()
+COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
+TITLES = "(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)"
+GIVEN = "|".join(x.capitalize() for x in NAMES)
 #: Per kind: a cheap test that every matching text passes, and the pattern.
 PATTERNS = {
     "email": (lambda t: F.contains(t, F.lit("@")), rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -40,15 +54,11 @@ PATTERNS = {
     "phone_local": (lambda t: t.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"), r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
     "id_number": (lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
-    "person": (lambda t: t.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Herr|Frau|Mme|Sra?)\b"), r"\b(?:Mrs?|Ms|Dr|Herr|Frau|Mme|Sra?)\b\.?\x20[A-Z][a-z]{1,30}+(?:\x20[A-Z][a-z]{1,30}+)?+"),
+    "person": (lambda t: t.rlike(r"[A-Z][a-z]{1,30}\.?\x20[A-Z][a-z]"), rf"\b(?:{TITLES}\b\.?\x20[A-Z][a-z]{{1,30}}+(?:\x20[A-Z][a-z]{{1,30}}+)?+|(?:{GIVEN})\x20[A-Z][a-z]{{2,30}}+)\b"),
 }
-#: Gazetteers and cue words.
-DOMAINS = "com org net edu gov info io de fr es uk eu ch at it nl".split()
-NAMES = "james mary john anna maria peter paul hans jean marie carlos ana luis sofia emma thomas laura martin julia david".split()
-COUNTRIES = "DE FR ES IT NL BE AT CH GB IE PT LU PL SE DK FI".split()
 CUES = {
     "email": "mail contact write kontakt courriel correo", "ip": "ip host server address client", "card": "card visa credit karte carte tarjeta", "phone": "phone call tel mobile fax telefon appel",
-    "id_number": "ssn social security number", "iban": "iban account bank konto compte cuenta", "person": "dear name contact signed",
+    "id_number": "ssn social security number", "iban": "iban account bank konto compte cuenta", "person": "dear name contact signed patient client by from",
 }
 COUNTER_CUES = "version isbn order invoice commit token sha hash ref page chapter figure"
 ALIKE = {"card_like": "card", "email_at": "email", "phone_local": "phone"}
@@ -95,9 +105,9 @@ def _strict(kind: str, m: Column) -> Column:
         "phone_local": d.rlike("^[2-9][0-9]{2}[2-9]"),
         "id_number": ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
         "iban": F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34),
-        "person": F.length(m).between(6, 50),
+        "person": m.rlike("^" + TITLES + r"\b"),
     }[kind]
-    return F.when(ok, 1).otherwise(-1)
+    return F.when(ok, 1).otherwise(0 if kind == "person" else -1)
 
 
 def _gazetteer(kind: str, m: Column) -> Column:
@@ -235,7 +245,8 @@ def find_pii(documents: DataFrame, sure: float = 0.9) -> DataFrame:
     w = fit(rows, em([(k, v, n) for (k, v), n in merged.items()]))
     base = F.filter("cands", lambda c: c["base"])
     logit = math.log(sure / (1 - sure))
-    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    inside = lambda b, c: (c["start"] <= b["start"]) & (b["end"] <= c["end"]) & (b["end"] - b["start"] < c["end"] - c["start"])
+    clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]) & ~inside(b, c))
     more = F.filter("cands", lambda c: ~c["base"] & (_score(w, c) >= logit) & clear(c))
     place = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     keyed = F.transform(F.concat(base, more), lambda c: F.struct(place[c["kind"]].alias("i"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base")))

@@ -47,6 +47,49 @@ def test_very_long_texts(spark):
     assert got == {0: 0, 1: 0, 2: 15000, 3: 0, 4: 0, 5: 0, 6: 0, 7: 1, 8: 0}
 
 
+def labelled(seed=12):
+    """Texts with (kind, span, true?) of what isn't a base kind: personal data in their usual surroundings, and look-alikes."""
+    r = random.Random(seed)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    filler = lambda: " ".join(r.choice("the of and a in report value table north tower light river".split()) for _ in range(r.randrange(4, 12)))
+    good = {
+        "phone_local": lambda: r.choice(["call ", "phone ", "tel "]) + f"*({r.randrange(200, 999)}) {r.randrange(200, 999)}-{digits(4)}*",
+        "email_at": lambda: r.choice(["write to ", "mail "]) + f"*{r.choice(['bob', 'eva.m', 'info'])} (at) site{digits(2)} (dot) {r.choice(['com', 'de', 'org'])}*",
+        "id_number": lambda: r.choice(["ssn ", "social security number "]) + f"*{r.randrange(100, 600)}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}*",
+        "iban": lambda: r.choice(["iban ", "account "]) + f"*{r.choice(['DE', 'FR', 'ES'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)}*",
+        "person": lambda: r.choice(["dear ", "signed by "]) + "*" + r.choice(["Dr. Anna Smith", "Mrs Laura Weber", "Mr. Peter Jones", "Frau Sabine Kern"]) + "*",
+    }
+    bad = {
+        "phone_local": lambda: r.choice(["order ", "version "]) + f"*{r.randrange(100, 199)}.{r.randrange(100, 199)}.{digits(4)}*",
+        "email_at": lambda: "ref " + f"*x (at) y{digits(2)} (dot) zzq*",
+        "id_number": lambda: r.choice(["invoice ", "isbn "]) + f"*{r.choice(['000', '666', '912'])}-{r.randrange(10, 99)}-{r.randrange(1000, 9999)}*",
+        "iban": lambda: r.choice(["token ", "commit "]) + f"*ZZ{digits(2)} {digits(4)} {digits(4)} {digits(4)}*",
+    }
+    texts, marks = [], []
+    for i in range(900):
+        text, own = "", []
+        for kinds, true in ((good, True), (bad, False)):
+            if r.random() < 0.6:
+                kind = r.choice(sorted(kinds))
+                before, span, _ = (filler() + " " + kinds[kind]()).split("*")
+                start = len(text) + len(before)
+                own.append((kind, start, start + len(span), true))
+                text += before + span + " "
+        texts.append((i, text + filler(), None))
+        marks.append(own)
+    return texts, marks
+
+
+def test_added_spans_are_precise_and_whole(spark):
+    texts, marks = labelled()
+    got = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans if not s.base} for r in find_pii(spark.createDataFrame(texts, SCHEMA)).collect()}
+    for kind in ("phone_local", "email_at", "id_number", "iban", "person"):
+        true = {(i, *m[:3]) for i, own in enumerate(marks) for m in own if m[0] == kind and m[3]}
+        found = {(i, *s) for i, spans in got.items() for s in spans if s[0] == kind}
+        assert len(true) > 50 and len(true & found) >= 0.9 * len(true), (kind, "recall")
+        assert len(true & found) >= 0.9 * len(found), (kind, "precision")
+
+
 def test_em_finds_the_reliable_labeler():
     r, counts = random.Random(0), {}
     for _ in range(6000):
