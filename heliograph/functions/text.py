@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, StringType
 
 
 @F.pandas_udf(StringType())
@@ -22,11 +22,74 @@ def match_key(s: Column) -> Column:
     return nfc(F.lower(s))
 
 
-def title_path(path: Column) -> Column:
-    """Each segment trimmed, empty ones dropped, the first letter of each word in upper case, the rest as it is."""
-    up = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000000))
-    seg = F.filter(F.transform(F.split(path, "/"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.array_join(F.transform(seg, lambda x: F.array_join(F.transform(F.split(x, " "), up), " ")), "/")
+@F.pandas_udf(StringType())
+def nfd(s: pd.Series) -> pd.Series:
+    """Canonical decomposition."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFD", x))
+
+
+#: Words that stay in lower case inside a title.
+SMALL_WORDS = "a an and as at but by en for if in of on or the to v v. via vs vs.".split()
+
+
+def titlecase(segment: Column) -> Column:
+    """Words joined by one space: a word with a capital after its first letter stays; small words inside are in lower case; others get a capital."""
+    words = F.filter(F.split(segment, r"\s+"), lambda x: x != "")
+
+    def one(w, i):
+        rest = F.substring(w, 2, 1 << 30)
+        inside = (i > 0) & (i < F.size(words) - 1)
+        return F.when(rest.rlike(r"\p{Lu}"), w).when(inside & F.lower(w).isin(SMALL_WORDS), F.lower(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), rest))
+
+    return F.array_join(F.transform(words, one), " ")
+
+
+def normalize_tag(tag: Column) -> Column:
+    """Composed, each segment trimmed and in title case, empty ones dropped; null if nothing is left, for control characters or under People."""
+    segments = F.transform(F.filter(F.transform(F.split(nfc(tag), "/"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), titlecase)
+    return F.when((F.size(segments) > 0) & ~tag.rlike(r"\p{Cntrl}") & (segments[0] != "People"), F.array_join(segments, "/"))
+
+
+def normalize_tags(tags: Column) -> Column:
+    """Each tag normalised, distinct, in order; null if one is refused."""
+    out = F.transform(tags, normalize_tag)
+    return F.when(~F.exists(out, lambda x: x.isNull()), F.array_sort(F.array_distinct(out)))
+
+
+def filled(x: Column) -> Column:
+    """The trimmed value, null if empty."""
+    return F.nullif(F.trim(x), F.lit(""))
+
+
+def places_path(*levels: Column) -> Column:
+    """Places/ and the levels that are not empty; null without any."""
+    kept = F.filter(F.array(*map(filled, levels)), lambda x: x.isNotNull())
+    return F.when(F.size(kept) > 0, F.concat(F.lit("Places/"), F.array_join(kept, "/")))
+
+
+def trip_title(place: Column, people: Column) -> Column:
+    return F.when(place.isNotNull() & people.isNotNull(), F.concat(place, F.lit(" with "), people)).when(place.isNotNull(), F.concat(F.lit("A trip to "), place)).when(people.isNotNull(), F.concat(F.lit("A trip with "), people)).otherwise("A trip")
+
+
+def short_names(names: Column) -> Column:
+    """First names; where several share one and all their last initials differ, each with its initial."""
+    tokens = F.transform(names, lambda x: F.filter(F.split(F.trim(x), " "), lambda t: t != ""))
+    part = F.transform(tokens, lambda t: F.struct(F.coalesce(F.get(t, F.lit(0)), F.lit("")).alias("first"), F.when(F.size(t) >= 2, F.upper(F.substring(F.element_at(t, -1), 1, 1))).alias("initial")))
+
+    def one(x):
+        same = F.filter(part, lambda y: F.lower(y["first"]) == F.lower(x["first"]))
+        initials = F.array_distinct(F.filter(F.transform(same, lambda y: y["initial"]), lambda i: i.isNotNull()))
+        return F.when((F.size(same) > 1) & (F.size(initials) == F.size(same)), F.concat(x["first"], F.lit(" "), x["initial"], F.lit("."))).otherwise(x["first"])
+
+    return F.transform(part, one)
+
+
+def file_url(path: Column) -> Column:
+    """file:// and the path, with bytes outside the path's allowed characters percent-encoded."""
+    coded = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    for x in "~!$&'()*+,;=:@/":
+        coded = F.replace(coded, F.lit(f"%{ord(x):02X}"), F.lit(x))
+    return F.concat(F.lit("file://"), F.when(F.startswith(path, F.lit("/")), "").otherwise("/"), coded)
 
 
 def person(name: Column) -> Column:
@@ -47,6 +110,49 @@ def cluster_key(memory_id: Column) -> Column:
     return F.when((F.element_at(p, 1) == "subtrip") & (F.size(p) >= 4), F.concat(F.lit("trip-"), F.array_join(F.slice(p, 2, 3), "-"))).otherwise(memory_id)
 
 
+@F.pandas_udf(BinaryType())
+def float_bytes(v: pd.Series) -> pd.Series:
+    """A vector as little-endian 32-bit floats."""
+    return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+
+
+GAMMA, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  #: fixed values of SplitMix64
+
+
+def splitmix(state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next states, draws) of many generators."""
+    with np.errstate(over="ignore"):
+        state = state + GAMMA
+        z = (state ^ (state >> np.uint64(30))) * MIX_A
+        z = (z ^ (z >> np.uint64(27))) * MIX_B
+    return state, z ^ (z >> np.uint64(31))
+
+
+def draws(seed: Column, n: int, width: float) -> Column:
+    """The first n numbers in [0, width) of the generator that the text seeds: FNV-1a, then SplitMix64's low 53 bits."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def run(hashes: pd.Series) -> pd.Series:
+        state = np.array([int(x, 16) or 0xDEADBEEF for x in hashes], dtype=np.uint64)
+        out = np.empty((len(state), n))
+        for k in range(n):
+            state, z = splitmix(state)
+            out[:, k] = width * ((z & np.uint64((1 << 53) - 1)).astype(float) * 2.0**-53)
+        return pd.Series(list(out))
+
+    return run(fnv1a(seed))
+
+
+def permutation(n: int, seed: int) -> list[int]:
+    """A fixed shuffle of 0 .. n - 1: from the last place down, each swapped with one drawn among those up to it."""
+    order, state = list(range(n)), np.array([seed], dtype=np.uint64)
+    for i in range(n - 1, 0, -1):
+        state, z = splitmix(state)
+        j = int(z[0]) % (i + 1)
+        order[i], order[j] = order[j], order[i]
+    return order
+
+
 @F.pandas_udf(StringType())
 def fnv1a(s: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes: byte by byte over all rows of a batch that still have one."""

@@ -10,11 +10,6 @@ from heliograph.session import read_table
 from heliograph.sources.adapters import PHOTOS, photos
 
 
-@query("H5_normalize_tag", "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || substr(w, 2)), '/') AS tag FROM part")
-def h5(spark, d):
-    return read_table(spark, d, "part").select("p_partkey", X.title_path(F.translate("p_name", " ", "/")).alias("tag"))
-
-
 @query("H8_normalize_person", "SELECT c_custkey, regexp_replace(trim('  ' || replace(c_name, '#', '   ') || ' '), '\\s+', ' ', 'g') AS person FROM customer")
 def h8(spark, d):
     return read_table(spark, d, "customer").select("c_custkey", X.person(F.concat(F.lit("  "), F.replace("c_name", F.lit("#"), F.lit("   ")), F.lit(" "))).alias("person"))
@@ -40,12 +35,6 @@ def h17(spark, d):
     return g.select("n_regionkey", X.join_names(F.col("l")).alias("names"))
 
 
-@query("J10_seed_hash", None)
-def j10(spark, d):
-    """FNV-1a of each file name, 64 bits, as hexadecimal."""
-    return photos(spark, d).select("id", X.fnv1a(F.col("filename")).alias("seed"))
-
-
 @query("B12_cluster_key", "SELECT o_orderkey, 'trip-' || strftime(o_orderdate, '%Y-%-m-%-d') AS key FROM orders")
 def b12(spark, d):
     sub = F.concat(F.lit("subtrip-"), F.date_format("o_orderdate", "yyyy-M-d"), F.lit("-2"))
@@ -64,12 +53,6 @@ def j8(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), q)), 9).alias("q"))
 
 
-@query("J16_embedding_bytes", None)
-def j16(spark, d):
-    """Base64 of the dimensions as text, for transport, with their number."""
-    return read_table(spark, d, "embeddings").select("vec_id", F.base64(F.encode(F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), "UTF-8")).alias("b64"), F.size("embedding").alias("dims"))
-
-
 @query("O1_score_quantiles", "SELECT label, quantile_disc(embedding[1]::DOUBLE, 0.5) AS p50, min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi, count(*) AS n FROM embeddings GROUP BY label")
 def o1(spark, d):
     x = F.col("embedding")[0].cast("double")

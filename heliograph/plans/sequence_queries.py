@@ -112,12 +112,6 @@ def f17(spark, d):
     return slots.select("user_id", "slot", (F.col("t") + F.make_dt_interval(hours=F.col("slot") * 2)).alias("starts"))
 
 
-@query("G1_library_order", f"WITH {PHOTOS} SELECT id, row_number() OVER (ORDER BY date_taken DESC NULLS LAST, path) AS rank FROM photos ORDER BY date_taken DESC NULLS LAST, path LIMIT 500")
-def g1(spark, d):
-    top = photos(spark, d).select("id", "date_taken", "path").orderBy(F.desc_nulls_last("date_taken"), "path").limit(500)
-    return top.select("id", F.row_number().over(Window.orderBy(F.desc_nulls_last("date_taken"), "path")).alias("rank"))
-
-
 @query("G11_name_suggestions", """SELECT c_name AS name, CASE WHEN c_name LIKE 'Customer#0000001%' THEN 300 WHEN c_name LIKE '%#0000001%' THEN 200 ELSE 50 END AS score FROM customer WHERE contains(lower(c_name), '0000001') ORDER BY score DESC, name LIMIT 8""")
 def g11(spark, d):
     n = F.col("c_name")
