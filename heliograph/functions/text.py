@@ -143,6 +143,27 @@ def draws(seed: Column, n: int, width: float) -> Column:
     return run(fnv1a(seed))
 
 
+def seed_state(seed: str) -> int:
+    """The generator's state after seeding with one text."""
+    s = 0xCBF29CE484222325
+    for b in seed.encode():
+        s = (s ^ b) * 0x100000001B3 % (1 << 64)
+    return s or 0xDEADBEEF
+
+
+def nth_draw(seed: str, place: Column, width: float) -> Column:
+    """The draw at a place (from 0) of the generator that one text seeds: its states are evenly spaced, so any draw is reached at once."""
+    first = np.uint64(seed_state(seed))
+
+    @F.pandas_udf(DoubleType())
+    def run(at: pd.Series) -> pd.Series:
+        with np.errstate(over="ignore"):
+            _, z = splitmix(first + GAMMA * at.to_numpy().astype(np.uint64))
+        return pd.Series(width * ((z & np.uint64((1 << 53) - 1)).astype(float) * 2.0**-53))
+
+    return run(place.cast("long"))
+
+
 def permutation(n: int, seed: int) -> list[int]:
     """A fixed shuffle of 0 .. n - 1: from the last place down, each swapped with one drawn among those up to it."""
     order, state = list(range(n)), np.array([seed], dtype=np.uint64)

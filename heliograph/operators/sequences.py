@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
     """key, time of the rows that stay when, in time order, each row less than ``seconds`` after the last row kept is dropped.
 
     The anchor is the last kept row, not the row before, so this is a fold. It is cut where the gap to the row before is at least
-    ``seconds``: such a row always stays, and what follows depends on it alone. So folds run over bursts, not over whole keys.
-    Rows without time are left out.
+    ``seconds``: such a row always stays, and what follows depends on it alone. So folds run over bursts, not over whole keys, and leap
+    from each kept row to the next by binary search. Rows without time are left out.
     """
     w = Window.partitionBy(key).orderBy(time)
     span = F.make_dt_interval(secs=F.lit(seconds))
     gap = F.col(time) - F.lag(time).over(w)
+    epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
     rows = df.where(F.col(time).isNotNull()).select(key, time, F.when(gap < span, 0).otherwise(1).alias("cut"))
     rows = rows.withColumn("burst", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = rows.groupBy(key, "burst").agg(F.array_sort(F.collect_list(time)).alias("ts"))
-    none = F.slice("ts", 1, 0)
-    kept = F.aggregate("ts", none, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= span), F.concat(acc, F.array(x))).otherwise(acc))
-    return bursts.select(key, F.explode(kept).alias(time))
+    bursts = rows.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.timestamp_diff("MICROSECOND", epoch, F.col(time)))).alias("ts"))
+    least = int(round(seconds * 1_000_000))
+
+    @F.pandas_udf(ArrayType(LongType()))
+    def kept(ts: pd.Series) -> pd.Series:
+        out = []
+        for t in ts:
+            t, at, own = np.asarray(t), 0, []
+            while at < len(t):
+                own.append(t[at])
+                at = int(np.searchsorted(t, t[at] + least))
+            out.append(own)
+        return pd.Series(out)
+
+    return bursts.select(key, F.explode(kept("ts")).alias("t")).select(key, F.timestamp_add("MICROSECOND", F.col("t"), epoch).alias(time))
 
 
 def runs(df: DataFrame, key: str, order: str, starts: Column) -> DataFrame:

@@ -91,12 +91,6 @@ def e23(spark, d):
     return photos(spark, d).where("date_taken is not null").select("id", "date_taken")
 
 
-@query("G3_folder_orders", P + "SELECT folder, max(date_taken) AS modified, min(date_taken) AS created FROM photos GROUP BY folder ORDER BY modified DESC NULLS LAST, folder LIMIT 100")
-def g3(spark, d):
-    g = photos(spark, d).groupBy("folder").agg(F.max("date_taken").alias("modified"), F.min("date_taken").alias("created"))
-    return g.orderBy(F.desc_nulls_last("modified"), "folder").limit(100)
-
-
 @query("G6_title_dedupe", "SELECT lower(p_name) AS title, arg_min(p_partkey, (-p_size, p_partkey)) AS kept, max(p_size) AS photos FROM part GROUP BY 1")
 def g6(spark, d):
     return read_table(spark, d, "part").groupBy(F.lower("p_name").alias("title")).agg(F.min_by("p_partkey", F.struct((-c("p_size")).alias("n"), "p_partkey")).alias("kept"), F.max("p_size").alias("photos"))
@@ -166,11 +160,6 @@ def m5(spark, d):
     return _queue(spark, d).where("state = 'done' and pack <> 3").select("item")
 
 
-@query("M6_reclaim", f"WITH {QUEUE} SELECT CASE WHEN state = 'failed' THEN 'pending' ELSE state END AS state, count(*) AS n FROM q GROUP BY 1")
-def m6(spark, d):
-    return _queue(spark, d).groupBy(F.when(c("state") == "failed", "pending").otherwise(c("state")).alias("state")).agg(F.count("*").alias("n"))
-
-
 @query("M8_restat", "SELECT l_orderkey * 10 + l_linenumber AS item, CASE WHEN l_returnflag = 'A' AND l_quantity > o_custkey % 50 THEN 'stale' ELSE 'kept' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def m8(spark, d):
     j = read_table(spark, d, "lineitem").join(read_table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))

@@ -43,22 +43,6 @@ def j3(spark, d):
     return photos(spark, d).groupBy(G.cell(F.col("gps_lat"), 0.1).alias("cy"), G.cell(F.col("gps_lon"), 0.1).alias("cx")).agg(F.count("*").alias("n"))
 
 
-@query("E9_home_regions", f"""WITH {PHOTOS}, g AS (SELECT floor(gps_lat / 0.1::DOUBLE)::BIGINT AS cy, floor(gps_lon / 0.1::DOUBLE)::BIGINT AS cx, (date_taken + tz_offset_s * INTERVAL 1 SECOND)::DATE AS day FROM photos),
-c AS (SELECT cy, cx, count(DISTINCT day) AS days, (max(day) - min(day))::BIGINT AS span FROM g GROUP BY ALL), t AS (SELECT (max(day) - min(day))::BIGINT AS span, count(DISTINCT day) AS days FROM g),
-home AS (SELECT c.* FROM c, t WHERE c.span >= least(180, greatest(30, t.span // 2)) - 15 AND c.days >= least(30, greatest(10, t.days // 4)) - 4)
-SELECT DISTINCT cy + i AS cy, cx + j AS cx FROM home, range(-1, 2) AS a(i), range(-1, 2) AS b(j)""")
-def e9(spark, d):
-    """The thresholds are lowered by 15 and 4 days: the events span 30 days."""
-    day = F.to_date(F.col("date_taken") + F.make_dt_interval(secs=F.col("tz_offset_s")))
-    g = photos(spark, d).select(G.cell(F.col("gps_lat"), 0.1).alias("cy"), G.cell(F.col("gps_lon"), 0.1).alias("cx"), day.alias("day"))
-    span = F.datediff(F.max("day"), F.min("day")).alias("span")
-    c = g.groupBy("cy", "cx").agg(F.countDistinct("day").alias("days"), span)
-    t = F.broadcast(g.agg(span.alias("all_span"), F.countDistinct("day").alias("all_days")))  # one row
-    home = c.crossJoin(t).where("span >= least(180, greatest(30, all_span div 2)) - 15 and days >= least(30, greatest(10, all_days div 4)) - 4")
-    ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    return home.select("cy", "cx", F.explode(ring).alias("r")).select((F.col("cy") + F.col("r.i")).alias("cy"), (F.col("cx") + F.col("r.j")).alias("cx")).distinct()
-
-
 @query("E18_centroids", """WITH x AS (SELECT label, u.dim - 1 AS dim, u.x::DOUBLE AS x FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, dim)) SELECT label, dim::INT AS dim, round(avg(x), 9) AS mean FROM x GROUP BY ALL""")
 def e18(spark, d):
     return V.centroids(read_table(spark, d, "embeddings"), "label", "embedding").select("label", "dim", F.round("mean", 9).alias("mean"))
@@ -87,48 +71,6 @@ def g8(spark, d):
     return V.top_matches(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8, 0.2).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("D11_merge_proposals", """WITH x AS (SELECT label, u.dim AS dim, avg(u.x::DOUBLE) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, dim) GROUP BY ALL),
-c AS (SELECT label, list(m ORDER BY dim) AS m, sqrt(sum(m * m)) AS n FROM x GROUP BY label)
-SELECT a.label AS a, b.label AS b, round(list_dot_product(a.m, b.m) / a.n / b.n, 6) AS sim FROM c a JOIN c b ON a.label < b.label WHERE list_dot_product(a.m, b.m) / a.n / b.n >= 0.1""")
-def d11(spark, d):
-    """Pairs of cluster centroids: one row per cluster, not per vector."""
-    c = V.unit_centroids(read_table(spark, d, "embeddings"), "label", "embedding")
-    a, b = c.select(F.col("label").alias("a"), F.col("centroid").alias("ca")), c.select(F.col("label").alias("b"), F.col("centroid").alias("cb"))
-    p = a.join(b, F.col("a") < F.col("b")).withColumn("sim", V.dot(F.col("ca"), F.col("cb")))
-    return p.where("sim >= 0.1").select("a", "b", F.round("sim", 6).alias("sim"))
-
-
-@query("E20_merge_groups", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand = 'Brand#1' AND l_quantity > 49),
-n AS (SELECT a AS id FROM e UNION SELECT b FROM e), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(id, c) AS (SELECT id, id FROM n UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.id) SELECT id, min(c) AS component FROM r GROUP BY id""")
-def e20(spark, d):
-    li, p = read_table(spark, d, "lineitem"), read_table(spark, d, "part")
-    e = li.join(p, F.col("l_partkey") == F.col("p_partkey")).where("p_brand = 'Brand#1' and l_quantity > 49")
-    e = e.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1000000).alias("b")).distinct()
-    nodes = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return V.components(nodes, e)
-
-
-@query("K1_incremental_assign", """WITH x AS (SELECT label, u.dim AS dim, avg(u.x::DOUBLE) AS m FROM embeddings, unnest(embedding) WITH ORDINALITY AS u(x, dim) GROUP BY ALL),
-c AS (SELECT label, list(m ORDER BY dim) AS m, sqrt(sum(m * m)) AS n FROM x GROUP BY label),
-r AS (SELECT vec_id, c.label, list_dot_product(embedding::DOUBLE[], m) / n AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(embedding::DOUBLE[], m) / n DESC, c.label) AS rn FROM embeddings e, c)
-SELECT vec_id, CASE WHEN s >= 0.2 THEN label END AS cluster, round(s, 6) AS best FROM r WHERE rn = 1""")
-def k1(spark, d):
-    """Each vector to the nearest cluster at or above the threshold, else none; clusters are one row each and counted before the broadcast."""
-    e = read_table(spark, d, "embeddings")
-    c = V.unit_centroids(e, "label", "embedding")
-    c = F.broadcast(c) if c.count() <= 10_000 else c
-    s = e.select("vec_id", "embedding").crossJoin(c).select("vec_id", "label", V.dot(F.col("embedding"), F.col("centroid")).alias("s"))
-    best = s.groupBy("vec_id").agg(F.max(F.struct("s", (-F.col("label")).alias("l"))).alias("b"))
-    return best.select("vec_id", F.when(F.col("b.s") >= 0.2, -F.col("b.l")).alias("cluster"), F.round("b.s", 6).alias("best"))
-
-
-@query("D12_cluster_top_faces", "SELECT label, vec_id, rn::INT AS place FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1] DESC, vec_id) AS rn FROM embeddings) WHERE rn <= 4")
-def d12(spark, d):
-    w = Window.partitionBy("label").orderBy(F.desc(F.col("embedding")[0]), "vec_id")
-    return read_table(spark, d, "embeddings").withColumn("place", F.row_number().over(w)).where("place <= 4").select("label", "vec_id", "place")
-
-
 @query("J6_iou", """WITH b AS (SELECT l_orderkey, l_linenumber, (l_partkey % 50) / 50.0::DOUBLE AS cx, (l_suppkey % 40) / 40.0::DOUBLE AS cy, l_quantity / 100 AS w, l_quantity / 80 AS h FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN iw <= 0 OR ih <= 0 THEN 0 ELSE iw * ih / (w * h + 0.25::DOUBLE * 0.25::DOUBLE - iw * ih) END, 6) AS iou FROM (SELECT *,
  least(cx + w / 2, 0.625::DOUBLE) - greatest(cx - w / 2, 0.375::DOUBLE) AS iw, least(cy + h / 2, 0.625::DOUBLE) - greatest(cy - h / 2, 0.375::DOUBLE) AS ih FROM b)""")

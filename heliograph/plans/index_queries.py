@@ -27,12 +27,6 @@ def e3(spark, d):
     return T.suggestions(photos(spark, d)).where(F.startswith("key", F.lit("people/")))
 
 
-@query("E2_suggestion_order", WITH + "SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS rank FROM (SELECT key, count(*) AS n FROM keyed GROUP BY key) ORDER BY n DESC, key LIMIT 20")
-def e2(spark, d):
-    top = T.suggestions(photos(spark, d)).select("key", "n").orderBy(F.desc("n"), "key").limit(20)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "key")))
-
-
 @query("E4_collection_groups", WITH + "SELECT coalesce(ns, 'Other') AS grp, max(n) AS n, count(*) AS tags FROM (SELECT key, CASE WHEN key LIKE '%/%' THEN split_part(key, '/', 1) END AS ns, count(*) AS n FROM keyed GROUP BY key) WHERE ns IS NULL OR ns <> 'people' GROUP BY 1")
 def e4(spark, d):
     s = T.suggestions(photos(spark, d)).withColumn("ns", T.namespace(F.col("key")))
@@ -64,28 +58,12 @@ def e8(spark, d):
     return photos(spark, d).groupBy("person").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query("E10_density_days", f"""WITH {PHOTOS}, days AS (SELECT date_trunc('day', date_taken + tz_offset_s * INTERVAL 1 SECOND)::DATE AS day, count(*) AS n FROM photos GROUP BY 1),
-a AS (SELECT count(*) AS d, sum(n) AS s FROM days) SELECT day, n, 8.0::DOUBLE AS score FROM days, a WHERE n >= greatest(15, (3 * s) // (d * 2))""")
-def e10(spark, d):
-    days = photos(spark, d).groupBy(F.to_date(F.col("date_taken") + F.make_dt_interval(secs=F.col("tz_offset_s"))).alias("day")).agg(F.count("*").alias("n"))
-    avg = F.broadcast(days.agg(F.count("*").alias("d"), F.sum("n").alias("s")))  # one row
-    return days.crossJoin(avg).where(F.col("n") >= F.greatest(F.lit(15), F.expr("(3 * s) div (d * 2)"))).select("day", "n", F.lit(8.0).alias("score"))
-
-
 @query("E11_first_seen_counts", f"WITH {PHOTOS} SELECT country, count(*) AS n, row_number() OVER (ORDER BY min(pos)) AS seen FROM photos GROUP BY country")
 def e11(spark, d):
     c = photos(spark, d).groupBy("country").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
     return c.select("country", "n", F.row_number().over(Window.orderBy("p")).alias("seen"))
 
 
-@query("E13_top_people", f"""WITH {PHOTOS}, c AS (SELECT folder, person, count(*) AS n FROM photos GROUP BY ALL), g AS (SELECT country, person, count(*) AS n FROM photos GROUP BY ALL)
-SELECT country, string_agg(person, ', ' ORDER BY rn) AS names FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, person) AS rn FROM g) WHERE rn <= 3 GROUP BY country""")
-def e13(spark, d):
-    g = photos(spark, d).groupBy("country", "person").agg(F.count("*").alias("n"))
-    top = g.withColumn("rn", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("n"), "person"))).where("rn <= 3")
-    return top.groupBy("country").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "person"))), lambda x: x["person"]), ", ").alias("names"))
-
-
 @query("E14_shared_place_prefix", f"""WITH {PHOTOS}, {TAGS}, p AS (SELECT country, string_split(tag, '/') AS s FROM tagged WHERE tag LIKE 'Places/%'),
 l AS (SELECT country, k, min(s[k]) AS lo, max(s[k]) AS hi, count(*) AS n FROM p, unnest(range(2, 5)) AS u(k) GROUP BY ALL),
 x AS (SELECT country, min(CASE WHEN lo <> hi THEN k END) AS stop FROM l GROUP BY country)
@@ -182,11 +160,6 @@ def c3(spark, d):
     return photos(spark, d).where(F.exists("tags", lambda t: (F.lower(t) == q) | (F.lower(T.namespace(t)).isin(*T.PREFIXED) & F.startswith(F.lower(t), F.lit(q + "/"))))).select("id")
 
 
-@query("C4_suggestions_for_query", WITH + "SELECT key, count(*) AS n FROM keyed WHERE contains(key, 'nation_1') GROUP BY key ORDER BY n DESC, key LIMIT 6")
-def c4(spark, d):
-    return T.suggestions(photos(spark, d)).where(F.contains("key", F.lit("nation_1"))).select("key", "n").orderBy(F.desc("n"), "key").limit(6)
-
-
 @query("C6_photos_for_tag", WITH + "SELECT id FROM keyed WHERE key = 'scenes/bright'")
 def c6(spark, d):
     return T.buckets(photos(spark, d)).where("key = 'scenes/bright'").select("id")

@@ -45,11 +45,6 @@ def d7(spark, d):
     return new.withColumn("origin", F.lit("new")).unionByName(old.join(new, "id", "left_anti").withColumn("origin", F.lit("old")))
 
 
-@query("D18_distinct_keys", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey IN (1, 2, 3) ORDER BY 1")
-def d18(spark, d):
-    return read_table(spark, d, "lineitem").where(c("l_suppkey").isin(1, 2, 3)).select("l_partkey").distinct().orderBy("l_partkey")
-
-
 @query("D22_member_vectors", "SELECT e.vec_id, e.label, n_name FROM embeddings e JOIN nation ON e.label = n_nationkey WHERE n_regionkey IN (0, 2)")
 def d22(spark, d):
     n = read_table(spark, d, "nation").where("n_regionkey in (0, 2)")
@@ -67,11 +62,6 @@ def c16(spark, d):
     return n.join(exact, "full", "left").join(start, "part", "left").select("n_nationkey", F.coalesce("a", "b").alias("hit"))
 
 
-@query("C18_reviewable_clusters", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) >= 20 ORDER BY n DESC, l_suppkey LIMIT 50")
-def c18(spark, d):
-    return read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).where("n >= 20").orderBy(F.desc("n"), "l_suppkey").limit(50)
-
-
 @query("C25_changed_signatures", """WITH a AS (SELECT o_custkey, o_orderpriority, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT o_custkey, o_orderpriority, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE o_orderstatus <> 'F')
 SELECT 'gone' AS what, x.* FROM (SELECT * FROM a EXCEPT SELECT * FROM b) x UNION ALL SELECT 'new', y.* FROM (SELECT * FROM b EXCEPT SELECT * FROM a) y""")
 def c25(spark, d):
@@ -102,13 +92,6 @@ def e21(spark, d):
     return s.groupBy(F.expr("l_suppkey div 10").alias("grp")).agg(F.min_by("l_suppkey", F.struct((-c("n")).alias("o"), "l_suppkey")).alias("survivor"), F.sum("n").alias("size"))
 
 
-@query("E22_folder_events", f"""WITH {PHOTOS}, g AS (SELECT folder, count(*) AS n, min(date_taken::DATE) AS a, max(date_taken::DATE) AS b FROM photos GROUP BY folder)
-SELECT folder, n, (10 + least((b - a)::BIGINT, 14))::DOUBLE AS score FROM g WHERE n >= 15""")
-def e22(spark, d):
-    g = photos(spark, d).groupBy("folder").agg(F.count("*").alias("n"), F.min(F.to_date("date_taken")).alias("a"), F.max(F.to_date("date_taken")).alias("b"))
-    return g.where("n >= 15").select("folder", "n", (10 + F.least(F.datediff("b", "a"), F.lit(14))).cast("double").alias("score"))
-
-
 @query("F6_place_segments", f"""WITH {PHOTOS}, f AS (SELECT user_id // 20 AS grp, pos, country, CASE WHEN country IS NOT DISTINCT FROM lag(country) OVER (PARTITION BY user_id // 20 ORDER BY pos) THEN 0 ELSE 1 END AS f FROM photos),
 r AS (SELECT *, sum(f) OVER (PARTITION BY grp ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT grp, run::BIGINT AS run, min(country) AS country, count(*) AS n, min(pos) AS first_pos FROM r GROUP BY grp, run""")
 def f6(spark, d):
@@ -122,13 +105,6 @@ def f11(spark, d):
     return g.where("t >= timestamp_ntz '2000-01-01 00:00:00'").select("o_custkey", "n").orderBy(F.desc("n"), "o_custkey").limit(20)
 
 
-@query("F15_valid_now", """SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS pick FROM orders WHERE o_orderdate <= timestamp '1998-06-01 00:00:00' AND o_orderdate + INTERVAL 90 DAY > timestamp '1998-06-01 00:00:00' GROUP BY 1""")
-def f15(spark, d):
-    now = F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
-    o = read_table(spark, d, "orders").where((c("o_orderdate") <= now) & (c("o_orderdate") + F.make_dt_interval(days=F.lit(90)) > now))
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", (-c("o_orderkey")).alias("first"))).alias("pick"))
-
-
 @query("G2_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer")
 def g2(spark, d):
     """Names without padding, ordered naturally: the order of the numbers in them. Ranks by counts of range-partitioned rows."""
@@ -153,13 +129,6 @@ def g4(spark, d):
     return photos(spark, d).where("not is_video").select("id", "date_taken").orderBy(F.desc("date_taken"), "id").limit(500)
 
 
-@query("G5_one_per_cluster", "SELECT o_orderpriority, o_orderkey, rank FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn = 1) WHERE rank <= 10")
-def g5(spark, d):
-    best = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by(F.struct("o_orderpriority", "o_orderkey", "o_totalprice"), F.struct("o_totalprice", (-c("o_orderkey")).alias("f"))).alias("b"))
-    top = best.select("b.*").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
-    return top.select("o_orderpriority", "o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
-
-
 @query("G7_sampled_memories", f"""WITH {PHOTOS}, r AS (SELECT person, id, row_number() OVER (PARTITION BY person ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY person) AS n FROM photos),
 s AS (SELECT DISTINCT person, n, k FROM r, range(0, 20) AS t(k) WHERE n > 20) SELECT r.person, r.i AS place, r.id FROM r WHERE n <= 20 UNION ALL SELECT r.person, s.k, r.id FROM s JOIN r ON r.person = s.person AND r.i = (s.k * s.n) // 20""")
 def g7(spark, d):
@@ -239,21 +208,6 @@ def c19(spark, d):
     return g.where("first is not null and not boxed").select("k", "name", "first")
 
 
-@query("D10_bind_claims", """WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) / 50 AS x, min(l_discount) * 10 AS y FROM lineitem GROUP BY ALL),
-p AS (SELECT a.k, a.i AS claim, b.i AS box, greatest(0, 1 - abs(a.x - b.x)) * greatest(0, 1 - abs(a.y - b.y)) AS inter FROM b a JOIN b ON a.k = b.k AND a.i < b.i),
-s AS (SELECT *, inter / (2 - inter) AS iou FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY k, claim ORDER BY iou DESC, box) AS c1, row_number() OVER (PARTITION BY k, box ORDER BY iou DESC, claim) AS c2 FROM s WHERE iou > 0.5)
-SELECT k, claim, box, round(iou, 9) AS iou FROM r WHERE c1 = 1 AND c2 = 1""")
-def d10(spark, d):
-    """Claims and boxes of one picture that are each other's best at more than half overlap. Pictures are small groups by their key."""
-    b = read_table(spark, d, "lineitem").groupBy(c("l_orderkey").alias("k"), c("l_linenumber").alias("i")).agg((F.min("l_quantity") / 50).alias("x"), (F.min("l_discount") * 10).alias("y"))
-    o = b.select("k", c("i").alias("box"), c("x").alias("bx"), c("y").alias("by"))
-    p = b.withColumnRenamed("i", "claim").join(o, "k").where("claim < box")
-    inter = F.greatest(F.lit(0.0), 1 - F.abs(c("x") - c("bx"))) * F.greatest(F.lit(0.0), 1 - F.abs(c("y") - c("by")))
-    s = p.withColumn("inter", inter).withColumn("iou", c("inter") / (2 - c("inter"))).where("iou > 0.5")
-    best = lambda key, other: F.row_number().over(Window.partitionBy("k", key).orderBy(F.desc("iou"), other))
-    return s.withColumns({"c1": best("claim", "box"), "c2": best("box", "claim")}).where("c1 = 1 and c2 = 1").select("k", "claim", "box", F.round("iou", 9).alias("iou"))
-
-
 @query("F7_segment_choice", f"WITH {PHOTOS} SELECT user_id // 20 AS grp, CASE WHEN count(DISTINCT country) >= 2 THEN 'countries' ELSE 'places' END AS split FROM photos GROUP BY 1")
 def f7(spark, d):
     return photos(spark, d).groupBy(F.expr("user_id div 20").alias("grp")).agg(F.when(F.countDistinct("country") >= 2, "countries").otherwise("places").alias("split"))
@@ -296,12 +250,6 @@ def a33(spark, d):
     return read_table(spark, d, "customer").select(c("c_custkey").alias("id"), "c_acctbal").join(p, "id", "left").select("id", F.coalesce("price", "c_acctbal").alias("value"))
 
 
-@query("A51_folder_catalog", f"WITH {PHOTOS} SELECT folder, max(date_taken) AS newest, array_to_string(list_filter(string_split(folder, '/'), lambda x: x <> ''), ' › ') AS crumbs FROM photos GROUP BY folder ORDER BY newest DESC, folder LIMIT 200")
-def a51(spark, d):
-    g = photos(spark, d).groupBy("folder").agg(F.max("date_taken").alias("newest")).orderBy(F.desc("newest"), "folder").limit(200)
-    return g.select("folder", "newest", F.array_join(F.filter(F.split("folder", "/"), lambda x: x != ""), " › ").alias("crumbs"))
-
-
 @query("A52_label_rows", "SELECT label, count(*) AS n, count(DISTINCT vec_id) AS ids, bool_and(len(embedding) = 64) AS whole FROM embeddings GROUP BY label")
 def a52(spark, d):
     """Checks of label vectors: duplicate ids and wrong lengths show as differences."""

@@ -53,12 +53,6 @@ def j8(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), q)), 9).alias("q"))
 
 
-@query("O1_score_quantiles", "SELECT label, quantile_disc(embedding[1]::DOUBLE, 0.5) AS p50, min(embedding[1]::DOUBLE) AS lo, max(embedding[1]::DOUBLE) AS hi, count(*) AS n FROM embeddings GROUP BY label")
-def o1(spark, d):
-    x = F.col("embedding")[0].cast("double")
-    return read_table(spark, d, "embeddings").select("label", x.alias("x")).groupBy("label").agg(F.expr("percentile_disc(0.5) within group (order by x)").alias("p50"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
-
-
 @query("O2_prompts", "SELECT DISTINCT p_type, 'a photo of ' || CASE WHEN lower(p_type)[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || lower(p_type) AS prompt FROM part")
 def o2(spark, d):
     w = F.lower("p_type")

@@ -37,14 +37,6 @@ def a7(spark, d):
     return S.pair(_listing(spark, d))
 
 
-@query("A6_sidecars", f"""WITH {LISTING}, k AS (SELECT dir, name, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem, {KIND} AS kind FROM listing),
-x AS (SELECT DISTINCT dir, stem FROM k WHERE kind = 'sidecar') SELECT k.dir, k.name, x.stem IS NOT NULL AS has_sidecar FROM k LEFT JOIN x USING (dir, stem) WHERE kind = 'image'""")
-def a6(spark, d):
-    k = _listing(spark, d).withColumns({"kind": S.kind(F.col("name")), "stem": S.stem(F.col("name"))})
-    x = k.where("kind = 'sidecar'").select("dir", "stem", F.lit(True).alias("x")).distinct()
-    return k.where("kind = 'image'").join(x, ["dir", "stem"], "left").select("dir", "name", F.col("x").isNotNull().alias("has_sidecar"))
-
-
 @query("A40_sidecar_paths", f"WITH {LISTING} SELECT DISTINCT dir || '/' || name AS path, CASE WHEN regexp_matches(name, '^[^.].*\\.[^.]+$') AND lower(regexp_extract(name, '\\.([^.]+)$', 1)) <> 'xmp' THEN dir || '/' || regexp_replace(name, '\\.[^.]*$', '') || '.xmp' END AS sidecar FROM listing")
 def a40(spark, d):
     path = F.concat("dir", F.lit("/"), "name")

@@ -34,17 +34,6 @@ def f3(spark, d):
     return r.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("date_taken").alias("first_ts"), F.max("date_taken").alias("last_ts"))
 
 
-@query("F4_trips", f"""WITH {PHOTOS}, g AS (SELECT *, CASE WHEN date_taken - lag(date_taken) OVER (PARTITION BY user_id ORDER BY date_taken) <= INTERVAL 48 HOUR THEN 0 ELSE 1 END AS f FROM photos),
-r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY date_taken) AS run FROM g),
-t AS (SELECT user_id, run, count(*) AS n, min({LOCAL_SQL}::DATE) AS a, max({LOCAL_SQL}::DATE) AS b FROM r GROUP BY user_id, run HAVING count(*) >= 15)
-SELECT user_id, run::BIGINT AS run, n, (b - a + 1)::BIGINT AS days, 20 + 1.5::DOUBLE * (b - a + 1) AS score FROM t""")
-def f4(spark, d):
-    r = S.runs(photos(spark, d), "user_id", "date_taken", S.gap_over("date_taken", "user_id", 48 * 3600))
-    t = r.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min(F.to_date(local())).alias("a"), F.max(F.to_date(local())).alias("b")).where("n >= 15")
-    days = F.datediff("b", "a") + 1
-    return t.select("user_id", "run", "n", days.cast("long").alias("days"), (F.lit(20) + F.lit(1.5) * days).cast("double").alias("score"))
-
-
 @query("F5_role_segments", """WITH c AS (SELECT conv_id, turn, role, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 0 ELSE 1 END AS f FROM conversations),
 r AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT conv_id, run::BIGINT AS run, min(role) AS role, count(*) AS n, min(turn) AS first_turn FROM r GROUP BY conv_id, run""")
@@ -53,14 +42,6 @@ def f5(spark, d):
     return r.groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 
-@query("F8_on_this_day", f"""SELECT year(o_orderdate)::INT AS y, (2000 - year(o_orderdate))::INT AS years_ago, count(*) AS n, 50 + 5.0::DOUBLE * (2000 - year(o_orderdate)) AS score FROM orders
-WHERE month(o_orderdate) = 3 AND day(o_orderdate) = 15 AND year(o_orderdate) < 2000 GROUP BY ALL""")
-def f8(spark, d):
-    o = read_table(spark, d, "orders").where("month(o_orderdate) = 3 and day(o_orderdate) = 15 and year(o_orderdate) < 2000")
-    y = F.year("o_orderdate")
-    return o.groupBy(y.alias("y")).agg(F.count("*").alias("n")).select("y", (2000 - F.col("y")).alias("years_ago"), "n", (F.lit(50) + F.lit(5.0) * (2000 - F.col("y"))).cast("double").alias("score"))
-
-
 @query("F9_years_ago", """SELECT m.m::INT AS years_ago, count(*) AS n, CASE WHEN m.m >= 10 THEN 45.0 WHEN m.m >= 5 THEN 40.0 ELSE 35.0 END::DOUBLE AS score FROM orders,
 (VALUES (1), (2), (3), (5), (10), (15), (20)) AS m(m) WHERE o_orderdate = timestamp '2000-03-15 00:00:00' - m.m * INTERVAL 1 YEAR GROUP BY m.m""")
 def f9(spark, d):

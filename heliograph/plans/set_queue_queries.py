@@ -89,20 +89,16 @@ def l6(spark, d):
     return read_table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
 
 
-QUEUE = """q AS (SELECT l_orderkey * 10 + l_linenumber AS item, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'pending' ELSE 'failed' END AS state, (l_partkey % 6) AS retries, l_shipdate AS updated, (l_suppkey % 4)::INT AS pack FROM lineitem)"""
+QUEUE = """q AS (SELECT l_orderkey * 10 + l_linenumber AS item, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linenumber % 5 = 4 THEN 'stale' ELSE 'done' END WHEN 'N' THEN CASE WHEN l_linenumber % 3 = 0 THEN 'hashing' ELSE 'pending' END ELSE CASE WHEN l_linenumber % 4 = 3 THEN 'skipped' ELSE 'failed' END END AS state, (l_partkey % 6) AS retries, l_shipdate AS updated, (l_suppkey % 4)::INT AS pack FROM lineitem)"""
 
 
 def _queue(spark, d):
     c = F.col
-    state = F.when(c("l_returnflag") == "A", "done").when(c("l_returnflag") == "N", "pending").otherwise("failed")
+    n = c("l_linenumber")
+    state = F.when(c("l_returnflag") == "A", F.when(n % 5 == 4, "stale").otherwise("done")).when(c("l_returnflag") == "N", F.when(n % 3 == 0, "hashing").otherwise("pending")).otherwise(F.when(n % 4 == 3, "skipped").otherwise("failed"))
     return read_table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("item"), state.alias("state"), (c("l_partkey") % 6).alias("retries"), c("l_shipdate").alias("updated"), (c("l_suppkey") % 4).cast("int").alias("pack"))
 
 
-@query("E15_queue_stats", f"WITH {QUEUE} SELECT pack, count(*) FILTER (WHERE state = 'done') AS done, count(*) FILTER (WHERE state = 'pending' OR state = 'failed' AND retries < 3) AS pending, count(*) FILTER (WHERE state = 'failed' AND retries >= 3) AS failed FROM q GROUP BY pack")
-def e15(spark, d):
-    return _queue(spark, d).groupBy("pack").agg(F.count_if(F.expr("state = 'done'")).alias("done"), F.count_if(F.expr("state = 'pending' or state = 'failed' and retries < 3")).alias("pending"), F.count_if(F.expr("state = 'failed' and retries >= 3")).alias("failed"))
-
-
 @query("M2_claimable", f"WITH {QUEUE} SELECT item, updated FROM q WHERE state = 'pending' OR state = 'failed' AND retries < 3 ORDER BY updated, item LIMIT 200")
 def m2(spark, d):
     return _queue(spark, d).where("state = 'pending' or state = 'failed' and retries < 3").select("item", "updated").orderBy("updated", "item").limit(200)
@@ -131,11 +127,6 @@ def m16(spark, d):
     return read_table(spark, d, "events").select("user_id", "ts", F.when(gap_over("ts", "user_id", 48 * 3600), "full").otherwise("light").alias("kind"))
 
 
-@query("M17_daily_gate", "SELECT user_id, ts::DATE AS day, min(ts) AS at FROM events GROUP BY ALL")
-def m17(spark, d):
-    return read_table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("at"))
-
-
 @query("M24_done_with_stat", f"WITH {QUEUE} SELECT item, pack FROM q WHERE state = 'done' AND updated IS NOT NULL")
 def m24(spark, d):
     return _queue(spark, d).where("state = 'done' and updated is not null").select("item", "pack")
