@@ -154,12 +154,6 @@ def c1c(spark, d):
     return T.search(photos(spark, d), "africa", ("Objects/view",)).select("id")
 
 
-@query("C3_grid_filter", f"WITH {PHOTOS} SELECT id FROM photos WHERE len(list_filter(tags, lambda t: lower(t) = 'scenes/bright' OR lower(t) LIKE 'scenes/bright/%')) > 0")
-def c3(spark, d):
-    q = "scenes/bright"
-    return photos(spark, d).where(F.exists("tags", lambda t: (F.lower(t) == q) | (F.lower(T.namespace(t)).isin(*T.PREFIXED) & F.startswith(F.lower(t), F.lit(q + "/"))))).select("id")
-
-
 @query("C6_photos_for_tag", WITH + "SELECT id FROM keyed WHERE key = 'scenes/bright'")
 def c6(spark, d):
     return T.buckets(photos(spark, d)).where("key = 'scenes/bright'").select("id")
