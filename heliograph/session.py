@@ -38,6 +38,14 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it as long as df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one of our own only where none is set and driver and executors share a machine."""
     sc = spark.sparkContext

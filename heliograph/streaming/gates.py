@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType, TimestampType
 
 
 def debounce(events: DataFrame, key: str, time: str, quiet: str) -> DataFrame:
@@ -38,19 +38,29 @@ def throttle(events: DataFrame, key: str, time: str, seconds: float) -> DataFram
 
 
 def throttle_stream(events: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
-    """The same on a stream, with the last passed time as each key's state; events are taken in the order of each micro-batch's times."""
+    """The same on a stream with a watermark on ``time``.
+
+    Events wait in their key's state until the watermark has passed them, so the order within and across batches doesn't matter up to the
+    watermark's delay. A key's state is dropped once its interval after the last passed event is over and nothing waits.
+    """
     interval = int(seconds * 1e6)
     out = StructType([StructField(key, LongType()), StructField(time, TimestampType())])
+    kept = StructType([StructField("last", LongType()), StructField("waiting", ArrayType(LongType()))])
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        times = sorted(t for f in frames for t in f[time].astype("int64").floordiv(1000 if str(f[time].dtype).endswith("[ns]") or "[ns," in str(f[time].dtype) else 1).tolist())
-        passed, last = throttle_fold(times, last, interval)
-        if last is not None:
-            state.update((last,))
+        last, waiting = state.get if state.exists else (None, [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        times = [*waiting, *(t for f in frames for t in f[time].astype("datetime64[us]").astype("int64").tolist())]
+        passed, last = throttle_fold(sorted(t for t in times if t <= mark), last, interval)
+        waiting = [t for t in times if t > mark]
+        if waiting or last is not None and last + interval > mark:
+            state.update((last, waiting))
+            state.setTimeoutTimestamp(max(min(waiting, default=(last or 0) + interval), mark) // 1000 + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({key: [k[0]] * len(passed), time: pd.to_datetime(passed, unit="us")})
 
-    return events.groupBy(key).applyInPandasWithState(step, out, StructType([StructField("last", LongType())]), "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def mute_gate(events: DataFrame, key: str, time: str, muting: str) -> DataFrame:
