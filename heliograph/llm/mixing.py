@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.session import ensure_checkpoint_dir
+from heliograph.session import ensure_checkpoint_dir, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -72,16 +72,17 @@ def mix_sources(documents: DataFrame, weights=WEIGHTS, most: int = 3, seed: str
 
 
 def emit_copies(documents: DataFrame, weights=WEIGHTS, most: int = 3, seed: str = "mix") -> DataFrame:
-    """Each row of documents as many times as the mix takes it, numbered from 0 in ``copy``."""
+    """Each row of documents as many times as the mix takes it, numbered from 0 in ``copy`` (``copy_`` where there is such a column, and so on)."""
     ensure_checkpoint_dir(documents.sparkSession)
+    of, rate_of = unused(documents, "__of"), unused(documents, "__rate")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     targets = source_targets(documents.select("source", size.alias("size")), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = _counted(targets.select(F.col("source").alias("__of"), rate.alias("__rate")))
-    rows = documents.join(targets, documents["source"].eqNullSafe(targets["__of"]))
-    copies = F.floor("__rate") + F.when(draw(F.col("doc_id"), seed) < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
+    targets = _counted(targets.select(F.col("source").alias(of), rate.alias(rate_of)))
+    rows = documents.join(targets, documents["source"].eqNullSafe(targets[of]))
+    copies = F.floor(rate_of) + F.when(draw(documents["doc_id"], seed) < F.col(rate_of) - F.floor(rate_of), 1).otherwise(0)
     copies = F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<long>"))
-    return rows.withColumn("copy", F.explode(copies)).drop("__of", "__rate")
+    return rows.select(*[documents[c] for c in documents.columns], F.explode(copies).alias(unused(documents, "copy")))
 
 
 #: DuckDB SQL for the op6 query; {docs} stands for the table.

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm import _words
-from heliograph.session import ensure_checkpoint_dir, ship_package
+from heliograph.session import ensure_checkpoint_dir, ship_package, unused
 
 U = np.uint64
 CELL_BITS = 40  #: of an n-gram's hash, within its shard
@@ -364,7 +364,7 @@ def keep_quality(documents: DataFrame, labels: DataFrame, order: int = 3, quanti
     out = _verdicts(documents, labels, order, quantile, prior_words, block_bytes)
     if out is None:
         return documents
-    gone = out.where("not keep").select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"), F.col("mark").alias("__mark")).distinct()
-    gone = _few(gone)
-    same = documents["doc_id"].cast("long").eqNullSafe(F.col("__id")) & documents["lang"].cast("string").eqNullSafe(F.col("__lang")) & (mark(documents) == F.col("__mark"))
+    names = [unused(documents, x) for x in ("__id", "__lang", "__mark")]
+    gone = _few(out.where("not keep").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "lang", "mark"), names, strict=True)]).distinct())
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col(names[0])) & documents["lang"].cast("string").eqNullSafe(F.col(names[1])) & (mark(documents) == F.col(names[2]))
     return documents.join(gone, same, "left_anti")

@@ -181,6 +181,10 @@ class Scanner:
     """The rules with their queries, ready for slices of texts."""
 
     def __init__(self, rules=RULES):
+        for r in rules:
+            flags = re.compile(r.pattern).flags
+            if flags & re.IGNORECASE and not flags & re.ASCII:  # some other letters fold to ASCII ones, which bytes of trigrams miss
+                raise ValueError(f"{r.kind}: a pattern that ignores case needs (?a)")
         self.rules = [(r, re.compile(r.pattern), trigram_query(r.pattern), class_run(r.pattern)) for r in rules]
         self.grams = sorted(set().union(*(_leaves(q) for _, _, q, _ in self.rules)))
         self.table = np.zeros(1 << 24, dtype=np.uint16)

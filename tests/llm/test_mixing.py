@@ -58,4 +58,7 @@ def test_copies_match_and_empty(spark):
     n = sum(r.copies for r in mix_sources(df).collect())
     out = emit_copies(df)
     assert out.columns == [*df.columns, "copy"] and out.count() == n
+    odd = df.withColumns({c: df["doc_id"] for c in ("copy", "__of", "__rate", "rate", "size", "target")})
+    got = emit_copies(odd)
+    assert got.columns == [*odd.columns, "copy_"] and got.count() == n and got.where("not copy <=> doc_id or not __of <=> doc_id").count() == 0
     assert mix_sources(df.where("false")).collect() == [] and emit_copies(df.where("false")).collect() == []

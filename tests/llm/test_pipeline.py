@@ -51,3 +51,26 @@ def test_run_and_no_unwanted_words(spark):
     assert out.count() > 50
     assert out.where(F.col("text").rlike("(?i)token = \"[0-9a-f]{24}")).count() == 0
     assert re.fullmatch(r"\w+", corpus_pipeline.STAGES[0][0])
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, and no rows at all."""
+    docs = read_table(spark, SF, "documents")
+    first = docs.orderBy("doc_id").first()
+    odd = [
+        (None, None, None, None, None), (10**6, None, "en", "src1", 0), (10**6 + 1, "", None, None, None), (10**6 + 2, " \n ", "en", None, 3), (None, first.text, first.lang, first.source, first.n_chars),
+        (10**6 + 3, "word " * 60000, "xx", "src1", 300000), (10**6 + 3, "word " * 60000, "xx", "src1", 300000), (10**6 + 4, "a" * 300000, "en", "src2", 300000), (first.doc_id, first.text, first.lang, first.source, first.n_chars),
+    ]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    clash = {c: F.lit(1) for c in ("copy", "__of", "__rate", "__was", "__gone", "__id", "__lang", "__mark", "key", "rep", "block", "n", "keep", "lang_")}
+    for df in (rows, rows.withColumns(clash), rows.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, SF)
+            assert out.columns[: len(df.columns)] == df.columns, name
+            got = out.collect()
+            if name == "mix":
+                continue
+            ids = {r.doc_id for r in got}
+            if df.columns == rows.columns and got:  # what has no words, or no id and no fault, stays
+                assert {10**6, 10**6 + 1, 10**6 + 2} <= ids, name
+                assert sum(r.doc_id is None and r.text is None for r in got) == 1, name

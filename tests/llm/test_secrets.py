@@ -63,3 +63,12 @@ def test_redaction_and_empty(spark):
 @pytest.mark.parametrize("bad", ["a" * 10])
 def test_plain_text_has_no_spans(bad):
     assert Scanner().spans([bad.encode()]) == [[]]
+
+
+def test_patterns_that_fold_beyond_ascii_are_refused():
+    import pytest
+
+    from heliograph.llm.secrets import Rule, Scanner
+
+    with pytest.raises(ValueError):
+        Scanner((Rule(*["x", "(?i)secret", *BASE_RULES[0][2:]]),))
