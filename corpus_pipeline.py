@@ -17,7 +17,7 @@ from heliograph.llm.mixing import emit_copies
 from heliograph.llm.near_dedup import near_duplicates
 from heliograph.llm.quality import keep_quality
 from heliograph.llm.secrets import redact_secrets
-from heliograph.session import read_table, shared_folder
+from heliograph.session import read_table, shared_folder, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and wordless texts are in no group and stay. Rows without id stay, exact copies too. Rows of equal id stay or go together.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct().checkpoint()
+    name = unused(docs, "__gone")
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct().checkpoint()
     if gone.count() <= 1_000_000:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked and n_chars counted anew where the text has changed; null texts stay null."""
-    out = redact_secrets(docs.withColumn("__was", F.length("text")))
-    n = F.when(F.length("text") == F.col("__was"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    was = unused(docs, "__was")
+    out = redact_secrets(docs.withColumn(was, F.length("text")))
+    n = F.when(F.length("text").eqNullSafe(F.col(was)), F.col("n_chars")).otherwise(F.length("text").cast("long"))
     return out.withColumn("n_chars", n).select(*docs.columns)
 
 
