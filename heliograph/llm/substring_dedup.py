@@ -2,7 +2,7 @@
 
 ``dedup_substrings`` removes each word covered by a window of ``window`` consecutive words whose
 word sequence also starts in a document with a smaller id. The work is dealt to *blocks* of
-documents (by a hash of the id, about ``block_bytes`` of text each) and to *shards* of the window
+documents (by a hash of id and text, about ``block_bytes`` of text each) and to *shards* of the window
 hash space, both in proportion to the input:
 
 1. each block makes its partition's sketch: for every shard the cells that its windows fall into,
@@ -15,9 +15,15 @@ hash space, both in proportion to the input:
 4. each block applies these and its own repeats, and joins the words that stay.
 
 Nothing is broadcast or collected, and a window that half of all documents share is one entry
-per block. The sketch has one row of 2**28 cells per shard (some 70 for each window of the shard): for
-a sparse sketch the traffic is a few bytes per window and row, so one wide row lets fewer
-single windows through than two rows of the same traffic.
+per block. The sketch has one row of 2**28 cells per shard (some 70 for each window of the shard), kept sparse: the cells of
+a partition's windows. Such sketches merge by adding counts cell by cell. A dense table would be 2**28 cells a block for windows that fill
+one cell in a thousand of it. With one row a single window passes for a repeated one with probability
+1.4 %; a second row would cut that to 0.02 %, and double a traffic of some 2.5 bytes a window (0.6 of the input's size on the
+check's tables) to save entries of 20 bytes for 1.4 % of the windows (0.3 bytes a window). So it would cost more than it saves.
+
+A block sends a message to each shard that it has windows for, so there are blocks times shards of them, but never more than
+windows: at n bytes of text a message holds some 5 * block_bytes / n of a block's windows, and from about 14 TB at 4 MB blocks on one window, when
+a row's overhead (some 40 bytes) sets the traffic. Then larger blocks help, as far as memory allows.
 
 Nulls: a null text has no words; a null id counts as larger than all others, so such a document keeps
 no word that one with an id has, and removes none. Rows of equal id don't remove each other's words.
@@ -106,7 +112,7 @@ def dedup_substrings(documents: DataFrame, window: int = 50, block_bytes: int =
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // block_bytes
     shards = 1 + size // (5 * block_bytes)  # some 4 million windows each
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     def sketch(key, table):
         b = _Block(table, window, shards)
