@@ -331,7 +331,7 @@ def c23(spark, d):
 
 
 DECISIONS = """ds AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE WHEN l_returnflag = 'A' THEN 'named' WHEN l_returnflag = 'N' THEN 'ignored' ELSE 'rejected' END AS kind, CASE WHEN l_returnflag = 'A' THEN 'P' || l_suppkey % 3 END AS name,
- (l_partkey % 10) / 10.0::DOUBLE AS x, (l_suppkey % 10) / 10.0::DOUBLE AS y, 0.33::DOUBLE AS w, 0.33::DOUBLE AS h, l_linestatus = 'O' AS wanted, 'd' || l_linenumber || ':' || l_partkey AS claim FROM lineitem),
+ (l_partkey % 10) / 10.0::DOUBLE AS x, (l_suppkey % 10) / 10.0::DOUBLE AS y, 0.33::DOUBLE AS w, 0.33::DOUBLE AS h, l_linestatus = 'O' AS wanted, 'd' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS claim FROM lineitem),
 rq AS (SELECT k, list(DISTINCT name) FILTER (WHERE wanted AND kind = 'named') AS people, k % 2 = 0 AS complete FROM ds GROUP BY k),
 sup AS (SELECT e.k, e.i, e.claim, coalesce(bool_or(greatest(0, 0.33::DOUBLE - abs(e.x - n.x)) * greatest(0, 0.33::DOUBLE - abs(e.y - n.y)) > 0.5::DOUBLE * (0.2178::DOUBLE - greatest(0, 0.33::DOUBLE - abs(e.x - n.x)) * greatest(0, 0.33::DOUBLE - abs(e.y - n.y)))), false)
  OR any_value(q.complete) OR any_value(e.kind) = 'named' AND coalesce(list_contains(any_value(q.people), any_value(e.name)), false) AS superseded FROM ds e JOIN rq q USING (k) LEFT JOIN ds n ON n.k = e.k AND n.wanted WHERE NOT e.wanted GROUP BY e.k, e.i, e.claim)"""
@@ -341,7 +341,7 @@ def _decisions(spark, d):
     kind = F.when(c("l_returnflag") == "A", "named").when(c("l_returnflag") == "N", "ignored").otherwise("rejected")
     one = F.struct(
         c("l_linenumber").alias("i"), kind.alias("kind"), F.when(c("l_returnflag") == "A", F.concat(F.lit("P"), (c("l_suppkey") % 3).cast("string"))).alias("name"), (c("l_partkey") % 10 / F.lit(10.0)).alias("x"), (c("l_suppkey") % 10 / F.lit(10.0)).alias("y"),
-        F.lit(0.33).alias("w"), F.lit(0.33).alias("h"), F.concat(F.lit("d"), c("l_linenumber").cast("string"), F.lit(":"), c("l_partkey").cast("string")).alias("claim"),
+        F.lit(0.33).alias("w"), F.lit(0.33).alias("h"), F.concat(F.lit("d"), c("l_linenumber").cast("string"), F.lit(":"), c("l_partkey").cast("string"), F.lit(":"), c("l_suppkey").cast("string")).alias("claim"),
     )
     li = read_table(spark, d, "lineitem").select(c("l_orderkey").alias("k"), (c("l_linestatus") == "O").alias("o"), one.alias("one"))
     g = li.groupBy("k").agg(F.collect_list(F.when(~c("o"), c("one"))).alias("decisions"), F.collect_list(F.when(c("o"), c("one"))).alias("wanted"))
