@@ -56,10 +56,16 @@ def carries(tags: Column, path: str) -> Column:
     return F.exists(tags, lambda t: (F.lower(t) == q) | (F.startswith(F.lower(t), F.lit(q + "/")) & F.lit(places)))
 
 
+def has_key(tags: Column, key: str) -> Column:
+    """Whether one of the tags has this (lower-case) key: its own path, or a prefix of two or more segments where those count."""
+    under = F.lit("/" in key and key.split("/")[0] in PREFIXED)
+    return F.exists(tags, lambda t: (F.lower(t) == key) | (under & F.startswith(F.lower(t), F.lit(key + "/"))))
+
+
 def search(photos: DataFrame, text: str, required: tuple[str, ...] = ()) -> DataFrame:
     """Photos with all required tags that carry the tag named by the text or, if no tag has that path, contain it.
 
-    The tag branch is decided by a one-row existence test over the buckets.
+    The tag branch is decided by a one-row existence test on the tags themselves, which ends at the first hit.
     """
     q = text.strip().lower()
     df = photos
@@ -67,7 +73,7 @@ def search(photos: DataFrame, text: str, required: tuple[str, ...] = ()) -> Data
         df = df.where(carries(F.col("tags"), r))
     if not q:
         return df
-    known = suggestions(photos).where(F.col("key") == q).limit(1).agg(F.count("*").alias("__known"))
+    known = photos.where(has_key(F.col("tags"), q)).limit(1).agg(F.count("*").alias("__known"))
     df = df.crossJoin(F.broadcast(known))  # one row
     hit = F.contains(F.array_join(corpus_terms(F.col("filename"), F.col("tags")), "\n"), F.lit(q))
     return df.where(F.when(F.col("__known") > 0, carries(F.col("tags"), q)).otherwise(hit)).drop("__known")
