@@ -97,10 +97,10 @@ class Grams:
     """The n-grams of a block's texts, by level: where each starts, and its shard and cell as one number."""
 
     def __init__(self, raw: list[bytes], order: int, shards: int):
-        self.words = _words.scan(raw, lower=True)
-        self.at, self.code = [], []
+        words = _words.scan(raw, lower=True)
+        self.first, self.at, self.code = words.first, [], []
         for n in range(1, order + 1):
-            at, h = _words.windows(self.words, n)
+            at, h = _words.windows(words, n)
             self.at.append(at.astype(np.int32))
             self.code.append(((h >> U(CELL_BITS)) % U(shards)) << U(CELL_BITS) | h & U((1 << CELL_BITS) - 1))
 
@@ -267,7 +267,7 @@ def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int,
             nll, words = np.zeros(0), np.zeros(0, dtype=np.int64)
         else:
             g = Grams(raw, order, shards)
-            words, p, before = np.diff(g.words.first), np.zeros(0), None
+            words, p, before = np.diff(g.first), np.zeros(0), None
             for n, (_, where, known) in enumerate(_known(g, replies, order), 1):
                 own = rates.own(n, known)[where]
                 if n == 1:
@@ -280,7 +280,7 @@ def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int,
             nll = np.zeros(len(raw))
             full = np.flatnonzero(words)
             if len(full):
-                nll[full] = np.add.reduceat(-np.log(np.maximum(p, 1e-12)), g.words.first[full])
+                nll[full] = np.add.reduceat(-np.log(np.maximum(p, 1e-12)), g.first[full])
         return pa.table({"doc_id": table.column("doc_id"), "lang": table.column("lang"), "mark": table.column("mark"), "nll": pa.array(nll), "n_words": pa.array(words)})
 
     of = lambda asked: asked.groupBy("n", "shard").cogroup(model.groupBy("n", "shard")).applyInArrow(_answer, _MSG_DDL)
@@ -349,7 +349,7 @@ def _verdicts(documents: DataFrame, labels: DataFrame, order: int, quantile: flo
     return None if scored is None else _judged(scored, thresholds(scored, labels, quantile, prior_words), prior_words)
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, lang, n_words, perplexity, threshold, keep of each row of documents(doc_id, text, lang)."""
     out = _verdicts(documents, labels, order, quantile, prior_words, block_bytes)
     if out is None:
@@ -359,7 +359,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, qua
     return out.select("doc_id", "lang", "n_words", "perplexity", "threshold", "keep")
 
 
-def keep_quality(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 8 << 20) -> DataFrame:
+def keep_quality(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 6 << 20) -> DataFrame:
     """The rows of documents that the classifier keeps, with all their columns."""
     out = _verdicts(documents, labels, order, quantile, prior_words, block_bytes)
     if out is None:
