@@ -54,7 +54,7 @@ PATTERNS = {
     "phone_local": (lambda t: t.rlike(r"[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"), r"(?<![0-9+.(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"),
     "id_number": (lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"),
-    "person": (lambda t: t.rlike(r"[A-Z][a-z]{1,30}\.?\x20[A-Z][a-z]"), rf"\b(?:{TITLES}\b\.?\x20[A-Z][a-z]{{1,30}}+(?:\x20[A-Z][a-z]{{1,30}}+)?+|(?:{GIVEN})\x20[A-Z][a-z]{{2,30}}+)\b"),
+    "person": (lambda t: t.rlike(r"[A-Z][a-z]{1,30}\.?\x20[A-Z][a-z]"), rf"(?=[A-Z][a-z]{{1,30}}+\.?\x20[A-Z][a-z])\b(?:{TITLES}\b\.?\x20[A-Z][a-z]{{1,30}}+(?:\x20[A-Z][a-z]{{1,30}}+)?+|(?:{GIVEN})\x20[A-Z][a-z]{{2,30}}+)\b"),
 }
 CUES = {
     "email": "mail contact write kontakt courriel correo", "ip": "ip host server address client", "card": "card visa credit karte carte tarjeta", "phone": "phone call tel mobile fax telefon appel",
