@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.llm.bpe import decode_ids, encode_texts
 from heliograph.llm.chat import format_chats
 from heliograph.llm.decontaminate import find_leaks
 from heliograph.llm.fingerprints import fingerprint_edits
@@ -73,6 +74,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # the vocabulary files of the machine; a path is all that the operator needs
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode_ids(encode_texts(read_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -85,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extract": op8_html_extract,
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
+        "op11_bpe": op11_bpe,
     }
 
 
