@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.bpe import decode_ids, encode_texts
 from heliograph.llm.chat import format_chats
+from heliograph.llm.conversation_repair import REPAIR_SQL, audit_damaged
 from heliograph.llm.decontaminate import find_leaks
 from heliograph.llm.fingerprints import fingerprint_edits
 from heliograph.llm.html_extract import extract_text
@@ -82,6 +83,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -95,10 +100,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_quality": op10_quality,
         "op11_bpe": op11_bpe,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_source_mix": "WITH " + MIX_SQL.replace("{docs}", "documents").strip() + "\nSELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
+        "op12_conversation_repair": REPAIR_SQL,
     }
