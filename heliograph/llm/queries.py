@@ -13,6 +13,7 @@ from heliograph.llm.conversation_repair import REPAIR_SQL, audit_damaged
 from heliograph.llm.decontaminate import find_leaks
 from heliograph.llm.fingerprints import fingerprint_edits
 from heliograph.llm.html_extract import extract_text
+from heliograph.llm.merkle import manifest_sql, prove_documents
 from heliograph.llm.mixing import MIX_SQL, mix_sources
 from heliograph.llm.near_dedup import near_duplicates
 from heliograph.llm.pii import BASE as PII_BASE
@@ -87,6 +88,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_damaged(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality": op10_quality,
         "op11_bpe": op11_bpe,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -108,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_source_mix": "WITH " + MIX_SQL.replace("{docs}", "documents").strip() + "\nSELECT doc_id, size, source_size, target, copies * size AS taken FROM mixed",
         "op12_conversation_repair": REPAIR_SQL,
+        "op13_merkle_manifest": manifest_sql(),
     }
