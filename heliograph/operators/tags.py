@@ -20,7 +20,7 @@ def namespace(path: Column) -> Column:
 
 
 def display_name(path: Column) -> Column:
-    return F.element_at(parts(path), -1)
+    return F.try_element_at(parts(path), F.lit(-1))
 
 
 def index_keys(path: Column) -> Column:
@@ -40,8 +40,13 @@ def buckets(photos: DataFrame) -> DataFrame:
 
 
 def suggestions(photos: DataFrame) -> DataFrame:
-    """key, count, latest of every bucket."""
-    return buckets(photos).groupBy("key").agg(F.count("*").alias("n"), F.max("date_taken").alias("latest"))
+    """key, count, latest of every bucket.
+
+    Photos of one event or folder carry the same tags, so equal lists are counted first and their keys are derived once per list, not per photo.
+    """
+    lists = photos.groupBy("tags").agg(F.count("*").alias("n"), F.max("date_taken").alias("latest"))
+    keys = F.array_distinct(F.flatten(F.transform("tags", index_keys)))
+    return lists.select("n", "latest", F.explode(keys).alias("key")).groupBy("key").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
 
 
 def corpus_terms(filename: Column, tags: Column) -> Column:
@@ -50,9 +55,9 @@ def corpus_terms(filename: Column, tags: Column) -> Column:
 
 
 def carries(tags: Column, path: str) -> Column:
-    """Whether a tag equals the path or, for places, lies beneath it."""
+    """Whether a tag equals the path or, for a path in the namespace of places, lies beneath it."""
     q = path.lower()
-    places = q.startswith("places/") or q == "places"
+    places = q.startswith("places/")
     return F.exists(tags, lambda t: (F.lower(t) == q) | (F.startswith(F.lower(t), F.lit(q + "/")) & F.lit(places)))
 
 

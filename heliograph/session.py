@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 from pathlib import Path
@@ -57,6 +58,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="heliograph-checkpoint-")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is deleted when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder for checkpoints, unless one is set already."""
     sc = spark.sparkContext
