@@ -50,21 +50,6 @@ k(key, rn, t, keep) AS (SELECT {k}, rn, t, true FROM e WHERE rn = 1 UNION ALL SE
 kept AS (SELECT key, t FROM k WHERE keep)"""
 
 
-@query("E22_folder_events", f"""WITH RECURSIVE {PHOTOS}, src AS (SELECT folder, id, date_taken - (date_part('second', date_taken) * (id % 2))::BIGINT * INTERVAL 1 SECOND AS t FROM photos), {FOLD.format(k="folder")}
-SELECT key AS folder, count(*) AS n, (10 + least((max(t)::DATE - min(t)::DATE)::BIGINT, 14))::DOUBLE AS score FROM kept GROUP BY key HAVING count(*) >= 15 AND date_trunc('month', max(t)) <> DATE '2024-02-01'""")
-def e22(spark, d):
-    t = c("date_taken") - F.make_dt_interval(secs=(F.floor(F.date_format("date_taken", "s").cast("int")) * (c("id") % 2)).cast("int"))
-    return L.folder_events(photos(spark, d).select("folder", t.alias("t")), "folder", "t", TODAY)
-
-
-@query("F4_trips", f"""WITH RECURSIVE {PHOTOS}, s0 AS (SELECT user_id, id, tz_offset_s, date_taken AS t, CASE WHEN date_taken - lag(date_taken) OVER (PARTITION BY user_id ORDER BY date_taken) <= INTERVAL 48 HOUR THEN 0 ELSE 1 END AS f FROM photos),
-src AS (SELECT user_id, id, t, tz_offset_s, sum(f) OVER (PARTITION BY user_id ORDER BY t) AS run FROM s0), {FOLD.format(k="user_id")}, d AS (SELECT DISTINCT user_id, t, run FROM src), m AS (SELECT d.user_id, d.run, count(*) AS kept FROM kept JOIN d ON d.user_id = kept.key AND d.t = kept.t GROUP BY ALL),
-g AS (SELECT user_id, run, count(*) AS n, min((t + tz_offset_s * INTERVAL 1 SECOND)::DATE) AS a, max((t + tz_offset_s * INTERVAL 1 SECOND)::DATE) AS b FROM src GROUP BY ALL)
-SELECT user_id, run::BIGINT AS run, kept AS n, (b - a + 1)::BIGINT AS days, 20 + 1.5::DOUBLE * (b - a + 1) AS score FROM g JOIN m USING (user_id, run) WHERE n >= 15 AND kept >= 15 AND date_trunc('month', b) <> DATE '2024-02-01'""")
-def f4(spark, d):
-    return L.trips(photos(spark, d).select("user_id", c("date_taken").alias("t"), local().alias("lt")), "user_id", TODAY)
-
-
 ANNUAL = "src AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderdate + (o_orderkey % 1440) * INTERVAL 30 SECOND AS t, 1 + day(o_orderdate) % 3 AS dom FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) % 3 = 1 AND year(o_orderdate) < 2000)"
 
 

@@ -71,15 +71,6 @@ def c25(spark, d):
     return g.where("a <> b").select(F.when(c("a"), "gone").otherwise("new").alias("what"), "o_custkey", "o_orderpriority", "m", "d")
 
 
-@query("E12_trip_labels", f"""WITH {PHOTOS}, g AS (SELECT folder, country, count(*) AS n, min(pos) AS p FROM photos GROUP BY ALL), t AS (SELECT user_id // 10 AS trip, country, count(*) AS n FROM photos GROUP BY ALL),
-a AS (SELECT trip, count(*) AS k, sum(n) AS s, max(n) AS m, arg_min(country, (-n, country)) AS top, string_agg(country, ' & ' ORDER BY country) AS names FROM t GROUP BY trip)
-SELECT trip, CASE WHEN m * 10 >= s * 9 THEN top WHEN k <= 3 THEN names ELSE k || ' countries' END AS label FROM a""")
-def e12(spark, d):
-    t = photos(spark, d).groupBy(F.expr("user_id div 10").alias("trip"), "country").agg(F.count("*").alias("n"))
-    a = t.groupBy("trip").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.max("n").alias("m"), F.min_by("country", F.struct((-c("n")).alias("o"), "country")).alias("top"), F.array_join(F.array_sort(F.collect_list("country")), " & ").alias("names"))
-    return a.select("trip", F.when(c("m") * 10 >= c("s") * 9, c("top")).when(c("k") <= 3, c("names")).otherwise(F.concat(c("k").cast("string"), F.lit(" countries"))).alias("label"))
-
-
 @query("E16_library_stats", "SELECT l_returnflag AS state, count(*) AS rows, count(DISTINCT l_suppkey) AS clusters, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS open FROM lineitem GROUP BY 1")
 def e16(spark, d):
     return read_table(spark, d, "lineitem").groupBy(c("l_returnflag").alias("state")).agg(F.count("*").alias("rows"), F.countDistinct("l_suppkey").alias("clusters"), F.count_if(F.expr("l_linestatus = 'O'")).alias("open"))
@@ -92,13 +83,6 @@ def e21(spark, d):
     return s.groupBy(F.expr("l_suppkey div 10").alias("grp")).agg(F.min_by("l_suppkey", F.struct((-c("n")).alias("o"), "l_suppkey")).alias("survivor"), F.sum("n").alias("size"))
 
 
-@query("F6_place_segments", f"""WITH {PHOTOS}, f AS (SELECT user_id // 20 AS grp, pos, country, CASE WHEN country IS NOT DISTINCT FROM lag(country) OVER (PARTITION BY user_id // 20 ORDER BY pos) THEN 0 ELSE 1 END AS f FROM photos),
-r AS (SELECT *, sum(f) OVER (PARTITION BY grp ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM f) SELECT grp, run::BIGINT AS run, min(country) AS country, count(*) AS n, min(pos) AS first_pos FROM r GROUP BY grp, run""")
-def f6(spark, d):
-    p = photos(spark, d).select(F.expr("user_id div 20").alias("grp"), "pos", "country")
-    return S.runs(p, "grp", "pos", S.changed("country", "grp", "pos")).groupBy("grp", "run").agg(F.min("country").alias("country"), F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-
-
 @query("F11_recent_people", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING max(o_orderdate) >= timestamp '2000-01-01 00:00:00' ORDER BY n DESC, o_custkey LIMIT 20")
 def f11(spark, d):
     g = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("t"))
@@ -129,12 +113,6 @@ def g4(spark, d):
     return photos(spark, d).where("not is_video").select("id", "date_taken").orderBy(F.desc("date_taken"), "id").limit(500)
 
 
-@query("G7_sampled_memories", f"""WITH {PHOTOS}, r AS (SELECT person, id, row_number() OVER (PARTITION BY person ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY person) AS n FROM photos),
-s AS (SELECT DISTINCT person, n, k FROM r, range(0, 20) AS t(k) WHERE n > 20) SELECT r.person, r.i AS place, r.id FROM r WHERE n <= 20 UNION ALL SELECT r.person, s.k, r.id FROM s JOIN r ON r.person = s.person AND r.i = (s.k * s.n) // 20""")
-def g7(spark, d):
-    return P.sampled(photos(spark, d), "person", "pos", "id", 20)
-
-
 @query("L5_places_plan", f"""WITH {PHOTOS} SELECT id, CASE WHEN value < 20 THEN 'build' WHEN value < 60 THEN 'upgrade' ELSE 'unchanged' END AS action FROM photos""")
 def l5(spark, d):
     """No old path: build; a strict prefix of the new one: upgrade; else unchanged."""

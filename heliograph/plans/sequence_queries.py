@@ -26,14 +26,6 @@ def f1(spark, d):
     return S.dedup_anchored(read_table(spark, d, "events"), "user_id", "ts", 6 * 3600)
 
 
-@query("F3_trip_runs", f"""WITH {PHOTOS}, g AS (SELECT *, CASE WHEN date_taken - lag(date_taken) OVER (PARTITION BY user_id ORDER BY date_taken) <= INTERVAL 48 HOUR THEN 0 ELSE 1 END AS f FROM photos),
-r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY date_taken) AS run FROM g)
-SELECT user_id, run::BIGINT AS run, count(*) AS n, min(date_taken) AS first_ts, max(date_taken) AS last_ts FROM r GROUP BY user_id, run""")
-def f3(spark, d):
-    r = S.runs(photos(spark, d), "user_id", "date_taken", S.gap_over("date_taken", "user_id", 48 * 3600))
-    return r.groupBy("user_id", "run").agg(F.count("*").alias("n"), F.min("date_taken").alias("first_ts"), F.max("date_taken").alias("last_ts"))
-
-
 @query("F5_role_segments", """WITH c AS (SELECT conv_id, turn, role, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AND row_number() OVER (PARTITION BY conv_id ORDER BY turn) > 1 THEN 0 ELSE 1 END AS f FROM conversations),
 r AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT conv_id, run::BIGINT AS run, min(role) AS role, count(*) AS n, min(turn) AS first_turn FROM r GROUP BY conv_id, run""")
