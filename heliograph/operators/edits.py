@@ -133,15 +133,16 @@ def queue_stats(queue: DataFrame, most_retries: int) -> DataFrame:
     return queue.agg(count(C("state") == "done", "done"), count(C("state").isin("pending", "hashing", "stale") | again, "pending"), count((C("state") == "failed") & ~again, "failed"), count(C("state") == "skipped", "skipped"))
 
 
-def greedy_pairs(pairs: DataFrame, key: str, a: str, b: str, score: str) -> DataFrame:
-    """One-to-one pairs within each key, best first (ties by a, then b): the greedy choice.
+def greedy_pairs(pairs: DataFrame, key: str, a: str, b: str, score: str, first_come: bool = False) -> DataFrame:
+    """One-to-one pairs within each key, best first (ties by a, then b): the greedy choice. first_come: each a in its order chooses the best b that is left.
 
     A pair that is the best of both its ends is one that the greedy choice takes. So rounds of mutual bests, with a checkpoint each,
-    give the same pairs; the most that a round leaves is what waited for a better pair of its ends. Needs a strict order of pairs.
+    give the same pairs; the most that a round leaves is what waited for a better pair of its ends. Needs a strict order of pairs. Where each a chooses in turn, b's
+    best pair is that of the first a that could take it.
     """
     taken, left = None, pairs.checkpoint()
     while not left.isEmpty():
-        best = lambda e: F.row_number().over(Window.partitionBy(key, e).orderBy(F.desc(score), a, b)) == 1
+        best = lambda e: F.row_number().over(Window.partitionBy(key, e).orderBy(*([a] if first_come and e == b else [F.desc(score), a, b]))) == 1
         now = left.withColumns({"__a": best(a), "__b": best(b)}).where("__a and __b").drop("__a", "__b").checkpoint()
         taken = now if taken is None else taken.unionByName(now)
         left = left.join(now.select(key, a), [key, a], "left_anti").join(now.select(key, b), [key, b], "left_anti").checkpoint()
