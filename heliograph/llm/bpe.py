@@ -19,7 +19,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from heliograph.session import ship_package
 
 MOST_BYTES = 64 << 20  #: so large may a vocabulary file be
-KEPT_WORDS, KEPT_LENGTH = 1 << 17, 48  #: a task remembers the ids of so many words of up to so many characters
+KEPT_WORDS, KEPT_LENGTH = 1 << 18, 48  #: a task remembers the ids of up to twice so many words of up to so many characters; those met of late stay
 FLUSH = 4 << 20  #: bytes of output from which a batch is handed on
 #: How the one kind of vocabulary read here prepares its text.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -48,18 +48,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printed else chr(next(others)) for b in range(256)]
 
 
-@lru_cache(maxsize=1)
-def _unassigned() -> re.Pattern:
-    """Characters without a category here: other versions of Unicode may know them, so the libraries in use may differ on them."""
-    ranges, start = [], None
-    for c in range(sys.maxunicode + 2):
-        odd = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if odd and start is None:
-            start = c
-        elif not odd and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return re.compile("[" + "".join(ranges) + "]")
+_assigned: set[str] = set()
+
+
+def _odd(text: str) -> bool:
+    """Whether a character has no category here: other versions of Unicode may know it, so the libraries in use may differ on it."""
+    new = set(text) - _assigned
+    good = {c for c in new if unicodedata.category(c) != "Cn"}
+    _assigned.update(good)
+    return len(good) < len(new)
 
 
 class Vocabulary:
@@ -85,10 +82,13 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.ranks = {(a, b): rank for rank, (a, b, _) in enumerate(pairs)}
+        self.made = [new for _, _, new in pairs]  # by rank
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.words = regex.compile(SPLIT)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @property
     @lru_cache(maxsize=1)
@@ -100,46 +100,48 @@ class Vocabulary:
 
     def merge(self, ids: list[int]) -> list[int]:
         """The symbols after all merges, the one of least rank first, of equal ones the first in place."""
-        n, merges = len(ids), self.merges
+        n, ranks, made = len(ids), self.ranks, self.made
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []
-        for i in range(n - 1):
-            m = merges.get((ids[i], ids[i + 1]))
-            if m:
-                queue.append((m[0], i, m[1]))
+        queue = [m * n + i for i, m in enumerate(map(ranks.get, zip(ids, ids[1:], strict=False))) if m is not None]  # rank and place in one number
         heapq.heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j < 0 or merges.get((ids[i], ids[j]), (0, -1))[1] != new:
+            m, i = divmod(heapq.heappop(queue), n)
+            new, j = made[m], after[i]
+            if ids[i] < 0 or j < 0:
+                continue  # stale
+            now = ranks.get((ids[i], ids[j]))
+            if now != m and (now is None or made[now] != new):
                 continue  # stale
             ids[i], ids[j] = new, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                m = merges.get((new, ids[k]))
-                if m:
-                    heapq.heappush(queue, (m[0], i, m[1]))
+                m = ranks.get((new, ids[k]))
+                if m is not None:
+                    heapq.heappush(queue, m * n + i)
             h = before[i]
             if h >= 0:
-                m = merges.get((ids[h], new))
-                if m:
-                    heapq.heappush(queue, (m[0], h, m[1]))
+                m = ranks.get((ids[h], new))
+                if m is not None:
+                    heapq.heappush(queue, m * n + h)
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> bytes:
         """The ids of a word, as little-endian unsigned 32-bit integers."""
-        raw = word.encode()
-        out = np.array(self.merge([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]]), dtype="<u4").tobytes()
+        out = self.older.get(word)
+        if out is None:
+            raw = word.encode()
+            ids = self.merge([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]])
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= KEPT_LENGTH:
             if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = out
         return out
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if not text.isascii() and _unassigned().search(text):
+        if not text.isascii() and _odd(text):
             text = self.library.normalizer.normalize_str(text)
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         text = SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()  # the one letter that lower() writes by context
@@ -147,11 +149,12 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
-        out, known, word = [], self.known, self.word
+        out, word = [], self.word
         for k, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if k % 2:
                 out.append(np.array([self.special[part]], dtype="<u4").tobytes())
             else:
+                known = self.known  # may be set aside meanwhile, which costs a second look
                 out += [known.get(w) or word(w) for w in self.pieces(part)]
         return b"".join(out)
 
