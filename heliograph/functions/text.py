@@ -32,6 +32,16 @@ def nfd(s: pd.Series) -> pd.Series:
 SMALL_WORDS = "a an and as at but by en for if in of on or the to v v. via vs vs.".split()
 
 
+def collation_key(s: Column) -> Column:
+    """A text whose order is that of names: lower case, without the marks of letters. For sorting, grouping and joining, ``collated`` needs no Python."""
+    return nfc(F.regexp_replace(nfd(F.lower(s)), r"\p{Mn}+", ""))
+
+
+def collated(s: Column) -> Column:
+    """The text under Unicode's collation without case and accents: it sorts, groups and joins like its collation key, on the JVM."""
+    return F.collate(s, "UNICODE_CI_AI")
+
+
 def titlecase(segment: Column) -> Column:
     """Words joined by one space: a word with a capital after its first letter stays; small words inside are in lower case; others get a capital."""
     words = F.filter(F.split(segment, r"\s+"), lambda x: x != "")

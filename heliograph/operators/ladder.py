@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.operators import sequences as S
 from heliograph.operators import vectors as V
+from heliograph.operators.pivots import similar_pairs
 
 C = F.col
 LEAST_PHOTOS = 15
@@ -93,17 +94,8 @@ def assign(rows: DataFrame, centroids: DataFrame, key: str, vector: str, auto: f
 
 
 def proposals(centroids: DataFrame, label: str, vector: str, least: float) -> DataFrame:
-    """a, b, sim of the pairs of centroids that are alike enough. Exact, so each cluster meets each other one: a stated set against itself, in blocks.
-
-    Both sides are dealt into blocks of FEW_CLUSTERS, and a pair of blocks is one key of the join.
-    """
-    blocks = -(-max(1, centroids.count()) // FEW_CLUSTERS)
-    block = F.pmod(F.xxhash64(label), F.lit(blocks))
-    upto = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = centroids.select(C(label).alias("a"), C(vector).alias("va"), block.alias("i"), upto.alias("j"))
-    right = centroids.select(C(label).alias("b"), C(vector).alias("vb"), upto.alias("i"), block.alias("j"))
-    p = left.join(right, ["i", "j"]).where("a < b").select("a", "b", V.dot(C("va"), C("vb")).alias("sim"))
-    return p.where(C("sim") >= least)
+    """a, b, sim of the pairs of (unit) centroids that are alike enough: an exact join that skips what the triangle inequality rules out."""
+    return similar_pairs(centroids.select(C(label).cast("long").alias("id"), C(vector).alias("v")), least)
 
 
 def calibrate(rows: DataFrame, centroids: DataFrame, grid: list[float]) -> DataFrame:

@@ -46,13 +46,6 @@ def b11(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%.6f,%.6f,%.6f,%.6f", "l_discount", "l_tax", F.lit(0.1), F.lit(0.2)).alias("claim"))
 
 
-@query("J8_face_quality", "SELECT l_orderkey, l_linenumber, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (1 - l_discount) * least(1.0::DOUBLE, l_quantity / 40) * (1 - l_tax))), 9) AS q FROM lineitem")
-def j8(spark, d):
-    c = F.col
-    q = (1 - c("l_discount")) * F.least(F.lit(1.0), c("l_quantity") / 40) * (1 - c("l_tax"))
-    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), q)), 9).alias("q"))
-
-
 @query("O2_prompts", "SELECT DISTINCT p_type, 'a photo of ' || CASE WHEN lower(p_type)[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || lower(p_type) AS prompt FROM part")
 def o2(spark, d):
     w = F.lower("p_type")

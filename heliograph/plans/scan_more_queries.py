@@ -76,12 +76,6 @@ def regions(xml):
     return F.filter(rows, lambda r: r["unit"].isin("", "normalized") & r["x"].isNotNull() & r["y"].isNotNull() & r["w"].isNotNull() & r["h"].isNotNull())
 
 
-@query("A26_xmp_regions", "SELECT c_custkey, 0::INT AS i, c_name AS name, round((c_custkey % 50) / 100.0::DOUBLE, 2) AS x, 0.2::DOUBLE AS w FROM customer UNION ALL SELECT c_custkey, 1, 'Ann', round((c_custkey % 52) / 100.0::DOUBLE, 2), 0.2::DOUBLE FROM customer")
-def a26(spark, d):
-    t = read_table(spark, d, "customer").select("c_custkey", F.posexplode(regions(_regions_xml())).alias("i", "r"))
-    return t.select("c_custkey", "i", c("r.name").alias("name"), c("r.x").alias("x"), c("r.w").alias("w"))
-
-
 @query("A24_xmp_parse", "SELECT c_custkey, 'People/' || c_name AS tags, 'AT' AS country, 2::INT AS regions FROM customer")
 def a24(spark, d):
     """A sidecar's text at once: its tags, country and boxes."""

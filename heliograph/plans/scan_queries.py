@@ -67,12 +67,6 @@ def a36(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
-@query("A35_export_fingerprint", f"WITH {PHOTOS} SELECT folder, md5(string_agg(filename || ':' || file_size, chr(10) ORDER BY filename || ':' || file_size)) AS fingerprint FROM photos GROUP BY folder")
-def a35(spark, d):
-    line = F.concat("filename", F.lit(":"), F.col("file_size").cast("string"))
-    return photos(spark, d).groupBy("folder").agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("fingerprint"))
-
-
 @query("A20_exif_dates", """SELECT o_orderkey, strftime(o_orderdate, '%Y:%m:%d') || ' ' || lpad((o_orderkey % 25)::VARCHAR, 2, '0') || ':07:09' AS raw,
 o_orderdate + (o_orderkey % 25) * INTERVAL 1 HOUR + CASE WHEN o_orderkey % 25 = 24 THEN INTERVAL 0 MINUTE ELSE INTERVAL 429 SECOND END AS taken FROM orders""")
 def a20(spark, d):

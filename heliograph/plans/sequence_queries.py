@@ -72,19 +72,6 @@ def f13(spark, d):
     return S.admit(photos(spark, d).select("user_id", "id", "file_size"), "user_id", "id", "file_size", 20, 8000, 60000)
 
 
-@query("F16_memory_refs", f"WITH {PHOTOS} SELECT folder, id, rn::INT AS place FROM (SELECT folder, id, row_number() OVER (PARTITION BY folder ORDER BY date_taken DESC, id) AS rn FROM photos) WHERE rn <= 12")
-def f16(spark, d):
-    w = Window.partitionBy("folder").orderBy(F.desc("date_taken"), "id")
-    return photos(spark, d).withColumn("place", F.row_number().over(w)).where("place <= 12").select("folder", "id", "place")
-
-
-@query("F17_timeline_slots", "SELECT user_id, k::INT AS slot, min(ts) + k * INTERVAL 2 HOUR AS starts FROM events, range(0, 12) AS t(k) GROUP BY user_id, k")
-def f17(spark, d):
-    first = read_table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("t"))
-    slots = first.select("user_id", "t", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("slot"))
-    return slots.select("user_id", "slot", (F.col("t") + F.make_dt_interval(hours=F.col("slot") * 2)).alias("starts"))
-
-
 @query("G11_name_suggestions", """SELECT c_name AS name, CASE WHEN c_name LIKE 'Customer#0000001%' THEN 300 WHEN c_name LIKE '%#0000001%' THEN 200 ELSE 50 END AS score FROM customer WHERE contains(lower(c_name), '0000001') ORDER BY score DESC, name LIMIT 8""")
 def g11(spark, d):
     n = F.col("c_name")

@@ -52,9 +52,9 @@ QUEUE_STEP = """CASE x.kind WHEN 'seen' THEN CASE WHEN r.s IS NULL THEN {'s': 'p
   ELSE {'s': x.kind, 'n': CASE WHEN x.kind = 'done' THEN 0 ELSE r.n END, 'stat': r.stat, 'd': CASE WHEN x.kind = 'skipped' THEN x.decoder ELSE r.d END, 'c': r.c} END END"""
 
 
-@query("M9_tagging_run", f"""WITH e AS (SELECT item, t, seq, any_value({{'kind': kind, 'stat': stat, 'decoder': decoder::BIGINT}}) AS x FROM ({QUEUE_SQL}) GROUP BY item, t, seq),
-f AS (SELECT item, list_reduce(list(x ORDER BY t, seq), lambda r, x: {QUEUE_STEP}, {{'s': NULL::VARCHAR, 'n': 0::BIGINT, 'stat': NULL::VARCHAR, 'd': NULL::BIGINT, 'c': 0::BIGINT}}) AS r FROM e GROUP BY item)
-SELECT item, r.s AS state, r.n AS retries, r.stat AS stat, r.c AS claims FROM f""")
+@query("M9_tagging_run", f"""WITH e AS (SELECT item, t, seq, any_value({{'kind': kind, 'stat': stat, 'decoder': decoder::BIGINT}}) AS ev FROM ({QUEUE_SQL}) GROUP BY item, t, seq),
+f AS (SELECT item, list_reduce(list(ev ORDER BY t, seq), lambda r, x: {QUEUE_STEP}, {{'s': NULL::VARCHAR, 'n': 0::BIGINT, 'stat': NULL::VARCHAR, 'd': NULL::BIGINT, 'c': 0::BIGINT}}) AS q FROM e GROUP BY item)
+SELECT item, q.s AS state, q.n AS retries, q.stat AS stat, q.c AS claims FROM f""")
 def m9(spark, d):
     """The queue after all events of a run: reclaimed, reopened, re-stated and claimed, each event once."""
     from heliograph.streaming.ordered import run_queue
