@@ -107,3 +107,42 @@ def test_parts_and_filter_and_empty(spark):
 
 def test_words_are_what_is_compared():
     assert _words.scan([b"A b"], lower=True).hash.tolist() == _words.scan([b"a\tB"], lower=True).hash.tolist()
+
+
+def _template(n, opening=12, own=10, seed=4):
+    rnd = random.Random(seed)
+    head = " ".join(f"open{i}" for i in range(opening))
+    return head, [(i, head + " " + " ".join(f"w{rnd.randrange(50_000)}" for _ in range(own))) for i in range(n)]
+
+
+def test_items_with_a_common_opening_cost_no_product():
+    import time
+
+    from heliograph.llm.decontaminate import Part
+
+    head, items = _template(3000)
+    part = Part(items, 0.8, 32, 3)
+    text = " ".join([head] * 65)
+    leak = f"{text} before {items[17][1]} after {text} {items[2999][1].replace('open3', 'x')}"
+    start = time.time()
+    assert part.leaks([text.encode()]) == []
+    assert {(d, part.ids[i]) for d, i, *_ in part.leaks([leak.encode(), text.encode()])} == {(0, 17), (0, 2999)}
+    assert time.time() - start < 6  # some 2 s on a quiet machine; all pairs took 69
+
+
+def test_hot_windows_lose_no_pair(monkeypatch):
+    from heliograph.llm import decontaminate as D
+
+    rnd = random.Random(3)
+    _, items = _template(150, 14, 8)
+    texts = []
+    for k in range(60):
+        words = items[rnd.randrange(150)][1].split()
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(len(words))] = "edit"
+        texts.append(" ".join(["lead"] * rnd.randrange(9) + words + items[k][1].split()[:13] * 3).encode())
+    found = []
+    for hot in (0, 64, 10**9):
+        monkeypatch.setattr(D, "HOT", hot)
+        found.append(sorted(D.Part(items, 0.8, 32, 3).leaks(texts)))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 50
