@@ -54,15 +54,25 @@ def titlecase(segment: Column) -> Column:
     return F.array_join(F.transform(words, one), " ")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_all(xs: pd.Series) -> pd.Series:
+    """Canonical composition of each text of a list."""
+    return xs.map(lambda x: None if x is None else [None if t is None else unicodedata.normalize("NFC", t) for t in x])
+
+
+def _normal(composed: Column) -> Column:
+    segments = F.transform(F.filter(F.transform(F.split(composed, "/"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), titlecase)
+    return F.when((F.size(segments) > 0) & ~composed.rlike(r"\p{Cntrl}") & (segments[0] != "People"), F.array_join(segments, "/"))
+
+
 def normalize_tag(tag: Column) -> Column:
     """Composed, each segment trimmed and in title case, empty ones dropped; null if nothing is left, for control characters or under People."""
-    segments = F.transform(F.filter(F.transform(F.split(nfc(tag), "/"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""), titlecase)
-    return F.when((F.size(segments) > 0) & ~tag.rlike(r"\p{Cntrl}") & (segments[0] != "People"), F.array_join(segments, "/"))
+    return _normal(nfc(tag))
 
 
 def normalize_tags(tags: Column) -> Column:
-    """Each tag normalised, distinct, in order; null if one is refused."""
-    out = F.transform(tags, normalize_tag)
+    """Each tag normalised, distinct, in order; null if one is refused. Composition comes first: an Arrow function can't stand inside a lambda."""
+    out = F.transform(nfc_all(tags), _normal)
     return F.when(~F.exists(out, lambda x: x.isNull()), F.array_sort(F.array_distinct(out)))
 
 

@@ -99,10 +99,18 @@ def proposals(centroids: DataFrame, label: str, vector: str, least: float) -> Da
 
 
 def calibrate(rows: DataFrame, centroids: DataFrame, grid: list[float]) -> DataFrame:
-    """label, least, taken, right_ones, bias, best of rows(truth, embedding) against the centroids of a label set, which is small by its nature."""
-    if centroids.count() > FEW_CLUSTERS:
-        raise ValueError("a label set of more than 10,000 labels is not calibrated in one pass")
-    s = rows.crossJoin(F.broadcast(centroids)).select("truth", "label", F.round(V.dot(C("embedding"), C("centroid")), 9).alias("q"))
+    """label, least, taken, right_ones, bias, best of rows(truth, embedding) against the centroids of a label set, the stated query set.
+
+    Up to FEW_CLUSTERS labels are broadcast; more are dealt into blocks, each row goes to every block, and sums per label leave a task.
+    """
+    n = centroids.count()
+    if n <= FEW_CLUSTERS:
+        pairs = rows.crossJoin(F.broadcast(centroids))
+    else:
+        blocks = -(-n // FEW_CLUSTERS)
+        dealt = centroids.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)))
+        pairs = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "block")
+    s = pairs.select("truth", "label", F.round(V.dot(C("embedding"), C("centroid")), 9).alias("q"))
     took = lambda t: F.struct(F.lit(t).alias("least"), F.count_if(C("q") >= t).alias("taken"), F.count_if((C("q") >= t) & (C("truth") == C("label"))).alias("right_ones"))
     g = s.groupBy("label").agg(F.array(*map(took, grid)).alias("g"), F.round(F.avg("q"), 6).alias("bias"), F.max("q").alias("best"))
     return g.select("label", F.explode("g").alias("g"), "bias", "best").select("label", "g.least", "g.taken", "g.right_ones", "bias", "best")

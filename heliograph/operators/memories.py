@@ -132,15 +132,21 @@ def place_parts(tags: Column) -> Column:
     return F.coalesce(F.slice(F.get(F.filter(of, lambda p: F.size(p) == longest), F.lit(0)), F.lit(2), F.lit(1 << 20)), F.array().cast("array<string>"))
 
 
+def part_depth(kept: DataFrame) -> DataFrame:
+    """owner, g, by: 0 where a trip has several countries, else the first depth (1 or 2) at which it has several places, else null."""
+    parts = place_parts(C("tags"))
+    at = lambda d: F.lower(F.get(C("parts"), F.lit(d)))
+    several = kept.withColumn("parts", parts).groupBy("owner", "g").agg(F.countDistinct(F.upper("country")).alias("codes"), *[F.countDistinct(at(d)).alias(f"d{d}") for d in (1, 2)])
+    return several.select("owner", "g", F.when(C("codes") >= 2, 0).when(C("d1") >= 2, 1).when(C("d2") >= 2, 2).alias("by"))
+
+
 def trip_parts(kept: DataFrame) -> DataFrame:
     """owner, g, t, pos, id, label, key, run of the rows of kept(owner, g, t, pos, id, country, tags) that lie in a part of their trip.
 
     A part is a stretch of photos of one country where the trip has several, else of one place at the first depth at which it has several.
     """
     k = kept.withColumns({"code": F.upper("country"), "parts": place_parts(C("tags"))})
-    at = lambda d: F.get(C("parts"), F.lit(d))
-    several = k.groupBy("owner", "g").agg(F.countDistinct("code").alias("codes"), *[F.countDistinct(F.lower(at(d))).alias(f"d{d}") for d in (1, 2)])
-    several = several.select("owner", "g", F.when(C("codes") >= 2, 0).when(C("d1") >= 2, 1).when(C("d2") >= 2, 2).alias("by")).where("by is not null")
+    several = part_depth(kept).where("by is not null")
     by_place = F.when(F.size("parts") > C("by"), F.lower(F.array_join(F.slice("parts", F.lit(1), C("by") + 1), "-")))
     j = k.join(several, ["owner", "g"]).withColumns({"key": F.when(C("by") == 0, F.lower("code")).otherwise(by_place), "label": F.when(C("by") == 0, C("code")).otherwise(F.get(C("parts"), C("by")))})
     j = j.withColumn("of", F.struct("owner", "g")).select("of", "owner", "g", "t", "pos", "id", "label", "key")

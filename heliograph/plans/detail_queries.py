@@ -48,22 +48,12 @@ def c5(spark, d):
     return t.select("tag", (F.lower(F.substring_index("tag", "/", 1)).isin("places", "objects", "scenes") & F.contains("tag", F.lit("/"))).alias("by_prefix"))
 
 
-@query("C8_eligible", P + "SELECT is_video, count(*) FILTER (WHERE NOT is_video AND file_size > 0) AS eligible, count(*) AS n FROM photos GROUP BY 1")
-def c8(spark, d):
-    return photos(spark, d).groupBy("is_video").agg(F.count_if(F.expr("not is_video and file_size > 0")).alias("eligible"), F.count("*").alias("n"))
-
-
 @query("C14_unnamed_boxes", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag <> 'A' AND l_linestatus = 'F'")
 def c14(spark, d):
     name = F.when(c("l_returnflag") == "A", c("l_returnflag")).otherwise("  ")
     return read_table(spark, d, "lineitem").where((F.trim(name) == "") & (c("l_linestatus") == "F")).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("C21_already_current", f"WITH {QUEUE} SELECT item, state = 'done' AND pack = 3 AS is_current FROM q")
-def c21(spark, d):
-    return _queue(spark, d).select("item", ((c("state") == "done") & (c("pack") == 3)).alias("is_current"))
-
-
 @query("C24_folder_photos", P + "SELECT id FROM photos WHERE folder = '/Library/view/u7'")
 def c24(spark, d):
     return photos(spark, d).where("folder = '/Library/view/u7'").select("id")
@@ -74,33 +64,11 @@ def d20(spark, d):
     return read_table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("D21_clusters_named", "SELECT s_suppkey FROM supplier WHERE s_nationkey = 7 AND s_acctbal > 0")
-def d21(spark, d):
-    return read_table(spark, d, "supplier").where("s_nationkey = 7 and s_acctbal > 0").select("s_suppkey")
-
-
-@query("D23_live_proposals", "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#3')")
-def d23(spark, d):
-    s = read_table(spark, d, "supplier").where("s_acctbal > 5000").select(c("s_suppkey").alias("a"))
-    p = read_table(spark, d, "part").where("p_brand = 'Brand#3'").select(c("p_partkey").alias("b"))
-    return read_table(spark, d, "lineitem").select(c("l_suppkey").alias("a"), c("l_partkey").alias("b")).join(s, "a", "left_semi").join(p, "b", "left_semi").distinct()
-
-
-@query("E23_dated_rows", P + "SELECT id, date_taken FROM photos WHERE date_taken IS NOT NULL")
-def e23(spark, d):
-    return photos(spark, d).where("date_taken is not null").select("id", "date_taken")
-
-
 @query("G6_title_dedupe", "SELECT lower(p_name) AS title, arg_min(p_partkey, (-p_size, p_partkey)) AS kept, max(p_size) AS photos FROM part GROUP BY 1")
 def g6(spark, d):
     return read_table(spark, d, "part").groupBy(F.lower("p_name").alias("title")).agg(F.min_by("p_partkey", F.struct((-c("p_size")).alias("n"), "p_partkey")).alias("kept"), F.max("p_size").alias("photos"))
 
 
-@query("G12_biggest_first", "SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_suppkey LIMIT 1")
-def g12(spark, d):
-    return read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(1)
-
-
 @query("H1_lowercase", "SELECT doc_id, md5(lower(text)) AS h FROM documents")
 def h1(spark, d):
     return read_table(spark, d, "documents").select("doc_id", F.md5(F.lower("text")).alias("h"))
@@ -155,13 +123,3 @@ def m4(spark, d):
     return _queue(spark, d).select("item", F.when((s == "pending") & (k == 1), "done").when((s == "pending") & (k == 2), "failed").otherwise(s).alias("state"))
 
 
-@query("M5_stale", f"WITH {QUEUE} SELECT item FROM q WHERE state = 'done' AND pack <> 3")
-def m5(spark, d):
-    return _queue(spark, d).where("state = 'done' and pack <> 3").select("item")
-
-
-@query("M8_restat", "SELECT l_orderkey * 10 + l_linenumber AS item, CASE WHEN l_returnflag = 'A' AND l_quantity > o_custkey % 50 THEN 'stale' ELSE 'kept' END AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def m8(spark, d):
-    j = read_table(spark, d, "lineitem").join(read_table(spark, d, "orders"), c("l_orderkey") == c("o_orderkey"))
-    state = F.when((c("l_returnflag") == "A") & (c("l_quantity") > c("o_custkey") % 50), "stale").otherwise("kept")
-    return j.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("item"), state.alias("state"))

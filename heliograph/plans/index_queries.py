@@ -33,11 +33,6 @@ def e4(spark, d):
     return s.where("ns is null or ns <> 'people'").groupBy(F.coalesce("ns", F.lit("Other")).alias("grp")).agg(F.max("n").alias("n"), F.count("*").alias("tags"))
 
 
-@query("E5_event_folders", f"WITH {PHOTOS} SELECT folder, count(*) AS n, max(date_taken) AS newest FROM photos GROUP BY folder")
-def e5(spark, d):
-    return photos(spark, d).groupBy("folder").agg(F.count("*").alias("n"), F.max("date_taken").alias("newest"))
-
-
 @query("E6_leaf_folders", f"""WITH {PHOTOS}, f AS (SELECT DISTINCT folder FROM photos), a AS (SELECT folder AS path FROM f UNION SELECT regexp_replace(folder, '/[^/]*$', '') FROM f)
 SELECT path FROM a WHERE path NOT IN (SELECT regexp_replace(path, '/[^/]*$', '') FROM a)""")
 def e6(spark, d):
@@ -58,12 +53,6 @@ def e8(spark, d):
     return photos(spark, d).groupBy("person").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
 
-@query("E11_first_seen_counts", f"WITH {PHOTOS} SELECT country, count(*) AS n, row_number() OVER (ORDER BY min(pos)) AS seen FROM photos GROUP BY country")
-def e11(spark, d):
-    c = photos(spark, d).groupBy("country").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
-    return c.select("country", "n", F.row_number().over(Window.orderBy("p")).alias("seen"))
-
-
 @query("E14_shared_place_prefix", f"""WITH {PHOTOS}, {TAGS}, p AS (SELECT country, string_split(tag, '/') AS s FROM tagged WHERE tag LIKE 'Places/%'),
 l AS (SELECT country, k, min(s[k]) AS lo, max(s[k]) AS hi, count(*) AS n FROM p, unnest(range(2, 5)) AS u(k) GROUP BY ALL),
 x AS (SELECT country, min(CASE WHEN lo <> hi THEN k END) AS stop FROM l GROUP BY country)
@@ -154,11 +143,6 @@ def c1c(spark, d):
     return T.search(photos(spark, d), "africa", ("Objects/view",)).select("id")
 
 
-@query("C6_photos_for_tag", WITH + "SELECT id FROM keyed WHERE key = 'scenes/bright'")
-def c6(spark, d):
-    return T.buckets(photos(spark, d)).where("key = 'scenes/bright'").select("id")
-
-
 @query("C7_first_by_id", "SELECT o_custkey AS id, o_orderkey AS pos, o_totalprice AS price FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) WHERE rn = 1")
 def c7(spark, d):
     first = read_table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.min_by("o_totalprice", "o_orderkey").alias("price"), F.min("o_orderkey").alias("pos"))

@@ -53,13 +53,6 @@ kept AS (SELECT key, t FROM k WHERE keep)"""
 ANNUAL = "src AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderdate + (o_orderkey % 1440) * INTERVAL 30 SECOND AS t, 1 + day(o_orderdate) % 3 AS dom FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) % 3 = 1 AND year(o_orderdate) < 2000)"
 
 
-@query("F8_on_this_day", f"WITH RECURSIVE {ANNUAL}, {FOLD.format(k='y')} SELECT key::INT AS y, (2000 - key)::INT AS years_ago, count(*) AS n, 50 + 5.0::DOUBLE * (2000 - key) AS score FROM kept GROUP BY key HAVING count(*) >= 10")
-def f8(spark, d):
-    o = read_table(spark, d, "orders").where("month(o_orderdate) = 3 and day(o_orderdate) % 3 = 1 and year(o_orderdate) < 2000")
-    rows = o.select(F.year("o_orderdate").alias("y"), (c("o_orderdate") + F.make_dt_interval(secs=(c("o_orderkey") % 1440 * 30).cast("int"))).alias("t"))
-    return L.on_this_day(rows, "y", "t", 2000)
-
-
 @query("F15_valid_now", """WITH v AS (SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS pick FROM orders WHERE o_orderdate <= timestamp '1998-06-01 00:00:00' AND o_orderdate + INTERVAL 90 DAY > timestamp '1998-06-01 00:00:00' GROUP BY 1),
 e AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT o_custkey, coalesce(pick, first) AS pick FROM v FULL JOIN e USING (o_custkey)""")
 def f15(spark, d):

@@ -83,12 +83,6 @@ def e21(spark, d):
     return s.groupBy(F.expr("l_suppkey div 10").alias("grp")).agg(F.min_by("l_suppkey", F.struct((-c("n")).alias("o"), "l_suppkey")).alias("survivor"), F.sum("n").alias("size"))
 
 
-@query("F11_recent_people", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING max(o_orderdate) >= timestamp '2000-01-01 00:00:00' ORDER BY n DESC, o_custkey LIMIT 20")
-def f11(spark, d):
-    g = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("t"))
-    return g.where("t >= timestamp_ntz '2000-01-01 00:00:00'").select("o_custkey", "n").orderBy(F.desc("n"), "o_custkey").limit(20)
-
-
 @query("G2_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS rank FROM customer")
 def g2(spark, d):
     """Names without padding, ordered naturally: the order of the numbers in them. Ranks by counts of range-partitioned rows."""
@@ -137,13 +131,6 @@ def a9(spark, d):
     return read_table(spark, d, "orders").select("o_orderkey", F.when(same, c("o_orderdate")).otherwise(fresh).alias("taken"), F.when(same, c("o_orderpriority")).alias("carried"))
 
 
-@query("A30_enrich_fields", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE 'kept' END AS tags, CASE WHEN c_acctbal > 5000 THEN c_mktsegment WHEN c_acctbal > 0 THEN 'kept' END AS desktop FROM customer")
-def a30(spark, d):
-    """A read that succeeded replaces the value; the second rule keeps an old value when a read is empty."""
-    ok = c("c_acctbal") > 5000
-    return read_table(spark, d, "customer").select("c_custkey", F.when(ok, c("c_mktsegment")).otherwise("kept").alias("tags"), F.coalesce(F.when(ok, c("c_mktsegment")), F.when(c("c_acctbal") > 0, "kept")).alias("desktop"))
-
-
 @query("A49_decisions", "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'named' WHEN 1 THEN 'ignored' ELSE 'rejected' END AS decision, CASE WHEN s_nationkey % 3 = 0 THEN s_name END AS name FROM supplier")
 def a49(spark, d):
     """Decision texts are made, then parsed back."""
@@ -186,17 +173,6 @@ def c19(spark, d):
     return g.where("first is not null and not boxed").select("k", "name", "first")
 
 
-@query("F7_segment_choice", f"WITH {PHOTOS} SELECT user_id // 20 AS grp, CASE WHEN count(DISTINCT country) >= 2 THEN 'countries' ELSE 'places' END AS split FROM photos GROUP BY 1")
-def f7(spark, d):
-    return photos(spark, d).groupBy(F.expr("user_id div 20").alias("grp")).agg(F.when(F.countDistinct("country") >= 2, "countries").otherwise("places").alias("split"))
-
-
-@query("M22_move_members", "SELECT l_partkey AS k, CASE WHEN l_suppkey % 10 = 3 THEN l_suppkey - 3 ELSE l_suppkey END AS cluster, count(*) AS n FROM lineitem GROUP BY ALL")
-def m22(spark, d):
-    moved = F.when(c("l_suppkey") % 10 == 3, c("l_suppkey") - 3).otherwise(c("l_suppkey"))
-    return read_table(spark, d, "lineitem").groupBy(c("l_partkey").alias("k"), moved.alias("cluster")).agg(F.count("*").alias("n"))
-
-
 @query("M23_vector_lookup", "SELECT DISTINCT l_partkey, label FROM lineitem JOIN embeddings ON l_partkey = vec_id")
 def m23(spark, d):
     k = read_table(spark, d, "lineitem").select("l_partkey").distinct()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
-_MODULES = ("scan_queries", "index_queries", "sequence_queries", "geo_vector_queries", "set_queue_queries", "scalar_queries", "stream_queries", "people_queries", "detail_queries", "rules_queries", "ladder_queries", "scan_more_queries", "stored_index_queries", "memory_queries", "region_queries", "geometry_queries")
+_MODULES = ("scan_queries", "index_queries", "sequence_queries", "geo_vector_queries", "set_queue_queries", "scalar_queries", "stream_queries", "people_queries", "detail_queries", "rules_queries", "ladder_queries", "scan_more_queries", "stored_index_queries", "memory_queries", "region_queries", "geometry_queries", "upkeep_queries")
 
 
 def query(name: str, sql: str | None = None):

@@ -54,15 +54,6 @@ def h6(spark, d):
     return _raw(spark, d).select("p_partkey", X.titlecase(F.replace("tag", F.lit("/"), F.lit(" "))).alias("title"))
 
 
-@query("H7_normalize_tags", f"WITH {RAW}, {NORMAL}, g AS (SELECT p_partkey // 6 AS k, tag FROM kept WHERE p_partkey % 6 IN (0, 3, 5)) SELECT k, array_to_string(list_sort(list(DISTINCT tag)), '|') AS tags FROM g GROUP BY k HAVING count(*) = count(tag)")
-def h7(spark, d):
-    g = _raw(spark, d).where("p_partkey % 6 in (0, 3, 5)").groupBy(F.expr("p_partkey div 6").alias("k")).agg(F.collect_list("tag").alias("tags"))
-    # composed before the lambdas: an Arrow function can't stand inside one
-    rows = _raw(spark, d).where("p_partkey % 6 in (0, 3, 5)").select(F.expr("p_partkey div 6").alias("k"), X.normalize_tag(c("tag")).alias("tag"))
-    out = rows.groupBy("k").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.count("*").alias("n"), F.count("tag").alias("m")).where("n = m")
-    return out.join(g.select("k"), "k", "left_semi").select("k", F.array_join("tags", "|").alias("tags"))
-
-
 @query("H2_nfc", f"WITH {RAW} SELECT p_partkey, nfc_normalize(tag) AS tag FROM raw")
 def h2(spark, d):
     return _raw(spark, d).select("p_partkey", X.nfc(c("tag")).alias("tag"))
@@ -379,22 +370,6 @@ def k5(spark, d):
     return j.select(c("a_id").alias("a"), c("b_id").alias("b"), E.merge_direction("a", "b").alias("survivor"))
 
 
-@query("K6_merge_many", "WITH m AS (SELECT CASE WHEN label IN (2, 3) THEN 1 ELSE label END AS cluster, vec_id, embedding[1]::DOUBLE AS x FROM embeddings) SELECT cluster, count(*) AS n, round(avg(x), 9) AS mean0, cluster = 1 AS pinned FROM m GROUP BY cluster")
-def k6(spark, d):
-    """Clusters 2 and 3 go into 1: members move, the survivor is centred anew and pinned."""
-    m = E.move(read_table(spark, d, "embeddings").select(c("label").alias("cluster"), c("embedding")[0].cast("double").alias("x")), 1, [2, 3])
-    return m.groupBy("cluster").agg(F.count("*").alias("n"), F.round(F.avg("x"), 9).alias("mean0")).withColumn("pinned", c("cluster") == 1)
-
-
-@query("K7_split", "WITH t AS (SELECT max(label) + 1 AS fresh FROM embeddings), m AS (SELECT CASE WHEN label = 1 AND vec_id % 3 = 0 THEN fresh ELSE label END AS cluster, fresh FROM embeddings, t) SELECT cluster::BIGINT AS cluster, count(*) AS n, bool_or(cluster = fresh) AS pinned FROM m GROUP BY cluster")
-def k7(spark, d):
-    """A third of cluster 1's members become a new, pinned cluster with the next id."""
-    e = read_table(spark, d, "embeddings")
-    fresh = e.agg(F.max("label")).first()[0] + 1
-    m = e.select(F.when(F.expr("label = 1 and vec_id % 3 = 0"), F.lit(fresh)).otherwise(c("label")).cast("long").alias("cluster"))
-    return m.groupBy("cluster").agg(F.count("*").alias("n")).withColumn("pinned", c("cluster") == fresh)
-
-
 ORDERS_OF = "od AS (SELECT s_suppkey AS id, CASE s_suppkey % 5 WHEN 0 THEN 'name' WHEN 1 THEN 'unname' WHEN 2 THEN 'ignore' WHEN 3 THEN 'reject' END AS verb, CASE WHEN s_suppkey % 5 = 0 THEN 'N' || s_suppkey % 2 END AS new_name FROM supplier WHERE s_suppkey % 5 < 4)"
 
 
@@ -449,13 +424,6 @@ def m20(spark, d):
     return old.join(new.select("h").distinct(), "h", "left_anti").unionByName(new)
 
 
-@query("M26_reset_results", "SELECT 0::BIGINT AS rows, max(label) + 1 AS next_id FROM embeddings")
-def m26(spark, d):
-    """All results go, but ids of clusters aren't given again."""
-    e = read_table(spark, d, "embeddings")
-    return e.agg(F.count_if(F.lit(False)).alias("rows"), (F.max("label") + 1).alias("next_id"))
-
-
 @query("D16_dismissed_faces", f"WITH {CLUSTERS} SELECT l_orderkey AS h, l_linenumber AS i, id % 7 AS why FROM lineitem JOIN cl ON l_suppkey = id WHERE id % 7 IN (2, 3)")
 def d16(spark, d):
     return read_table(spark, d, "lineitem").join(_clusters(spark, d), c("l_suppkey") == c("id")).where("id % 7 in (2, 3)").select(c("l_orderkey").alias("h"), c("l_linenumber").alias("i"), (c("id") % 7).alias("why"))
@@ -467,14 +435,6 @@ def d19(spark, d):
     return read_table(spark, d, "lineitem").where("l_orderkey % 4 = 0").select(c("l_orderkey").alias("h"), c("l_linenumber").alias("i"), F.row_number().over(w).alias("place"))
 
 
-@query("E19_running_sums", "SELECT label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) AS s0, round(sum(embedding[2]::DOUBLE), 6) AS s1 FROM embeddings GROUP BY label")
-def e19(spark, d):
-    """The state of a running centroid, count and plain sums per dimension, of which parts add up."""
-    x = lambda i: c("embedding")[i].cast("double")
-    part = read_table(spark, d, "embeddings").groupBy("label", (c("vec_id") % 8).alias("part")).agg(F.count("*").alias("n"), F.sum(x(0)).alias("s0"), F.sum(x(1)).alias("s1"))
-    return part.groupBy("label").agg(F.sum("n").alias("n"), F.round(F.sum("s0"), 6).alias("s0"), F.round(F.sum("s1"), 6).alias("s1"))
-
-
 @query("A3_classify_pass", f"""WITH {LISTING}, now AS (SELECT dir, name, max(size) AS size FROM listing WHERE name NOT LIKE '.%' GROUP BY ALL), cache AS (SELECT dir, name, max(size) + CASE WHEN max(size) > 40 THEN 1 ELSE 0 END AS size FROM listing WHERE size <> 7 GROUP BY ALL)
 SELECT n.dir, n.name, CASE WHEN lower(regexp_extract(n.name, '\\.([^.]+)$', 1)) = 'xmp' THEN 'sidecar' WHEN lower(regexp_extract(n.name, '\\.([^.]+)$', 1)) IN ('jpg', 'heic') THEN 'image' WHEN lower(regexp_extract(n.name, '\\.([^.]+)$', 1)) IN ('mov', 'mp4') THEN 'video' ELSE 'skipped' END AS kind,
  c.name IS NOT NULL AND c.size IS NOT DISTINCT FROM n.size AS unchanged FROM now n LEFT JOIN cache c USING (dir, name)""")

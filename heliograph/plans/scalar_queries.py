@@ -46,7 +46,3 @@ def b11(spark, d):
     return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%.6f,%.6f,%.6f,%.6f", "l_discount", "l_tax", F.lit(0.1), F.lit(0.2)).alias("claim"))
 
 
-@query("O2_prompts", "SELECT DISTINCT p_type, 'a photo of ' || CASE WHEN lower(p_type)[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' ELSE 'a ' END || lower(p_type) AS prompt FROM part")
-def o2(spark, d):
-    w = F.lower("p_type")
-    return read_table(spark, d, "part").select("p_type", F.concat(F.lit("a photo of "), F.when(w.rlike("^[aeiou]"), "an ").otherwise("a "), w).alias("prompt")).distinct()

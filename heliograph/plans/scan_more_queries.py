@@ -19,22 +19,6 @@ c = F.col
 W = f"WITH {PHOTOS} "
 
 
-@query("A1_scan", f"""WITH {LISTING}, now AS (SELECT dir, name, max(size) AS size, lower(regexp_replace(name, '\\.[^.]*$', '')) AS stem FROM listing WHERE name NOT LIKE '.%' GROUP BY ALL), k AS (SELECT *, {KIND} AS kind FROM now),
-v AS (SELECT DISTINCT dir, stem FROM k WHERE kind = 'video'), was AS (SELECT dir, name, max(size) AS size FROM listing WHERE size <> 7 GROUP BY ALL)
-SELECT k.dir, count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'image' AND v.stem IS NOT NULL) AS live, count(*) FILTER (WHERE kind = 'sidecar') AS sidecars, count(*) FILTER (WHERE w.size IS NOT DISTINCT FROM k.size AND w.name IS NOT NULL) AS unchanged
-FROM k LEFT JOIN v ON v.dir = k.dir AND v.stem = k.stem LEFT JOIN was w ON w.dir = k.dir AND w.name = k.name GROUP BY k.dir""")
-def a1(spark, d):
-    """Per folder: kinds, images with a video of the same stem, and entries that the cache has with the same size."""
-    every = _listing(spark, d)
-    now = every.where(~F.startswith("name", F.lit("."))).groupBy("dir", "name").agg(F.max("size").alias("size"))
-    k = now.withColumns({"kind": SC.kind(c("name")), "stem": SC.stem(c("name"))})
-    videos = k.where("kind = 'video'").select("dir", "stem", F.lit(True).alias("moves")).distinct()
-    was = every.where("size <> 7").groupBy("dir", "name").agg(F.max("size").alias("cached"))
-    j = k.join(videos, ["dir", "stem"], "left").join(was, ["dir", "name"], "left")
-    image = c("kind") == "image"
-    return j.groupBy("dir").agg(F.count_if(image).alias("images"), F.count_if(image & c("moves").isNotNull()).alias("live"), F.count_if(c("kind") == "sidecar").alias("sidecars"), F.count_if(c("cached").isNotNull() & (c("cached") == c("size"))).alias("unchanged"))
-
-
 def _snapshot(spark, df, version):
     """Saves rows with a version as Parquet in the shared folder; its path."""
     path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}"
@@ -53,13 +37,6 @@ def a17(spark, d):
     return spark.read.parquet(path)
 
 
-@query("A16_snapshot_load", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F'")
-def a16(spark, d):
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    now = _load(spark, _snapshot(spark, o.where("o_orderstatus = 'F'").drop("o_orderstatus"), 20), 20)
-    return now.unionByName(_load(spark, _snapshot(spark, o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), 19), 20))
-
-
 def _regions_xml():
     """A sidecar with a box for each of two names, one in pixels, which doesn't count."""
     x = lambda i: F.format_string("%.2f", (c("c_custkey") % (50 + i)) / F.lit(100.0))
@@ -118,11 +95,3 @@ def c3(spark, d):
     return photos(spark, d).where(under | part).select("id")
 
 
-@query("A29_enrich", "SELECT o_orderkey AS id, CASE WHEN c_custkey IS NULL THEN 'kept' WHEN c_acctbal < 0 THEN 'failed' ELSE 'enriched' END AS outcome, CASE WHEN c_acctbal >= 0 THEN coalesce(CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END, c_mktsegment) ELSE CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority END END AS country FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'")
-def a29(spark, d):
-    """Rows take what metadata they lack from the read result; a failed read changes nothing."""
-    read = read_table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal", "c_mktsegment")
-    o = read_table(spark, d, "orders").select(c("o_orderkey").alias("id"), "o_custkey", F.when(c("o_custkey") % 2 == 0, c("o_orderpriority")).alias("own"))
-    j = o.join(read, c("o_custkey") == c("c_custkey"), "left")
-    good = c("c_acctbal") >= 0
-    return j.select("id", F.when(c("c_custkey").isNull(), "kept").when(~good, "failed").otherwise("enriched").alias("outcome"), F.when(good, F.coalesce("own", "c_mktsegment")).otherwise(c("own")).alias("country"))

@@ -123,11 +123,6 @@ def a48(spark, d):
     return p.select("l_orderkey", "l_linenumber", F.when(ok, F.get(n, F.lit(0)).try_cast("double")).alias("x"), F.when(ok, F.get(n, F.lit(1)).try_cast("double")).alias("y"), F.regexp_replace("t", "^[^ ]* ", "").alias("name"))
 
 
-@query("A43_snapshot_field", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
-def a43(spark, d):
-    return read_table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-
-
 @query("A28_merge_tags", f"""WITH {PHOTOS}, t AS (SELECT id, u.tag, u.p FROM photos, unnest(list_concat(tags, list_transform(tags, lambda x: upper(x)))) WITH ORDINALITY AS u(tag, p)),
 f AS (SELECT id, lower(tag) AS k, min(p) AS p, arg_min(tag, p) AS tag FROM t GROUP BY ALL) SELECT id, string_agg(tag, '|' ORDER BY p) AS tags FROM f GROUP BY id""")
 def a28(spark, d):

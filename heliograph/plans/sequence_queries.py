@@ -57,12 +57,6 @@ def f10(spark, d):
     return o.join(h, ["m", "dd"]).groupBy("ahead", "day", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
 
 
-@query("F12_featured_photo", f"WITH {PHOTOS} SELECT person, id FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY is_video, date_taken DESC, id) AS rn FROM photos) WHERE rn = 1")
-def f12(spark, d):
-    best = F.max_by("id", F.struct((~F.col("is_video")).alias("still"), "date_taken", (-F.col("id")).alias("first")))
-    return photos(spark, d).groupBy("person").agg(best.alias("id"))
-
-
 @query("F13_admission_caps", f"""WITH RECURSIVE {PHOTOS}, e AS (SELECT user_id, id, file_size AS s, row_number() OVER (PARTITION BY user_id ORDER BY id) AS rn FROM photos),
 k(user_id, rn, used, n, id, took) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, 0, 0::BIGINT, false FROM (SELECT DISTINCT user_id FROM e) UNION ALL
  SELECT e.user_id, e.rn, CASE WHEN e.s <= 8000 AND k.used + e.s <= 60000 AND k.n < 20 THEN k.used + e.s ELSE k.used END, CASE WHEN e.s <= 8000 AND k.used + e.s <= 60000 AND k.n < 20 THEN k.n + 1 ELSE k.n END,
@@ -72,13 +66,6 @@ def f13(spark, d):
     return S.admit(photos(spark, d).select("user_id", "id", "file_size"), "user_id", "id", "file_size", 20, 8000, 60000)
 
 
-@query("G11_name_suggestions", """SELECT c_name AS name, CASE WHEN c_name LIKE 'Customer#0000001%' THEN 300 WHEN c_name LIKE '%#0000001%' THEN 200 ELSE 50 END AS score FROM customer WHERE contains(lower(c_name), '0000001') ORDER BY score DESC, name LIMIT 8""")
-def g11(spark, d):
-    n = F.col("c_name")
-    score = F.when(F.startswith(n, F.lit("Customer#0000001")), 300).when(F.contains(n, F.lit("#0000001")), 200).otherwise(50)
-    return read_table(spark, d, "customer").where(F.contains(F.lower(n), F.lit("0000001"))).select(n.alias("name"), score.alias("score")).orderBy(F.desc("score"), "name").limit(8)
-
-
 @query("I1_civil_fields", f"WITH {PHOTOS} SELECT id, year({LOCAL_SQL})::INT AS y, month({LOCAL_SQL})::INT AS m, day({LOCAL_SQL})::INT AS d, hour({LOCAL_SQL})::INT AS h FROM photos")
 def i1(spark, d):
     return photos(spark, d).select("id", F.year(local()).alias("y"), F.month(local()).alias("m"), F.dayofmonth(local()).alias("d"), F.hour(local()).alias("h"))

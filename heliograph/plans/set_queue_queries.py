@@ -84,11 +84,6 @@ def l1(spark, d):
     return P.ownership_plan(*_sets(spark, d))
 
 
-@query("L6_refresh_plan", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders")
-def l6(spark, d):
-    return read_table(spark, d, "orders").select("o_custkey", "o_orderpriority").distinct()
-
-
 QUEUE = """q AS (SELECT l_orderkey * 10 + l_linenumber AS item, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linenumber % 5 = 4 THEN 'stale' ELSE 'done' END WHEN 'N' THEN CASE WHEN l_linenumber % 3 = 0 THEN 'hashing' ELSE 'pending' END ELSE CASE WHEN l_linenumber % 4 = 3 THEN 'skipped' ELSE 'failed' END END AS state, (l_partkey % 6) AS retries, l_shipdate AS updated, (l_suppkey % 4)::INT AS pack FROM lineitem)"""
 
 
