@@ -95,7 +95,9 @@ def assign(rows: DataFrame, centroids: DataFrame, key: str, vector: str, auto: f
 
 def proposals(centroids: DataFrame, label: str, vector: str, least: float) -> DataFrame:
     """a, b, sim of the pairs of (unit) centroids that are alike enough: an exact join that skips what the triangle inequality rules out."""
-    return similar_pairs(centroids.select(C(label).cast("long").alias("id"), C(vector).alias("v")), least)
+    kind = centroids.schema[label].dataType
+    p = similar_pairs(centroids.select(C(label).cast("long").alias("id"), C(vector).alias("v")), least)
+    return p.select(C("a").cast(kind).alias("a"), C("b").cast(kind).alias("b"), "sim")
 
 
 def calibrate(rows: DataFrame, centroids: DataFrame, grid: list[float]) -> DataFrame:

@@ -24,6 +24,7 @@ from heliograph.operators import geo as G
 from heliograph.operators import sequences as S
 from heliograph.operators import spans as R
 from heliograph.operators import tags as T
+from heliograph.session import ensure_checkpoint_dir
 
 C = F.col
 #: Fixed values of the rules.
@@ -87,7 +88,7 @@ def busy_days(photos: DataFrame) -> DataFrame:
 
 
 def home(geo: DataFrame) -> DataFrame:
-    """geo with ``home``: in a cell (or next to one) that is used over a long span and on many days or, in a library without such a cell, within 50 km of its median position."""
+    """geo (read several times) with ``home``: in a cell (or next to one) that is used over a long span and on many days or, in a library without such a cell, within 50 km of its median position."""
     g = geo.withColumns({"cy": F.floor(C("gps_lat") / F.lit(CELL)).cast("long"), "cx": F.floor(C("gps_lon") / F.lit(CELL)).cast("long")})
     by = lambda *k: g.groupBy(*k).agg(days_between(F.min("t"), F.max("t")).alias("span"), F.countDistinct("day").alias("days"))
     need = by("owner").select("owner", F.least(F.lit(180), F.greatest(F.lit(30), F.expr("span div 2"))).alias("least_span"), F.least(F.lit(30), F.greatest(F.lit(10), F.expr("days div 4"))).alias("least_days"))
@@ -96,26 +97,27 @@ def home(geo: DataFrame) -> DataFrame:
     cells = primary.select("owner", "cy", "cx", F.explode(ring).alias("r")).select("owner", (C("cy") + C("r.i")).alias("cy"), (C("cx") + C("r.j")).alias("cx"), F.lit(True).alias("in_cell")).distinct()
     settled = primary.select("owner", F.lit(True).alias("settled")).distinct()
 
-    def median(axis: str) -> DataFrame:
-        """The value at n // 2 in order, by a range sort of the libraries without a home cell."""
-        loose = g.join(settled, "owner", "left_anti").select("owner", C(axis).alias("v"))
-        r = E.ranked(loose, C("owner"), C("v"))
-        lo = r.groupBy("owner").agg((F.min("rank") + F.expr("count(*) div 2")).alias("rank"))
-        return r.join(lo, ["owner", "rank"]).select("owner", C("v").alias(f"home_{axis}"))
-
-    middle = median("gps_lat").join(median("gps_lon"), "owner")
+    # the value at n // 2 of each axis, by one range sort of the libraries without a home cell
+    axes = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), C(a).alias("v")) for a in ("gps_lat", "gps_lon")]))
+    loose = g.join(settled, "owner", "left_anti").select("owner", axes.alias("x")).select("owner", "x.axis", "x.v")
+    r = E.ranked(loose, C("owner"), C("axis"), C("v"))
+    lo = r.groupBy("owner", "axis").agg((F.min("rank") + F.expr("count(*) div 2")).alias("rank"))
+    half = r.join(lo, ["owner", "axis", "rank"])
+    pick = lambda a: F.max(F.when(C("axis") == a, C("v"))).alias(f"home_{a}")
+    middle = half.groupBy("owner").agg(pick("gps_lat"), pick("gps_lon"))
     j = g.join(cells, ["owner", "cy", "cx"], "left").join(settled, "owner", "left").join(middle, "owner", "left")
     near = G.haversine(C("home_gps_lat"), C("home_gps_lon"), C("gps_lat"), C("gps_lon")) <= HOME_KM
     return j.withColumn("home", F.when(C("settled"), C("in_cell").isNotNull()).otherwise(F.coalesce(near, F.lit(False)))).select(*geo.columns, "home")
 
 
 def trips(photos: DataFrame) -> DataFrame:
-    """Located photos away from home with ``run``: a new one starts after a photo at home or a gap of more than 48 hours. Libraries with fewer than five located photos have none."""
-    geo = photos.where("gps_lat is not null and gps_lon is not null")
+    """owner, pos, id, t, lt of located photos away from home, with ``run``: a new one starts after a photo at home or a gap of more than 48 hours. Libraries with fewer than five located photos have none."""
+    ensure_checkpoint_dir(photos.sparkSession)
+    geo = photos.where("gps_lat is not null and gps_lon is not null").select("owner", "pos", "id", "t", "lt", "day", "gps_lat", "gps_lon").checkpoint()
     enough = geo.groupBy("owner").agg(F.count("*").alias("n")).where("n >= 5").select("owner")
     h = home(geo.join(enough, "owner", "left_semi"))
     r = R.runs(h, "owner", ["t", "pos"], ["t", "home"], lambda prev, first: first | prev("home") | R.gap_over("t", prev("t"), GAP_SECONDS))
-    return r.where("not home").drop("home")
+    return r.where("not home").select("owner", "pos", "id", "t", "lt", "run")
 
 
 def folded(rows: DataFrame) -> DataFrame:
@@ -362,5 +364,5 @@ def scheduled(photos: DataFrame, run: Run, contacts: DataFrame | None = None, hi
     chosen = candidates.where(~C("mid").isin(list(hidden))).checkpoint()
     out = sampled(members, chosen)
     i = F.when(C("kind") == "birthday", F.floor(C("g.at") / F.lit(1 << 40))).otherwise(F.floor(C("g.at") / 100))
-    start = F.lit(dt.datetime.combine(ahead[0], dt.time()) - dt.timedelta(seconds=run.offset_s)) + F.make_dt_interval(days=i.cast("int"))
+    start = F.lit(str(dt.datetime.combine(ahead[0], dt.time()) - dt.timedelta(seconds=run.offset_s))).cast("timestamp_ntz") + F.make_dt_interval(days=i.cast("int"))
     return out.select("owner", start.alias("valid_from"), (start + F.make_dt_interval(days=F.lit(1))).alias("valid_to"), *[c for c in COLUMNS if c not in ("owner", "rank")])

@@ -3,40 +3,106 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+
+from heliograph.session import ensure_checkpoint_dir
+
+
+def _leaps(t: np.ndarray, at: int, least: int) -> list[int]:
+    """The places of t that a fold keeps from place ``at`` on."""
+    out = []
+    while at < len(t):
+        out.append(at)
+        at = int(np.searchsorted(t, t[at] + least))
+    return out
+
+
+def _exits(t: np.ndarray, least: int) -> tuple[list[int], list[int]]:
+    """For each row that may be the first one kept behind an anchor: its time, and the last time kept if it is."""
+    first = min(len(t), int(np.searchsorted(t, t[0] + least)) + 1)
+    after = np.searchsorted(t, t + least)
+    last = t.copy()
+    for i in np.flatnonzero(after < len(t))[::-1].tolist():
+        last[i] = last[after[i]]
+    return t[:first].tolist(), last[:first].tolist()
 
 
 def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFrame:
     """key, time of the rows that stay when, in time order, each row less than ``seconds`` after the last row kept is dropped.
 
-    The anchor is the last kept row, not the row before, so this is a fold. It is cut where the gap to the row before is at least
-    ``seconds``: such a row always stays, and what follows depends on it alone. So folds run over bursts, not over whole keys, and leap
-    from each kept row to the next by binary search. Rows without time are left out.
+    The anchor is the last kept row, not the row before, so this is a fold. Each instant of a key counts once. Rows are dealt by ranges of (key, time), so a
+    key of any size is spread. Only a partition's first key may go on from the partition before: a first pass gives, for each row that may be the first
+    one kept there, the last one that is then kept; these tables, whose size is what the clock can tell apart within ``seconds``, are chained per key and fix each
+    partition's entry anchor; a second pass leaps from each kept row to the next by binary search. Rows without time are left out.
     """
-    w = Window.partitionBy(key).orderBy(time)
-    span = F.make_dt_interval(secs=F.lit(seconds))
-    gap = F.col(time) - F.lag(time).over(w)
+    ensure_checkpoint_dir(df.sparkSession)
     epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
-    rows = df.where(F.col(time).isNotNull()).select(key, time, F.when(gap < span, 0).otherwise(1).alias("cut"))
-    rows = rows.withColumn("burst", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = rows.groupBy(key, "burst").agg(F.array_sort(F.collect_list(F.timestamp_diff("MICROSECOND", epoch, F.col(time)))).alias("ts"))
     least = int(round(seconds * 1_000_000))
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def kept(ts: pd.Series) -> pd.Series:
+    rows = df.where(F.col(time).isNotNull()).select(F.struct(F.col(key).alias("v")).alias("k"), F.timestamp_diff("MICROSECOND", epoch, F.col(time)).alias("t")).distinct()
+    dealt = rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").select("k", "t", F.spark_partition_id().cast("long").alias("part")).checkpoint()
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    names = ["part", "k", "end", "whole", "first", "last", "fresh"]
+
+    def segments(batches):
+        """(part, key, times) of each key of the partition, in order."""
+        whole = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
+        if not whole.num_rows:
+            return
+        k, t = whole.column("k").to_pylist(), whole.column("t").to_numpy()
+        cut = [0, *(i for i in range(1, len(k)) if k[i] != k[i - 1]), len(k)]
+        part = whole.column("part")[0].as_py()
+        for a, b in zip(cut, cut[1:], strict=False):
+            yield part, k[a], t[a:b]
+
+    def kept(t, anchor):
+        at = 0 if anchor is None else int(np.searchsorted(t, anchor + least))
+        return t[_leaps(t, at, least)]
+
+    def borders(batches):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        kind = batches[0].schema.field("k").type
+        found = list(segments(batches))
         out = []
-        for t in ts:
-            t, at, own = np.asarray(t), 0, []
-            while at < len(t):
-                own.append(t[at])
-                at = int(np.searchsorted(t, t[at] + least))
-            out.append(own)
-        return pd.Series(out)
-
-    return bursts.select(key, F.explode(kept("ts")).alias("t")).select(key, F.timestamp_add("MICROSECOND", F.col("t"), epoch).alias(time))
+        for n, (part, k, t) in enumerate(found):
+            if n == 0 or n == len(found) - 1:
+                first, last = _exits(t, least) if n == 0 else ([], [])
+                out.append((part, k, int(n > 0), len(found) == 1, first, last, int(kept(t, None)[-1])))
+        cols = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, [long, kind, long, pa.bool_(), longs, longs, long], strict=True)], names=names)
+
+    def chain(key, table):
+        anchor, out = None, []
+        for r in sorted(table.to_pylist(), key=lambda r: (r["part"], r["end"])):
+            if r["end"]:
+                anchor = r["fresh"]
+                continue
+            out.append((r["part"], anchor))
+            if anchor is None:
+                anchor = r["fresh"]
+            elif r["whole"]:
+                i = int(np.searchsorted(np.array(r["first"]), anchor + least))
+                anchor = r["last"][i] if i < len(r["first"]) else anchor
+        return pa.table({"part": pa.array([p for p, _ in out], type=long), "anchor": pa.array([a for _, a in out], type=long)})
+
+    def fold(batches):
+        batches = list(batches)
+        if not sum(b.num_rows for b in batches):
+            return
+        kind, anchor = batches[0].schema.field("k").type, next(b.column("anchor")[0].as_py() for b in batches if b.num_rows)
+        for n, (_, k, t) in enumerate(segments(batches)):
+            own = kept(t, anchor if n == 0 else None)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), type=kind), pa.array(own, type=long)], names=["k", "t"])
+
+    shape = rows.schema["k"].dataType.simpleString()
+    ends = dealt.mapInArrow(borders, f"part long, k {shape}, end long, whole boolean, first array<long>, last array<long>, fresh long")
+    entries = ends.groupBy("k").applyInArrow(chain, "part long, anchor long").checkpoint()
+    out = dealt.join(F.broadcast(entries), "part", "left").mapInArrow(fold, f"k {shape}, t long")  # a row per partition
+    return out.select(F.col("k.v").alias(key), F.timestamp_add("MICROSECOND", F.col("t"), epoch).alias(time))
 
 
 def runs(df: DataFrame, key: str, order: str, starts: Column) -> DataFrame:

@@ -86,7 +86,7 @@ cl AS (SELECT *, r = 1 AND b > 0 AND n > 1 AND lag(item) OVER (PARTITION BY k OR
 rot AS (SELECT k, (b * n + CASE WHEN swap AND r <= 2 THEN 3 - r ELSE r END - 1)::INT AS slot, item FROM sw WHERE b * n + CASE WHEN swap AND r <= 2 THEN 3 - r ELSE r END - 1 < {s})"""
 
 
-@query("G13_rotation", f"WITH pool AS (SELECT c_nationkey AS k, c_custkey AS item FROM customer UNION ALL SELECT 100 + n_regionkey, n_nationkey FROM nation WHERE n_nationkey < 13), {ROTATED.format(s=24)} SELECT k, slot, item FROM rot")
+@query("G13_rotation", f"WITH pool AS (SELECT c_nationkey::BIGINT AS k, c_custkey::BIGINT AS item FROM customer UNION ALL SELECT 100 + n_regionkey, n_nationkey FROM nation WHERE n_nationkey < 13), {ROTATED.format(s=24)} SELECT k, slot, item FROM rot")
 def g13(spark, d):
     """24 slots for each nation from its customers, and for each region from its nations, of which there are fewer."""
     a = read_table(spark, d, "customer").select(c("c_nationkey").cast("long").alias("k"), c("c_custkey").cast("long").alias("item"))

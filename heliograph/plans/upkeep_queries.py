@@ -66,7 +66,7 @@ def a16(spark, d):
 def a29(spark, d):
     """Rows that weren't enriched take what was read, also where it is nothing; a failed read changes no field, but isn't tried again."""
     k = c("c_custkey")
-    read = read_table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(k.alias("by"), (c("c_acctbal") >= 0).alias("succeeded"), F.lit(dt.datetime(2024, 2, 10)).alias("at"), F.when(k % 4 != 0, c("c_mktsegment")).alias("country"), F.when(k % 3 != 0, c("c_name")).alias("tags"))
+    read = read_table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(k.alias("by"), (c("c_acctbal") >= 0).alias("succeeded"), F.lit("2024-02-10 00:00:00").cast("timestamp_ntz").alias("at"), F.when(k % 4 != 0, c("c_mktsegment")).alias("country"), F.when(k % 3 != 0, c("c_name")).alias("tags"))
     o = read_table(spark, d, "orders")
     reads = o.select(c("o_orderkey").alias("id"), c("o_custkey").alias("by")).join(read, "by").drop("by")
     p = o.select(c("o_orderkey").alias("id"), c("o_orderpriority").alias("country"), F.lit("tag").alias("tags"), F.when(c("o_orderstatus") == "P", c("o_orderdate")).alias("enriched_at"))

@@ -100,3 +100,26 @@ def test_streams(spark, tmp_path, files):
         got, want = (sorted(map(tuple, x.collect())) for x in (spark.table(f"{name}{files}"), done))
         want = [x for x in want if x[1] < T0 + timedelta(days=9)]  # the last event is still open
         assert got == want and got
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("gap", [2, 40, 400])
+def test_fold_of_one_hot_key_over_many_partitions(spark, parts, gap):
+    r = random.Random(parts * gap)
+    rows = [(7, T0 + timedelta(seconds=r.randrange(300 * gap) / 4)) for _ in range(900)] + [(k, T0 + timedelta(seconds=k)) for k in range(5)] + [(None, T0), (3, None)]
+    want = []
+    for k in {k for k, _ in rows}:
+        last = None
+        for t in sorted(t for q, t in rows if q == k and t is not None):
+            if last is None or t - last >= timedelta(seconds=60):
+                want.append((k, t))
+                last = t
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(x) for x in sequences.dedup_anchored(spark.createDataFrame(rows, "k int, t timestamp_ntz"), "k", "t", 60).collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sorted(got, key=str) == sorted(want, key=str)
