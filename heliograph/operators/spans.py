@@ -49,6 +49,19 @@ def runs(df: DataFrame, key: str, order: list[str], values: list[str], starts: C
     return out.drop("__part", "__at", "__head", "__tail", "__prev", "__s", "__carry")
 
 
+def last_before(df: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:
+    """df with ``out``: the last value that isn't null in the rows before, within the key."""
+    p = with_previous(df, key, order, [value])
+    own = F.struct(C(key).alias("k"))
+    tails = p.where(own.eqNullSafe(C("__tail"))).groupBy("__part").agg(F.first("__tail").alias("k"), F.max_by(value, F.when(C(value).isNotNull(), C("__at"))).alias("s")).select("__part", "k", F.lit(1).alias("end"), "s")
+    heads = p.groupBy("__part").agg(F.first("__head").alias("k")).select("__part", "k", F.lit(0).alias("end"), F.lit(None).cast(df.schema[value].dataType).alias("s"))
+    w = Window.partitionBy("k").orderBy("__part", "end").rowsBetween(Window.unboundedPreceding, -1)  # two rows per partition
+    carry = heads.unionByName(tails).withColumn("__carry", F.last("s", ignorenulls=True).over(w)).where("end = 0").select("__part", "__carry")
+    inner = F.last(value, ignorenulls=True).over(Window.partitionBy("__part", key).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    r = p.join(F.broadcast(carry), "__part").withColumn(out, F.coalesce(inner, F.when(own.eqNullSafe(C("__head")), C("__carry"))))
+    return r.drop("__part", "__at", "__head", "__tail", "__prev", "__carry")
+
+
 def gap_over(now: str, prev: Column, seconds: float) -> Column:
     """Whether the row is more than ``seconds`` after the one before."""
     return F.timestamp_diff("MICROSECOND", prev, C(now)) > F.lit(int(seconds * 1_000_000))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heliograph.functions import text as X
 from heliograph.operators import edits as E
 from heliograph.operators import ladder as L
-from heliograph.operators import sequences as S
+from heliograph.operators import spans as R
 from heliograph.operators import tags as T
 from heliograph.operators import vectors as V
 from heliograph.plans.index_queries import WITH
@@ -44,15 +44,6 @@ def e9(spark, d):
     return L.home_regions(g)
 
 
-#: The photos that a fold of 60 seconds per key keeps, in SQL.
-FOLD = """e AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY t, id) AS rn FROM src),
-k(key, rn, t, keep) AS (SELECT {k}, rn, t, true FROM e WHERE rn = 1 UNION ALL SELECT e.{k}, e.rn, CASE WHEN e.t - k.t >= INTERVAL 60 SECOND THEN e.t ELSE k.t END, e.t - k.t >= INTERVAL 60 SECOND FROM k JOIN e ON e.{k} = k.key AND e.rn = k.rn + 1),
-kept AS (SELECT key, t FROM k WHERE keep)"""
-
-
-ANNUAL = "src AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderdate + (o_orderkey % 1440) * INTERVAL 30 SECOND AS t, 1 + day(o_orderdate) % 3 AS dom FROM orders WHERE month(o_orderdate) = 3 AND day(o_orderdate) % 3 = 1 AND year(o_orderdate) < 2000)"
-
-
 @query("F15_valid_now", """WITH v AS (SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS pick FROM orders WHERE o_orderdate <= timestamp '1998-06-01 00:00:00' AND o_orderdate + INTERVAL 90 DAY > timestamp '1998-06-01 00:00:00' GROUP BY 1),
 e AS (SELECT o_custkey, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT o_custkey, coalesce(pick, first) AS pick FROM v FULL JOIN e USING (o_custkey)""")
 def f15(spark, d):
@@ -124,9 +115,9 @@ def e15(spark, d):
 @query("M17_daily_gate", W + f", x AS (SELECT id, user_id, date_taken, {LOCAL_SQL}::DATE AS day FROM photos) SELECT id, day IS DISTINCT FROM lag(day) OVER (PARTITION BY user_id ORDER BY date_taken, id) AS regenerates FROM x")
 def m17(spark, d):
     """The first event of a local day regenerates, the others find the day's result."""
-    w = Window.partitionBy("user_id").orderBy("date_taken", "id")
-    day = F.to_date(local())
-    return photos(spark, d).select("id", (~day.eqNullSafe(F.lag(day).over(w))).alias("regenerates"))
+    p = photos(spark, d).select("user_id", "id", "date_taken", F.to_date(local()).alias("day"))
+    r = R.with_previous(p, "user_id", ["date_taken", "id"], ["day"])
+    return r.select("id", (~c("day").eqNullSafe(c("__prev.day"))).alias("regenerates"))
 
 
 BIND = """b AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_quantity) / 50 AS x, min(l_discount) * 10 AS y FROM lineitem GROUP BY ALL),

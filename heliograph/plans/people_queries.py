@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import people as P
-from heliograph.operators import sequences as S
 from heliograph.plans.registry import query
 from heliograph.session import read_table
 from heliograph.sources.adapters import PHOTOS, photos

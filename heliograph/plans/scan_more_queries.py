@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import text as X
 from heliograph.operators import geo as G
-from heliograph.operators import scan as SC
 from heliograph.plans.geo_vector_queries import HAVERSINE, SITES, _points, _sites
 from heliograph.plans.registry import query
-from heliograph.plans.scan_queries import KIND, LISTING, _listing
 from heliograph.session import read_table, shared_folder
 from heliograph.sources.adapters import PHOTOS, photos
 

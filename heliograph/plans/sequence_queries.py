@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograph.operators import sequences as S
+from heliograph.operators import spans as R
 from heliograph.plans.registry import query
 from heliograph.session import read_table
 from heliograph.sources.adapters import PHOTOS, photos
@@ -30,7 +30,7 @@ def f1(spark, d):
 r AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS run FROM c)
 SELECT conv_id, run::BIGINT AS run, min(role) AS role, count(*) AS n, min(turn) AS first_turn FROM r GROUP BY conv_id, run""")
 def f5(spark, d):
-    r = S.runs(read_table(spark, d, "conversations"), "conv_id", "turn", S.changed("role", "conv_id", "turn"))
+    r = R.runs(read_table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn"], ["role"], lambda prev, first: first | ~prev("role").eqNullSafe(F.col("role")))
     return r.groupBy("conv_id", "run").agg(F.min("role").alias("role"), F.count("*").alias("n"), F.min("turn").alias("first_turn"))
 
 

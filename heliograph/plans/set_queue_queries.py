@@ -117,9 +117,11 @@ def i18(spark, d):
 
 @query("M16_scan_kind", "SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 48 HOUR THEN 'full' ELSE 'light' END AS kind FROM events")
 def m16(spark, d):
-    from heliograph.operators.sequences import gap_over
+    from heliograph.operators import spans as R
 
-    return read_table(spark, d, "events").select("user_id", "ts", F.when(gap_over("ts", "user_id", 48 * 3600), "full").otherwise("light").alias("kind"))
+    e = R.with_previous(read_table(spark, d, "events").select("user_id", "ts"), "user_id", ["ts"], ["ts"])
+    full = F.col("__prev").isNull() | R.gap_over("ts", F.col("__prev.ts"), 48 * 3600)
+    return e.select("user_id", "ts", F.when(full, "full").otherwise("light").alias("kind"))
 
 
 @query("M24_done_with_stat", f"WITH {QUEUE} SELECT item, pack FROM q WHERE state = 'done' AND updated IS NOT NULL")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType, TimestampType
 
+from heliograph.operators import spans as R
+
 
 def debounce(events: DataFrame, key: str, time: str, quiet: str) -> DataFrame:
     """One firing per burst: key, fires, n, where each event resets the timer and it fires after ``quiet`` without one.
@@ -68,8 +70,6 @@ def mute_gate(events: DataFrame, key: str, time: str, muting: str) -> DataFrame:
 
     The column named by ``muting`` is true for an event that mutes, false for one that unmutes, null for others; it acts on what follows.
     """
-    w = Window.partitionBy(key).orderBy(time)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    muted = F.coalesce(F.last(muting, ignorenulls=True).over(before), F.lit(False))
-    out = events.withColumn("open", ~muted)
-    return out.withColumn("flush", F.col("open") & F.coalesce(~F.lag("open").over(w), F.lit(False)))
+    out = R.last_before(events, key, [time], muting, "__muted").withColumn("open", ~F.coalesce("__muted", F.lit(False))).drop("__muted")
+    p = R.with_previous(out, key, [time], ["open"])
+    return p.withColumn("flush", F.col("open") & F.coalesce(~F.col("__prev.open"), F.lit(False))).select(*out.columns, "flush")
