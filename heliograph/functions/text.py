@@ -76,6 +76,16 @@ def normalize_tags(tags: Column) -> Column:
     return F.when(~F.exists(out, lambda x: x.isNull()), F.array_sort(F.array_distinct(out)))
 
 
+def decoded(raw: Column) -> Column:
+    """The text of bytes: UTF-8 if they are, else UTF-16 in the order that their mark names, or most significant byte first without one; null for an odd number of bytes and for halves of surrogate pairs."""
+    start, plain = F.hex(F.substring(raw, 1, 2)), F.try_validate_utf8(raw.cast("string"))
+    body = F.when(start.isin("FFFE", "FEFF"), F.substring(raw, 3, 1 << 30)).otherwise(raw)
+    even, digits = F.octet_length(raw) % 2 == 0, F.hex(body)
+    big = digits.rlike("^(?:(?!D[89A-F])[0-9A-F]{4}|D[89AB][0-9A-F]{2}D[C-F][0-9A-F]{2})*+$")
+    little = digits.rlike("^(?:[0-9A-F]{2}(?!D[89A-F])[0-9A-F]{2}|[0-9A-F]{2}D[89AB][0-9A-F]{2}D[C-F])*+$")
+    return F.when(plain.isNotNull(), plain).when(even & (start == "FFFE"), F.when(little, F.decode(body, "UTF-16LE"))).when(even & (start != "FFFE"), F.when(big, F.decode(body, "UTF-16BE")))
+
+
 def filled(x: Column) -> Column:
     """The trimmed value, null if empty."""
     return F.nullif(F.trim(x), F.lit(""))

@@ -48,15 +48,6 @@ def _score(m):
     return F.when(m >= 10, F.lit(45.0)).when(m >= 5, F.lit(40.0)).otherwise(F.lit(35.0))
 
 
-@query("F10_week_horizon", """WITH h AS (SELECT k, (timestamp '2000-03-15 00:00:00' + k * INTERVAL 1 DAY)::DATE AS day FROM range(1, 8) AS t(k))
-SELECT h.k::INT AS ahead, h.day, year(o_orderdate)::INT AS y, count(*) AS n FROM orders JOIN h ON month(o_orderdate) = month(h.day) AND day(o_orderdate) = day(h.day) AND year(o_orderdate) < 2000 GROUP BY ALL""")
-def f10(spark, d):
-    h = spark.range(1, 8).select(F.col("id").cast("int").alias("ahead"), F.date_add(F.lit("2000-03-15").cast("date"), F.col("id").cast("int")).alias("day"))
-    h = F.broadcast(h.withColumns({"m": F.month("day"), "dd": F.dayofmonth("day")}))  # seven rows
-    o = read_table(spark, d, "orders").where("year(o_orderdate) < 2000").select("o_orderdate", F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("dd"))
-    return o.join(h, ["m", "dd"]).groupBy("ahead", "day", F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
-
-
 @query("F13_admission_caps", f"""WITH RECURSIVE {PHOTOS}, e AS (SELECT user_id, id, file_size AS s, row_number() OVER (PARTITION BY user_id ORDER BY id) AS rn FROM photos),
 k(user_id, rn, used, n, id, took) AS (SELECT user_id, 0::BIGINT, 0::BIGINT, 0, 0::BIGINT, false FROM (SELECT DISTINCT user_id FROM e) UNION ALL
  SELECT e.user_id, e.rn, CASE WHEN e.s <= 8000 AND k.used + e.s <= 60000 AND k.n < 20 THEN k.used + e.s ELSE k.used END, CASE WHEN e.s <= 8000 AND k.used + e.s <= 60000 AND k.n < 20 THEN k.n + 1 ELSE k.n END,

@@ -12,7 +12,7 @@ from heliograph.operators import memories as M
 from heliograph.operators import tags as T
 from heliograph.operators import upkeep as U
 from heliograph.plans.index_queries import WITH
-from heliograph.plans.memory_queries import KEPT, LIBRARIES, TRIPS, _libraries, _trip_rows
+from heliograph.plans.memory_queries import KEPT, LIBRARIES, RUN, TRIPS, _libraries, _trip_rows
 from heliograph.plans.registry import query
 from heliograph.plans.rules_queries import CLUSTERS, NORMAL, RAW, _clusters, _raw
 from heliograph.plans.scan_queries import KIND, LISTING, _listing
@@ -296,3 +296,29 @@ def o2(spark, d):
     p = read_table(spark, d, "part")
     paths = p.select(F.concat(F.lit("Objects/"), "p_type", F.lit("/"), "p_name").alias("path")).unionByName(p.select(F.concat(F.lit("Scenes/"), "p_brand", F.when(c("p_size") % 2 == 0, "/Alone").otherwise("")).alias("path")))
     return U.prompts(paths, spark.createDataFrame([("Objects/SMALL/red widget", "a red thing")], "path string, prompt string"))
+
+
+def _encoded(spark, d):
+    """Names as bytes: UTF-8, UTF-16 of both orders with a mark and of one without, cut within a character, and with half of a surrogate pair."""
+    n, k = F.concat("c_name", F.lit(" é中😀")), c("c_custkey") % 6
+    mark = lambda h, s: F.concat(F.unhex(F.lit(h)), F.encode(n, s))
+    b = F.when(k == 0, F.encode(n, "UTF-8")).when(k == 1, mark("FFFE", "UTF-16LE")).when(k == 2, mark("FEFF", "UTF-16BE")).when(k == 3, F.encode(F.concat(F.lit("é"), n), "UTF-16BE"))
+    b = b.when(k == 4, F.concat(mark("FFFE", "UTF-16LE"), F.unhex(F.lit("41")))).otherwise(F.concat(mark("FEFF", "UTF-16BE"), F.unhex(F.lit("D83D"))))
+    return read_table(spark, d, "customer").select("c_custkey", b.alias("bytes"))
+
+
+@query("A46_text_decode", "SELECT c_custkey, CASE WHEN c_custkey % 6 < 4 THEN CASE WHEN c_custkey % 6 = 3 THEN 'é' ELSE '' END || c_name || ' é中😀' END AS txt FROM customer")
+def a46(spark, d):
+    return _encoded(spark, d).select("c_custkey", X.decoded(c("bytes")).alias("txt"))
+
+
+@query("F10_week_horizon", f"""WITH RECURSIVE {LIBRARIES}, ahead AS (SELECT k::INT AS ahead, DATE '2025-01-15' + k::INT AS d FROM range(1, 8) AS t(k)), rows AS (SELECT {{'o': owner, 'k': ahead, 'd': ahead.d}} AS g, t, pos FROM p JOIN ahead ON month(day) = month(ahead.d) AND day(day) = day(ahead.d) AND year(day) <> year(ahead.d)), {KEPT}
+SELECT g.o AS owner, g.k AS ahead, count(*) AS n, g.d - INTERVAL 1 HOUR AS valid_from, g.d + INTERVAL 23 HOUR AS valid_to FROM kept GROUP BY g HAVING count(*) >= 10""")
+def f10(spark, d):
+    """The coming week's days with ten photos in other years, each valid from its local midnight to the next."""
+    ahead = [RUN.today + dt.timedelta(days=i) for i in range(1, M.HORIZON + 1)]
+    p = M.dated(_libraries(spark, d)).where(F.date_format("day", "MM-dd").isin([x.strftime("%m-%d") for x in ahead]))
+    k = M.folded(p.select("owner", F.explode(M.calendar_groups(ahead)).alias("g"), "t", "pos", "id").where("g.kind = 'onThisDay'"))
+    g = k.groupBy("owner", "g").agg(F.count("*").alias("n")).where(c("n") >= M.LEAST_CALENDAR)
+    start = F.to_date("g.key").cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(RUN.offset_s))
+    return g.select("owner", F.datediff(F.to_date("g.key"), F.lit(RUN.today)).cast("int").alias("ahead"), "n", start.alias("valid_from"), (start + F.make_dt_interval(days=F.lit(1))).alias("valid_to"))
