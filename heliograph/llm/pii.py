@@ -80,6 +80,18 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(digits)), one), F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+def mod97(account: Column) -> Column:
+    """Whether an account number's check digits are right: its first four characters go to the end, letters count from 10 on, and the number leaves 1 when divided by 97."""
+    plain = F.regexp_replace(account, "[^A-Z0-9]", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+
+    def step(acc, x):
+        value = F.when(x < ":", F.ascii(x) - 48).otherwise(F.ascii(x) - 55)
+        return (acc * F.when(value > 9, 100).otherwise(10) + value) % 97
+
+    return F.aggregate(F.filter(turned, lambda x: x != ""), F.lit(0), step) == 1
+
+
 def _passes(kind: str, m: Column) -> Column:
     """The base kinds' checks."""
     if kind == "ip":
@@ -104,7 +116,7 @@ def _strict(kind: str, m: Column) -> Column:
         "email_at": m.rlike(r"[A-Za-z]{2}$"),
         "phone_local": d.rlike("^[2-9][0-9]{2}[2-9]"),
         "id_number": ~m.rlike("^(?:000|666|9)|-00-|-0000$"),
-        "iban": F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34),
+        "iban": F.length(F.regexp_replace(m, r"\x20", "")).between(15, 34) & mod97(m),
         "person": m.rlike("^" + TITLES + r"\b"),
     }[kind]
     return F.when(ok, 1).otherwise(0 if kind == "person" else -1)
