@@ -146,6 +146,7 @@ def float_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
 
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3  #: fixed values of FNV-1a
 GAMMA, MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  #: fixed values of SplitMix64
 
 
@@ -175,9 +176,9 @@ def draws(seed: Column, n: int, width: float) -> Column:
 
 def seed_state(seed: str) -> int:
     """The generator's state after seeding with one text."""
-    s = 0xCBF29CE484222325
+    s = FNV_START
     for b in seed.encode():
-        s = (s ^ b) * 0x100000001B3 % (1 << 64)
+        s = (s ^ b) * FNV_PRIME % (1 << 64)
     return s or 0xDEADBEEF
 
 
@@ -208,11 +209,11 @@ def permutation(n: int, seed: int) -> list[int]:
 def fnv1a(s: pd.Series) -> pd.Series:
     """64-bit FNV-1a of the UTF-8 bytes: byte by byte over all rows of a batch that still have one."""
     raw = [(x or "").encode() for x in s]
-    h = np.full(len(raw), 0xCBF29CE484222325, dtype=np.uint64)
+    h = np.full(len(raw), FNV_START, dtype=np.uint64)
     on, j = np.flatnonzero([len(x) > 0 for x in raw]), 0
     while len(on):
         byte = np.fromiter((raw[i][j] for i in on), dtype=np.uint64, count=len(on))
-        h[on] = (h[on] ^ byte) * np.uint64(0x100000001B3)
+        h[on] = (h[on] ^ byte) * np.uint64(FNV_PRIME)
         j += 1
         on = on[[len(raw[i]) > j for i in on]]
     return pd.Series([f"{x:016x}" for x in h.tolist()])

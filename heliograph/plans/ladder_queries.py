@@ -58,8 +58,8 @@ def f15(spark, d):
 M = "18446744073709551616::UHUGEINT"
 
 
-@query("G5_selection", f"""WITH p AS (SELECT p_partkey, p_brand, p_size, ({X.seed_state(TODAY)}::UHUGEINT + 11400714819323198485::UHUGEINT * (p_partkey + 1)::UHUGEINT) % {M} AS z0 FROM part), z1 AS (SELECT *, (xor(z0, z0 // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {M} AS z FROM p),
-z2 AS (SELECT * REPLACE ((xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {M} AS z) FROM z1), s AS (SELECT p_partkey, p_brand, p_size + 12.0::DOUBLE * ((xor(z, z // 2147483648::UHUGEINT) % 9007199254740992::UHUGEINT)::DOUBLE * 1.1102230246251565e-16::DOUBLE) AS s FROM z2),
+@query("G5_selection", f"""WITH p AS (SELECT p_partkey, p_brand, p_size, ({X.seed_state(TODAY)}::UHUGEINT + {int(X.GAMMA)}::UHUGEINT * (p_partkey + 1)::UHUGEINT) % {M} AS z0 FROM part), z1 AS (SELECT *, (xor(z0, z0 // 1073741824::UHUGEINT) * {int(X.MIX_A)}::UHUGEINT) % {M} AS z FROM p),
+z2 AS (SELECT * REPLACE ((xor(z, z // 134217728::UHUGEINT) * {int(X.MIX_B)}::UHUGEINT) % {M} AS z) FROM z1), s AS (SELECT p_partkey, p_brand, p_size + 12.0::DOUBLE * ((xor(z, z // 2147483648::UHUGEINT) % 9007199254740992::UHUGEINT)::DOUBLE * 1.1102230246251565e-16::DOUBLE) AS s FROM z2),
 b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS rn FROM s) SELECT p_partkey, p_brand, row_number() OVER (ORDER BY s DESC, p_partkey)::INT AS rank FROM b WHERE rn = 1 ORDER BY s DESC, p_partkey LIMIT 10""")
 def g5(spark, d):
     """Candidates by score and the day's jitter (one draw a position), the best of each cluster, ten of them."""

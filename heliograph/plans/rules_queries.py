@@ -28,7 +28,7 @@ def local():
 #: Untidy tags made of the parts' names: spaces, empty segments, small words, internal capitals, decomposed letters.
 RAW = """raw AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN ' objects / the ' || p_name || '  of mcDonald//' WHEN 1 THEN 'People/' || p_name WHEN 2 THEN p_name || '/a' || chr(9) || 'b'
  WHEN 3 THEN 'cafe' || chr(769) || '/at ' || p_name WHEN 4 THEN ' / ' ELSE 'vs. ' || p_name || ' via ' || p_brand END AS tag FROM part)"""
-SMALL = "['a','an','and','as','at','but','by','en','for','if','in','of','on','or','the','to','v','v.','via','vs','vs.']"
+SMALL = str(X.SMALL_WORDS).replace(" ", "")
 TITLE = f"""array_to_string(list_transform(list_filter(regexp_split_to_array(seg, '\\s+'), lambda w: w <> ''), lambda w, i: CASE WHEN regexp_matches(substr(w, 2), '\\p{{Lu}}') THEN w
  WHEN i > 1 AND i < len(list_filter(regexp_split_to_array(seg, '\\s+'), lambda v: v <> '')) AND list_contains({SMALL}, lower(w)) THEN lower(w) ELSE upper(substr(w, 1, 1)) || substr(w, 2) END), ' ')"""
 NORMAL = f"""segs AS (SELECT p_partkey, tag, i, regexp_replace(u.seg, '^\\s+|\\s+$', '', 'g') AS seg FROM raw, unnest(string_split(nfc_normalize(tag), '/')) WITH ORDINALITY AS u(seg, i)),
@@ -238,9 +238,9 @@ def frontality(m):
 
 
 MOD = "18446744073709551616::UHUGEINT"
-FNV = f"list_reduce(list_transform(range(0, length(seed) + 1), lambda i: CASE WHEN i = 0 THEN 14695981039346656037::UHUGEINT ELSE ord(substr(seed, i, 1))::UHUGEINT END), lambda s, b: (xor(s, b) * 1099511628211::UHUGEINT) % {MOD})"
-MIXED = f"""s AS (SELECT id, {FNV} AS h FROM seeds), g AS (SELECT id, h, k, (h + 11400714819323198485::UHUGEINT * k) % {MOD} AS z0 FROM s, (SELECT unnest([1, 2, 3])::UHUGEINT AS k)),
-z1 AS (SELECT id, h, k, (xor(z0, z0 // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT) % {MOD} AS z FROM g), z2 AS (SELECT id, h, k, (xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT) % {MOD} AS z FROM z1),
+FNV = f"list_reduce(list_transform(range(0, length(seed) + 1), lambda i: CASE WHEN i = 0 THEN {X.FNV_START}::UHUGEINT ELSE ord(substr(seed, i, 1))::UHUGEINT END), lambda s, b: (xor(s, b) * {X.FNV_PRIME}::UHUGEINT) % {MOD})"
+MIXED = f"""s AS (SELECT id, {FNV} AS h FROM seeds), g AS (SELECT id, h, k, (h + {int(X.GAMMA)}::UHUGEINT * k) % {MOD} AS z0 FROM s, (SELECT unnest([1, 2, 3])::UHUGEINT AS k)),
+z1 AS (SELECT id, h, k, (xor(z0, z0 // 1073741824::UHUGEINT) * {int(X.MIX_A)}::UHUGEINT) % {MOD} AS z FROM g), z2 AS (SELECT id, h, k, (xor(z, z // 134217728::UHUGEINT) * {int(X.MIX_B)}::UHUGEINT) % {MOD} AS z FROM z1),
 z3 AS (SELECT id, h, k, xor(z, z // 2147483648::UHUGEINT) % 9007199254740992::UHUGEINT AS r FROM z2)"""
 
 
