@@ -1,4 +1,4 @@
-"""Sequence operators: anchored dedup, runs, trips, admission by caps."""
+"""Sequence operators: the anchored fold, admission by caps."""
 
 from __future__ import annotations
 
@@ -106,15 +106,24 @@ def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFr
 
 
 def admit(df: DataFrame, key: str, order: str, size: str, most_rows: int, most_size: int, budget: int) -> DataFrame:
-    """Rows in order until ``most_rows`` are taken; a row above ``most_size``, or that would exceed the budget, is skipped and uses none of it.
+    """key, order of the rows that are taken: in order until ``most_rows`` are; a row above ``most_size``, or that would exceed the budget, is skipped and uses none of it.
 
-    A fold per key, whose array holds (order, size) only.
+    Rows stream through their key's task sorted, so it holds a count and a sum, whatever number of rows a key has. key, order and size are whole numbers.
     """
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, size))).alias("rows"))
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc, x):
-        ok = (x[size] <= most_size) & (acc["used"] + x[size] <= budget) & (F.size(acc["taken"]) < most_rows)
-        return F.when(ok, F.struct((acc["used"] + x[size]).alias("used"), F.concat(acc["taken"], F.array(x[order])).alias("taken"))).otherwise(acc)
-
-    return rows.select(key, F.explode(F.aggregate("rows", none, step, lambda acc: acc["taken"])).alias(order))
+    rows = df.where(F.col(size) <= F.least(F.lit(most_size), F.lit(budget))).select(F.struct(F.col(key).alias("v")).alias("k"), F.col(order).cast("long").alias("o"), F.col(size).cast("long").alias("s"))
+    rows = rows.repartition("k").sortWithinPartitions("k", "o", "s")
+
+    def run(batches):
+        at, used, taken = None, 0, 0
+        for b in batches:
+            keep = []
+            for i, (k, s) in enumerate(zip(b.column("k").to_pylist(), b.column("s").to_pylist(), strict=True)):
+                if k != at:
+                    at, used, taken = k, 0, 0
+                if taken < most_rows and used + s <= budget:
+                    used, taken = used + s, taken + 1
+                    keep.append(i)
+            yield b.take(pa.array(keep, type=pa.int64())).select(["k", "o"])
+
+    out = rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, o long")
+    return out.select(F.col("k.v").alias(key), F.col("o").cast(df.schema[order].dataType).alias(order))

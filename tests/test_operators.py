@@ -123,3 +123,18 @@ def test_fold_of_one_hot_key_over_many_partitions(spark, parts, gap):
         for c, v in old.items():
             spark.conf.set(c, v)
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_admission_streams_through_its_caps(spark):
+    r = random.Random(5)
+    rows = [(r.choice([1, 1, 1, 2, None]), i, r.choice([1, 5, 9, 30, 80])) for i in range(400)]
+    want = []
+    for k in (1, 2, None):
+        used = taken = 0
+        for q, i, s in rows:
+            if q == k and taken < 20 and s <= 50 and used + s <= 150:
+                used, taken = used + s, taken + 1
+                want.append((k, i))
+    got = [tuple(x) for x in sequences.admit(spark.createDataFrame(rows, "k int, i int, s long").repartition(5), "k", "i", "s", 20, 50, 150).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sequences.admit(spark.createDataFrame([], "k int, i int, s long"), "k", "i", "s", 20, 50, 150).count() == 0
