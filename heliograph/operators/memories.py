@@ -92,7 +92,7 @@ def home(geo: DataFrame) -> DataFrame:
     g = geo.withColumns({"cy": F.floor(C("gps_lat") / F.lit(CELL)).cast("long"), "cx": F.floor(C("gps_lon") / F.lit(CELL)).cast("long")})
     by = lambda *k: g.groupBy(*k).agg(days_between(F.min("t"), F.max("t")).alias("span"), F.countDistinct("day").alias("days"))
     need = by("owner").select("owner", F.least(F.lit(180), F.greatest(F.lit(30), F.expr("span div 2"))).alias("least_span"), F.least(F.lit(30), F.greatest(F.lit(10), F.expr("days div 4"))).alias("least_days"))
-    primary = by("owner", "cy", "cx").join(need, "owner").where("span >= least_span and days >= least_days")
+    primary = by("owner", "cy", "cx").join(need, "owner").where("span >= least_span and days >= least_days").select("owner", "cy", "cx").checkpoint()  # a few cells of each library, asked three times
     ring = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     cells = primary.select("owner", "cy", "cx", F.explode(ring).alias("r")).select("owner", (C("cy") + C("r.i")).alias("cy"), (C("cx") + C("r.j")).alias("cx"), F.lit(True).alias("in_cell")).distinct()
     settled = primary.select("owner", F.lit(True).alias("settled")).distinct()
@@ -115,7 +115,7 @@ def trips(photos: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(photos.sparkSession)
     geo = photos.where("gps_lat is not null and gps_lon is not null").select("owner", "pos", "id", "t", "lt", "day", "gps_lat", "gps_lon").checkpoint()
     enough = geo.groupBy("owner").agg(F.count("*").alias("n")).where("n >= 5").select("owner")
-    h = home(geo.join(enough, "owner", "left_semi"))
+    h = home(geo.join(enough, "owner", "left_semi")).select("owner", "pos", "id", "t", "lt", "home").checkpoint()  # so dealing by range, which samples first, reads it twice, not its joins
     r = R.runs(h, "owner", ["t", "pos"], ["t", "home"], lambda prev, first: first | prev("home") | R.gap_over("t", prev("t"), GAP_SECONDS))
     return r.where("not home").select("owner", "pos", "id", "t", "lt", "run")
 

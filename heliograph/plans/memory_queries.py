@@ -87,7 +87,7 @@ s AS (SELECT *, greatest(1, (epoch_us(last) - epoch_us(first)) // 86400000000) A
 SELECT g.o AS owner, g.r AS run, n, days, 20 + 1.5::DOUBLE * days AS score FROM s""")
 def f4(spark, d):
     """Trips with 15 photos after the fold (so before it, too) that don't end in the current month, here February 2024."""
-    t = M.trips(M.dated(_libraries(spark, d)))
+    t = M.trips(M.dated(_libraries(spark, d))).checkpoint()
     k = M.folded(t.select("owner", c("run").alias("g"), "t", "pos", "id")).join(t.select("owner", "pos", "lt"), ["owner", "pos"])
     g = k.groupBy("owner", c("g").alias("run")).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.max_by("lt", "t").alias("lt"))
     days = F.greatest(M.days_between(c("first"), c("last")), F.lit(1))
