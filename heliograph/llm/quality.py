@@ -13,7 +13,9 @@ counts. So a frequent n-gram is one entry per block however often it stands, and
    of the n-grams that continue it, the sum of counts and how many have count 1, 2 and 3 or more. Counts of counts
    (a row a level) give Chen and Goodman's three discounts per order.
 2. *Scores.* Blocks of all documents ask the shards for what they know of their n-grams: words and pairs first, then longer ones
-   where both shorter ones in it are known (no other can be). The replies give every word's probability.
+   where both shorter ones in it are known (no other can be). The replies give every word's probability. The blocks take
+   turns, a ``TURNS``-th of them each, and a turn's shuffles are removed when its scores stand: the texts, questions and
+   replies of all blocks at once would take three times the input on disk. Each turn reads the documents and the model again.
 
 No model is collected or broadcast. On the driver there are only six sums per level. Messages are packed (sorted hashes as
 compressed differences); there are at most as many as there are distinct n-grams in the blocks, so they grow with the text.
@@ -39,10 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm import _words
-from heliograph.session import ensure_checkpoint_dir, ship_package, unused
+from heliograph.session import ensure_checkpoint_dir, ship_package, shuffles_removed, unused
 
 U = np.uint64
 CELL_BITS = 40  #: of an n-gram's hash, within its shard
+TURNS = 4  #: in which all blocks are scored, one after the other
 FEW_IDS = 1_000_000  #: so many ids (some 20 MB) may be broadcast; more are joined by a shuffle
 WORD = r"[^\x20\x09-\x0D]+"
 _MSG = [("n", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("cells", pa.binary()), ("vals", pa.binary()), ("sums", pa.list_(pa.int64()))]
@@ -247,9 +250,10 @@ def _answer(key, asked, model):
     return _rows(out)
 
 
-def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int, shards: int, blocks: int) -> DataFrame:
-    """doc_id, lang, mark, nll (a sum), n_words of each row of documents(doc_id, text, lang), by joins with model_rows."""
+def scored_by(documents: DataFrame, model: DataFrame, rates: Rates, order: int, shards: int, blocks: int, turn: int, turns: int) -> DataFrame:
+    """doc_id, lang, mark, nll (a sum), n_words of the rows of documents(doc_id, text, lang) whose turn it is, by joins with model_rows."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", mark(documents).alias("mark"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
+    docs = docs.where(F.col("block") % turns == turn)
 
     def ask(n):
         def run(key, table, replies=None):
@@ -310,7 +314,12 @@ def scores(documents: DataFrame, labels: DataFrame, order: int, block_bytes: int
     for n in range(1, order + 1):
         sums.setdefault(n, [0] * 6)
     every = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return scored_by(documents, model.select("n", "shard", "cells", "vals"), Rates(sums, order), order, shards, 1 + int(every // block_bytes)).checkpoint()
+    blocks, out = 1 + int(every // block_bytes), None
+    turns = min(TURNS, blocks)
+    for turn in range(turns):
+        part = scored_by(documents, model.select("n", "shard", "cells", "vals"), Rates(sums, order), order, shards, blocks, turn, turns).checkpoint()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _mean(mu, prior_words: float):
@@ -330,12 +339,13 @@ def thresholds(scored: DataFrame, labels: DataFrame, quantile: float, prior_word
 
 
 def _judged(scored: DataFrame, cuts: DataFrame, prior_words: float) -> DataFrame:
-    """scored with perplexity, threshold and keep. cuts: a row per language with trusted text, counted before a broadcast."""
-    cuts = cuts.checkpoint()
+    """scored with perplexity, threshold and keep. cuts: a row per language with trusted text, checkpointed, counted before a broadcast."""
     every = cuts.where("every").first()  # one row
     mu0, t0 = (F.lit(every[k]).cast("double") for k in ("mu", "threshold"))
     own = cuts.where("not every").select(F.col("lang").alias("of"), "mu", "threshold")
-    own = F.broadcast(own) if own.count() <= 100_000 else own
+    with shuffles_removed(scored.sparkSession):
+        few = own.count() <= 100_000
+    own = F.broadcast(own) if few else own
     out = scored.join(own, scored["lang"].eqNullSafe(own["of"]), "left")
     score = F.when(F.col("n_words") > 0, _mean(F.coalesce("mu", mu0), prior_words))
     top = F.coalesce("threshold", t0)
@@ -345,8 +355,10 @@ def _judged(scored: DataFrame, cuts: DataFrame, prior_words: float) -> DataFrame
 def _verdicts(documents: DataFrame, labels: DataFrame, order: int, quantile: float, prior_words: float, block_bytes: int) -> DataFrame | None:
     ship_package(documents.sparkSession)
     ensure_checkpoint_dir(documents.sparkSession)
-    scored = scores(documents, labels, order, block_bytes)
-    return None if scored is None else _judged(scored, thresholds(scored, labels, quantile, prior_words), prior_words)
+    with shuffles_removed(documents.sparkSession):
+        scored = scores(documents, labels, order, block_bytes)
+        cuts = None if scored is None else thresholds(scored, labels, quantile, prior_words).checkpoint()
+    return None if scored is None else _judged(scored, cuts, prior_words)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, order: int = 3, quantile: float = 0.995, prior_words: float = 40.0, block_bytes: int = 6 << 20) -> DataFrame:

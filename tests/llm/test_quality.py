@@ -1,9 +1,11 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from heliograph.llm.quality import get, get_sorted, keep_quality, put, put_sorted, score_documents, scores, trusted_ids
 from heliograph.session import ensure_checkpoint_dir
@@ -78,6 +80,40 @@ def test_scores_equal_dictionaries_however_dealt(spark, block_bytes, order):
     assert again == got  # to the last bit
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files of this machine."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {x for i in range(files.size()) if (x := files.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_shuffles_are_small_and_removed(spark, monkeypatch):
+    """No step shuffles most of what all of them do, and files of steps that have ended don't stay."""
+    ensure_checkpoint_dir(spark)
+    store, steps, real = spark.sparkContext._jsc.sc().statusStore(), [], DataFrame.checkpoint
+    written = lambda: store.executorSummary("driver").totalShuffleWrite()
+
+    def counted(self, *args):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before, out = written(), real(self, *args)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        steps.append(written() - before)
+        return out
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefghij") * r.randrange(1, 9) + str(r.randrange(900)) for _ in range(300)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "de", None) for i, t in enumerate(texts)], DOCS).repartition(4).checkpoint()
+    labels = spark.createDataFrame([(i, 1, 0, None) for i in range(200)], LABELS)
+    monkeypatch.setattr(DataFrame, "checkpoint", counted)
+    before = shuffle_files(spark)
+    out = score_documents(df, labels, block_bytes=1 << 16)
+    assert sum(steps) > 0 and max(steps) < 0.4 * sum(steps)
+    for _ in range(50):  # they are removed in the background
+        if left := shuffle_files(spark) - before:
+            time.sleep(0.2)
+    assert not left
+    assert out.collect() == out.collect() and out.count() == 400
+
+
 def test_packed_numbers():
     for x in ([], [0], [5, 5, 2**40 - 1], list(range(0, 10**6, 997))):
         a = np.array(x, dtype=np.uint64)
