@@ -17,7 +17,7 @@ from heliograph.llm.mixing import emit_copies
 from heliograph.llm.near_dedup import near_duplicates
 from heliograph.llm.quality import keep_quality
 from heliograph.llm.secrets import redact_secrets
-from heliograph.session import read_table, shared_folder, unused
+from heliograph.session import read_table, shared_folder, shuffles_removed, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and wordless texts are in no group and stay. Rows without id stay, exact copies too. Rows of equal id stay or go together.
     """
     name = unused(docs, "__gone")
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct().checkpoint()
-    if gone.count() <= 1_000_000:
+    found = near_duplicates(docs)
+    with shuffles_removed(spark):
+        gone = found.where("not kept").select(F.col("doc_id").alias(name)).distinct().checkpoint()
+        few = gone.count() <= 1_000_000
+    if few:
         gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 

@@ -20,6 +20,9 @@ rows a pair of Jaccard 0.85 meets in at least one bucket with probability 1 - 8e
 pair goes to the exact comparison unless its coordinates agree five standard deviations too
 rarely (under about 0.69 of them for 0.85, under 0.80 of the long ones).
 
+Each round is checkpointed and its shuffle files are removed: with the small files of tens of shuffles a run on many partitions would
+take more disk than its data.
+
 Nulls: a null or wordless text has an empty set and no links; a row without id takes no part in linking,
 has component_id null and kept true. Rows of equal id count as one document when links are followed, each
 with the n_shingles of its own text. Empty tables give empty results; other columns are ignored.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm import _words
-from heliograph.session import ensure_checkpoint_dir, ship_package
+from heliograph.session import ensure_checkpoint_dir, ship_package, shuffles_removed
 
 U, U32 = np.uint64, np.uint32
 CHUNK = 1 << 15
@@ -354,15 +357,8 @@ def _linked(pairs: DataFrame, many: int, docs: DataFrame, sig: DataFrame, least:
     return found if many else None
 
 
-def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of documents(doc_id, text).
-
-    Links join documents with 100 * |intersection| >= percent * |union| of their shingle sets.
-    """
-    spark = documents.sparkSession
-    ship_package(spark)
-    ensure_checkpoint_dir(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _linked_classes(docs: DataFrame, percent: int, bands: int, rows: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The sketches of docs(doc_id, text), the classes of equal sets, and the components of the classes that have links."""
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows))
     sketch = docs.mapInArrow(_sketch_batches(bands, rows, shingle), "doc_id long, n long, d1 long, d2 long, sig binary, bands array<long>").checkpoint()
     classes = sketch.where("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).checkpoint()
@@ -393,8 +389,20 @@ def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, ro
         else:
             comp = components(more) if comp is None else joined_components(comp, more)
         tested = tested.unionByName(pairs)
-    # every pair of different components that meets in a bucket has been compared
+    return sketch, classes, comp  # every pair of different components that meets in a bucket has been compared
 
+
+def near_duplicates(documents: DataFrame, percent: int = 85, bands: int = 24, rows: int = 5, shingle: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of documents(doc_id, text).
+
+    Links join documents with 100 * |intersection| >= percent * |union| of their shingle sets.
+    """
+    spark = documents.sparkSession
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with shuffles_removed(spark):
+        sketch, classes, comp = _linked_classes(docs, percent, bands, rows, shingle)
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     out = out.join(classes.select("d1", "d2", "rep", F.lit(True).alias("linked")), ["d1", "d2"], "left")
     if comp is None:

@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from heliograph.llm.mixing import mix_sources
 from heliograph.llm.quality import score_documents
 from heliograph.session import read_table
 from tests.llm.test_near_dedup import brute as components_by_pairs
+from tests.llm.test_quality import shuffle_files
 from tests.llm.test_secrets import brute as secrets_by_rules
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,13 @@ def test_stages_on_odd_rows(spark):
             if df.columns == rows.columns and got:  # what has no words, or no id and no fault, stays
                 assert {10**6, 10**6 + 1, 10**6 + 2} <= ids, name
                 assert sum(r.doc_id is None and r.text is None for r in got) == 1, name
+
+
+def test_near_dedup_leaves_no_shuffle_files(spark):
+    """What its rounds have shuffled is removed; it would be many small files on many partitions."""
+    docs, before = read_table(spark, SF, "documents"), shuffle_files(spark)
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    for _ in range(50):  # they are removed in the background
+        if left := shuffle_files(spark) - before:
+            time.sleep(0.2)
+    assert not left and 0 < out.count() < docs.count()
