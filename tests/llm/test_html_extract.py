@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from heliograph.llm.html_extract import CONST, KEY, KIDS, OPTIONAL, REPEATED, Node, decide, expression, extract_text, infer_wrappers, main_text, marked, merged, page_wrapper, read_page, weigh
+from heliograph.llm.html_extract import ANY, CONST, KEY, KIDS, MASS, MOST_KIDS, OPTIONAL, REPEATED, Node, decide, expression, extract_text, infer_wrappers, main_text, marked, merged, page_wrapper, read_page, weigh
 
 SCHEMA = "page_id long, url string, html string, text int"
 
@@ -178,3 +178,42 @@ def test_host_with_comments_and_adverts_but_no_article(spark):
         want[i] = "\n".join(body)
     got = {x.page_id: x.text for x in extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == want
+
+
+def own_name(i, mark=""):
+    return mark + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+@pytest.mark.parametrize("pages", [150, 250, 900])
+def test_no_sibling_is_forgotten(pages):
+    """Each page's article has a class of its own, beside a smaller part that all pages share."""
+    say = lambda i, n: f"page {i} " + "w" * n
+    made = [f"<body><div class='side'><p>{say(i, 60)}</p></div><div class='{own_name(i)}'><p>{say(i, 400)}</p></div><ul class='{own_name(i, 'ad-')}'><li>{say(i, 20)}</li></ul></body>" for i in range(pages)]
+    parts = [wrapper(x) for x in made]
+    w = parts[0]
+    for x in parts[1:]:
+        w = merged(w, x, False)
+    body = w[KIDS][0]
+    leaves = lambda part: part[MASS] if part[KEY] == "#" else sum(map(leaves, part[KIDS]))
+    assert leaves(w) == w[MASS] == sum(x[MASS] for x in parts)
+    inner = [y for x in body[KIDS] for y in (x[KIDS] if x[KEY].startswith("(") else [x])]
+    assert len(inner) <= MOST_KIDS + 10 or pages < MOST_KIDS
+    d = decide(w, 5)
+    if pages > MOST_KIDS:
+        assert ANY in d["path"][-1] and "div.side" in d["named"][-1]
+        assert [main_text(x, d) for x in made] == [say(i, 400) for i in range(pages)]
+    assert all(say(i, 400) in main_text(x, d) for i, x in enumerate(made))
+
+
+def test_articles_of_many_names_on_one_host(spark):
+    rows = [(i, f"http://m.example/{i}", f"<body><div class='side'><p>teaser {i} of the day</p></div><div class='{own_name(i)}'><p>text {i} {'long ' * 40}</p></div></body>", 0) for i in range(400)]
+    got = {x.page_id: x.text for x in extract_text(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    assert got == {i: f"text {i} {'long ' * 40}".strip() for i in range(400)}
+
+
+def test_text_of_a_few_pages_is_no_template():
+    made = [f"<body><article><p>text {i} and more</p>{'<div class=x>only here</div>' if i == 3 else ''}</article></body>" for i in range(10)]
+    w = wrapper(made[0])
+    for x in made[1:]:
+        w = merged(w, wrapper(x), False)
+    assert main_text(made[3], decide(w, 5)) == "text 3 and more\nonly here"
