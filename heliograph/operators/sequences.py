@@ -2,23 +2,107 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.session import ensure_checkpoint_dir
+from heliograph.session import ensure_checkpoint_dir, ship_package
+
+SHORT = 64  #: instants that are looked at one by one; of more, the fold leaps by binary search
 
 
-def _leaps(t: np.ndarray, at: int, least: int) -> list[int]:
-    """The places of t that a fold keeps from place ``at`` on."""
+def _kept(t: np.ndarray, anchor: int | None, least: int) -> list[int]:
+    """The places of t that a fold keeps behind the last instant kept, if there is one."""
     out = []
+    if len(t) <= SHORT:
+        for i, x in enumerate(t.tolist()):
+            if anchor is None or x >= anchor + least:
+                out.append(i)
+                anchor = x
+        return out
+    at = 0 if anchor is None else int(np.searchsorted(t, anchor + least))
     while at < len(t):
         out.append(at)
         at = int(np.searchsorted(t, t[at] + least))
     return out
 
 
+def _changes(a: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it."""
+    null = a.is_null().to_numpy(zero_copy_only=False)
+    out = null[1:] != null[:-1]
+    if pa.types.is_struct(a.type):
+        for x in a.flatten():
+            out = out | _changes(x)
+    elif pa.types.is_nested(a.type):
+        v = a.to_pylist()
+        out = out | np.array([x != y for x, y in zip(v[1:], v[:-1], strict=True)], dtype=bool)
+    else:
+        out = out | pc.fill_null(pc.not_equal(a[1:], a[:-1]), False).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[tuple[int, int, bool]]]]:
+    """Each batch of rows sorted by k and t with its times and, for each key, (first row, end, whether the batch before ended with that key). Holds one batch."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column("k")
+        cut = [0, *(np.flatnonzero(_changes(k)) + 1).tolist(), b.num_rows]
+        goes_on = last is not None and last == k[0].as_py()
+        yield b, b.column("t").to_numpy(), [(x, y, goes_on and x == 0) for x, y in zip(cut, cut[1:], strict=False)]
+        last = k[-1].as_py()
+
+
+def _fold(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows (k, t) that stay of a partition; ``anchor`` of its first row is the last instant kept of that key before it."""
+    anchor, begun = None, False
+    for b, t, pieces in _pieces(batches):
+        stay = []
+        for x, y, goes_on in pieces:
+            anchor = anchor if goes_on else None if begun else b.column("anchor")[0].as_py()
+            begun = True
+            own = _kept(t[x:y], anchor, least)
+            if own:
+                anchor = int(t[x + own[-1]])
+                stay += [x + i for i in own]
+        yield b.select(["k", "t"]).take(pa.array(stay, type=pa.int64()))
+
+
+def _borders(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of a partition's first key: its exits; of its last one: the last instant kept. Holds the times of the first key."""
+    times, alone, part, head, own, fresh, anchor, kind = [], True, None, None, None, None, None, None
+    for b, t, pieces in _pieces(batches):
+        k = b.column("k")
+        if kind is None:
+            kind, part, head = k.type, b.column("part")[0].as_py(), k[0].as_py()
+            own = head
+        for x, y, goes_on in pieces:
+            if not goes_on and (times or not alone):
+                alone, anchor = False, None
+            if not alone and y < b.num_rows:
+                continue  # neither the first key nor what may be the last one
+            if not goes_on:
+                own = k[x].as_py()
+            stay = _kept(t[x:y], anchor, least)
+            anchor = int(t[x + stay[-1]]) if stay else anchor
+            if alone:
+                times.append(t[x:y])
+                fresh = anchor
+    if kind is None:
+        return
+    out = [(part, head, 0, alone, *_exits(np.concatenate(times), least), fresh)]
+    if not alone:
+        out.append((part, own, 1, False, [], [], anchor))
+    long, longs = pa.int64(), pa.list_(pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(zip(*out, strict=True), [long, kind, long, pa.bool_(), longs, longs, long], strict=True)], names=["part", "k", "end", "whole", "first", "last", "fresh"])
+
+
 def _exits(t: np.ndarray, least: int) -> tuple[list[int], list[int]]:
     """For each row that may be the first one kept behind an anchor: its time, and the last time kept if it is."""
     first = min(len(t), int(np.searchsorted(t, t[0] + least)) + 1)
@@ -35,44 +119,15 @@ def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFr
     The anchor is the last kept row, not the row before, so this is a fold. Each instant of a key counts once. Rows are dealt by ranges of (key, time), so a
     key of any size is spread. Only a partition's first key may go on from the partition before: a first pass gives, for each row that may be the first
     one kept there, the last one that is then kept; these tables, whose size is what the clock can tell apart within ``seconds``, are chained per key and fix each
-    partition's entry anchor; a second pass leaps from each kept row to the next by binary search. Rows without time are left out.
+    partition's entry anchor; a second pass leaps from each kept row to the next by binary search. Both passes read a partition batch by batch, and keys stay in Arrow. Rows without time are left out.
     """
+    ship_package(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
     least = int(round(seconds * 1_000_000))
     rows = df.where(F.col(time).isNotNull()).select(F.struct(F.col(key).alias("v")).alias("k"), F.timestamp_diff("MICROSECOND", epoch, F.col(time)).alias("t")).distinct()
     dealt = rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").select("k", "t", F.spark_partition_id().cast("long").alias("part")).checkpoint()
-    long, longs = pa.int64(), pa.list_(pa.int64())
-    names = ["part", "k", "end", "whole", "first", "last", "fresh"]
-
-    def segments(batches):
-        """(part, key, times) of each key of the partition, in order."""
-        whole = pa.Table.from_batches(list(batches)) if not isinstance(batches, pa.Table) else batches
-        if not whole.num_rows:
-            return
-        k, t = whole.column("k").to_pylist(), whole.column("t").to_numpy()
-        cut = [0, *(i for i in range(1, len(k)) if k[i] != k[i - 1]), len(k)]
-        part = whole.column("part")[0].as_py()
-        for a, b in zip(cut, cut[1:], strict=False):
-            yield part, k[a], t[a:b]
-
-    def kept(t, anchor):
-        at = 0 if anchor is None else int(np.searchsorted(t, anchor + least))
-        return t[_leaps(t, at, least)]
-
-    def borders(batches):
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        kind = batches[0].schema.field("k").type
-        found = list(segments(batches))
-        out = []
-        for n, (part, k, t) in enumerate(found):
-            if n == 0 or n == len(found) - 1:
-                first, last = _exits(t, least) if n == 0 else ([], [])
-                out.append((part, k, int(n > 0), len(found) == 1, first, last, int(kept(t, None)[-1])))
-        cols = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=x) for c, x in zip(cols, [long, kind, long, pa.bool_(), longs, longs, long], strict=True)], names=names)
+    long = pa.int64()
 
     def chain(key, table):
         anchor, out = None, []
@@ -88,20 +143,10 @@ def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFr
                 anchor = r["last"][i] if i < len(r["first"]) else anchor
         return pa.table({"part": pa.array([p for p, _ in out], type=long), "anchor": pa.array([a for _, a in out], type=long)})
 
-    def fold(batches):
-        batches = list(batches)
-        if not sum(b.num_rows for b in batches):
-            return
-        kind, anchor = batches[0].schema.field("k").type, next(b.column("anchor")[0].as_py() for b in batches if b.num_rows)
-        for n, (_, k, t) in enumerate(segments(batches)):
-            own = kept(t, anchor if n == 0 else None)
-            if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), type=kind), pa.array(own, type=long)], names=["k", "t"])
-
     shape = rows.schema["k"].dataType.simpleString()
-    ends = dealt.mapInArrow(borders, f"part long, k {shape}, end long, whole boolean, first array<long>, last array<long>, fresh long")
+    ends = dealt.mapInArrow(lambda batches: _borders(batches, least), f"part long, k {shape}, end long, whole boolean, first array<long>, last array<long>, fresh long")
     entries = ends.groupBy("k").applyInArrow(chain, "part long, anchor long").checkpoint()
-    out = dealt.join(F.broadcast(entries), "part", "left").mapInArrow(fold, f"k {shape}, t long")  # a row per partition
+    out = dealt.join(F.broadcast(entries), "part", "left").mapInArrow(lambda batches: _fold(batches, least), f"k {shape}, t long")  # a row per partition
     return out.select(F.col("k.v").alias(key), F.timestamp_add("MICROSECOND", F.col("t"), epoch).alias(time))
 
 

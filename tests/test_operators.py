@@ -138,3 +138,39 @@ def test_admission_streams_through_its_caps(spark):
     got = [tuple(x) for x in sequences.admit(spark.createDataFrame(rows, "k int, i int, s long").repartition(5), "k", "i", "s", 20, 50, 150).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sequences.admit(spark.createDataFrame([], "k int, i int, s long"), "k", "i", "s", 20, 50, 150).count() == 0
+
+
+def _sorted_batches(rows, cuts, anchor=None):
+    """Batches of (k, t) as a partition of the fold gives them, with a nested key."""
+    import pyarrow as pa
+
+    kind = pa.struct([("v", pa.struct([("owner", pa.int64()), ("g", pa.struct([("kind", pa.string()), ("at", pa.int64())]))]))])
+    for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        k = pa.array([None if o is None else {"v": {"owner": o, "g": {"kind": g, "at": None}}} for o, g, _ in rows[a:b]], type=kind)
+        yield pa.RecordBatch.from_arrays([k, pa.array([t for *_, t in rows[a:b]], type=pa.int64()), pa.array([3] * (b - a), type=pa.int64()), pa.array([anchor] * (b - a), type=pa.int64())], names=["k", "t", "part", "anchor"])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fold_reads_a_partition_batch_by_batch(seed):
+    r = random.Random(seed)
+    rows = sorted({(r.choice([1, 2] if seed % 2 else [1]), r.choice(["a", None, "b"] if seed > 1 else ["a"]), r.randrange(30_000)) for _ in range(900)}, key=lambda x: (x[0], x[1] or "", x[2]))
+    least, anchor = r.choice([1, 7, 500]), r.choice([None, -100, 900])
+    want, last = [], {rows[0][:2]: anchor}
+    for o, g, t in rows:
+        if last.get((o, g)) is None or t - last[o, g] >= least:
+            last[o, g] = t
+            want.append((o, g, t))
+    for cuts in ([], sorted(r.sample(range(1, len(rows)), 9)), [5, 5, 6]):
+        got = [(x["k"]["v"]["owner"], x["k"]["v"]["g"]["kind"], x["t"]) for b in sequences._fold(_sorted_batches(rows, cuts, anchor), least) for x in b.to_pylist()]
+        assert got == want
+        ends = [x for b in sequences._borders(_sorted_batches(rows, cuts), least) for x in b.to_pylist()]
+        one = len({x[:2] for x in rows}) == 1
+        fresh = {}
+        for o, g, t in rows:
+            if (o, g) not in fresh or t - fresh[o, g] >= least:
+                fresh[o, g] = t
+        assert [(x["k"]["v"]["owner"], x["k"]["v"]["g"]["kind"], x["end"], x["whole"], x["fresh"]) for x in ends] == [(*rows[0][:2], 0, one, fresh[rows[0][:2]])] + ([] if one else [(*rows[-1][:2], 1, False, fresh[rows[-1][:2]])])
+    drawn = []
+    batches = (drawn.append(1) or b for b in _sorted_batches(rows, [100, 200, 300], anchor))
+    next(sequences._fold(batches, least))
+    assert len(drawn) == 1  # a partition isn't held whole
