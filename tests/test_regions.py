@@ -107,3 +107,26 @@ def test_query_is_the_plain_plan(spark):
         got.setdefault(r.k, set()).add((r.action, r.value))
     want = {k: x for k, p in made.items() if (x := plain(*p))}
     assert got == want and {a for x in want.values() for a, _ in x} == {"add", "remove", "own", "defer"}
+
+
+@pytest.mark.parametrize("most", [0, 6])
+def test_large_pictures_give_the_same_rows_by_rounds(spark, monkeypatch, most):
+    made = pictures(random.Random(7), 30)
+    monkeypatch.setattr(R, "MOST_BOXES", most)
+    got = {}
+    for r in R.region_plan(*tables(spark, made)).collect():
+        got.setdefault(r.k, []).append((r.action, r.value))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x) for k, p in made.items() if (x := plain(*p))}
+
+
+def test_plan_moves_boxes_once_and_keeps_no_pairs(spark):
+    """Of a table dealt by picture, the plan shuffles nothing but the requests."""
+    made = pictures(random.Random(3), 40)
+    regions, claims, wanted, requests = tables(spark, made)
+    of = lambda df, role: df.selectExpr("k", f"{role} AS role", "i", "x", "y", "w", "h", "kind" if role == 0 else "CAST(NULL AS STRING) AS kind", "name")
+    boxes = of(regions, 0).union(of(claims, 1)).union(of(wanted, 2)).repartition("k")
+    plan = R.plan_of_boxes(boxes, requests)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    whole = sorted(map(tuple, plan.collect()))
+    old = sorted((k, a, v) for k, p in made.items() for a, v in plain(*p))
+    assert whole == old
