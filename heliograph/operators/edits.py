@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.session import settled
+
 C = F.col
 
 
@@ -155,7 +157,7 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     Only a row per partition meets in one place.
     """
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).checkpoint()
+    dealt = settled(dealt.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     parts = dealt.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("__from"))
     w = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("__part", "__from", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("__before"))

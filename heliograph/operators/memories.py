@@ -24,7 +24,7 @@ from heliograph.operators import geo as G
 from heliograph.operators import sequences as S
 from heliograph.operators import spans as R
 from heliograph.operators import tags as T
-from heliograph.session import ensure_checkpoint_dir
+from heliograph.session import ensure_checkpoint_dir, settled
 
 C = F.col
 #: Fixed values of the rules.
@@ -113,9 +113,10 @@ def home(geo: DataFrame) -> DataFrame:
 def trips(photos: DataFrame) -> DataFrame:
     """owner, pos, id, t, lt of located photos away from home, with ``run``: a new one starts after a photo at home or a gap of more than 48 hours. Libraries with fewer than five located photos have none."""
     ensure_checkpoint_dir(photos.sparkSession)
-    geo = photos.where("gps_lat is not null and gps_lon is not null").select("owner", "pos", "id", "t", "lt", "day", "gps_lat", "gps_lon").checkpoint()
+    geo = photos.where("gps_lat is not null and gps_lon is not null").select("owner", "pos", "id", "t", "lt", "day", "gps_lat", "gps_lon")
+    geo = settled(geo)
     enough = geo.groupBy("owner").agg(F.count("*").alias("n")).where("n >= 5").select("owner")
-    h = home(geo.join(enough, "owner", "left_semi")).select("owner", "pos", "id", "t", "lt", "home").checkpoint()  # so dealing by range, which samples first, reads it twice, not its joins
+    h = settled(home(geo.join(enough, "owner", "left_semi")).select("owner", "pos", "id", "t", "lt", "home"))  # so dealing by range, which samples first, reads it twice, not its joins
     r = R.runs(h, "owner", ["t", "pos"], ["t", "home"], lambda prev, first: first | prev("home") | R.gap_over("t", prev("t"), GAP_SECONDS))
     return r.where("not home").select("owner", "pos", "id", "t", "lt", "run")
 
@@ -342,10 +343,10 @@ def generate(photos: DataFrame, run: Run, contacts: DataFrame | None = None, see
     if born is not None:
         rows = rows.unionByName(born.where("date_taken is not null").select("owner", "g", C("date_taken").alias("t"), "pos", "id"))
     kept = folded(rows)
-    kept = (kept if born is None else _with_undated(kept, born)).checkpoint()
+    kept = settled(kept if born is None else _with_undated(kept, born))
     attributes = _attributes(photos)
     candidates, members = _candidates(kept, attributes, run)
-    chosen = select(candidates.checkpoint(), run, seen, surfaced).checkpoint()
+    chosen = settled(select(settled(candidates), run, seen, surfaced))
     return sampled(members, _titled(chosen, members, attributes, run)).select(COLUMNS)
 
 
@@ -359,7 +360,7 @@ def scheduled(photos: DataFrame, run: Run, contacts: DataFrame | None = None, hi
     if born is not None:
         rows = rows.unionByName(born.where("date_taken is not null").select("owner", "g", C("date_taken").alias("t"), "pos", "id"))
     kept = folded(rows)
-    kept = (kept if born is None else _with_undated(kept, born)).checkpoint()
+    kept = settled(kept if born is None else _with_undated(kept, born))
     candidates, members = _candidates(kept, _attributes(photos), run)
     chosen = candidates.where(~C("mid").isin(list(hidden))).checkpoint()
     out = sampled(members, chosen)

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.session import ensure_checkpoint_dir, ship_package
+from heliograph.session import settled, ship_package
 
 SHORT = 64  #: instants that are looked at one by one; of more, the fold leaps by binary search
 
@@ -122,11 +122,10 @@ def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFr
     partition's entry anchor; a second pass leaps from each kept row to the next by binary search. Both passes read a partition batch by batch, and keys stay in Arrow. Rows without time are left out.
     """
     ship_package(df.sparkSession)
-    ensure_checkpoint_dir(df.sparkSession)
     epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[time].dataType)
     least = int(round(seconds * 1_000_000))
     rows = df.where(F.col(time).isNotNull()).select(F.struct(F.col(key).alias("v")).alias("k"), F.timestamp_diff("MICROSECOND", epoch, F.col(time)).alias("t")).distinct()
-    dealt = rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").select("k", "t", F.spark_partition_id().cast("long").alias("part")).checkpoint()
+    dealt = settled(rows.repartitionByRange("k", "t").sortWithinPartitions("k", "t").select("k", "t", F.spark_partition_id().cast("long").alias("part")))
     long = pa.int64()
 
     def chain(key, table):
@@ -145,7 +144,7 @@ def dedup_anchored(df: DataFrame, key: str, time: str, seconds: float) -> DataFr
 
     shape = rows.schema["k"].dataType.simpleString()
     ends = dealt.mapInArrow(lambda batches: _borders(batches, least), f"part long, k {shape}, end long, whole boolean, first array<long>, last array<long>, fresh long")
-    entries = ends.groupBy("k").applyInArrow(chain, "part long, anchor long").checkpoint()
+    entries = settled(ends.groupBy("k").applyInArrow(chain, "part long, anchor long"))
     out = dealt.join(F.broadcast(entries), "part", "left").mapInArrow(lambda batches: _fold(batches, least), f"k {shape}, t long")  # a row per partition
     return out.select(F.col("k.v").alias(key), F.timestamp_add("MICROSECOND", F.col("t"), epoch).alias(time))
 

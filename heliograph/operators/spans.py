@@ -11,16 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.session import ensure_checkpoint_dir
+from heliograph.session import settled
 
 C = F.col
 
 
 def with_previous(df: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """df with ``__prev``, the values of the row before within its key (null for the first one), and ``__part``, ``__at``, ``__head``, ``__tail``."""
-    ensure_checkpoint_dir(df.sparkSession)
     d = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    d = d.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}).checkpoint()
+    d = settled(d.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
     value = F.struct(*values)
     ends = d.groupBy("__part").agg(F.min_by(F.struct(C(key).alias("k")), "__at").alias("__head"), F.max_by(F.struct(C(key).alias("k")), "__at").alias("__tail"), F.max_by(value, "__at").alias("__last"))
     w = Window.orderBy("__part")  # a row per partition

@@ -143,3 +143,19 @@ def test_density_needs_three_times_the_average(spark):
     few = df.where("d < '2024-02-01'")
     assert [str(r.day) for r in L.density_days(few, "d", "2024-03-05").collect()] == ["2024-01-01"]  # 11.5 on average, 34 needed
     assert L.density_days(few, "d", "2024-01-20").collect() == []
+
+
+def test_finished_steps_leave_no_shuffle_files(spark):
+    import gc
+    import glob
+
+    from heliograph.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir')}/blockmgr-*/*/shuffle_*.data"))
+    df = spark.range(3000).select((F.col("id") * 37 % 3000).alias("v"))
+    gc.collect()
+    before = files()
+    out = E.ranked(df, F.col("v"))
+    assert not files() - before
+    assert out.where("rank = 1").first()["v"] == 0
